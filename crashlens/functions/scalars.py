@@ -55,9 +55,13 @@ def hour_to_daypart(c) -> Column:
     label = F.when(raw.isin(D.DAYPART_LABELS), raw)
     ranged = lookup(raw, D.DAYPART_RANGES)
     h = lenient_number(raw)
-    hour = F.when((h > -1) & (h < 24), h.cast("int"))
     # DAYPART_BOUNDS are four 6-hour bins, so the bin index is hour div 6.
-    numeric = F.element_at(F.array(*[F.lit(name) for _, _, name in D.DAYPART_BOUNDS]), F.floor(hour / 6).cast("int") + 1)
+    # (An explicit CASE: element_at over a literal array does not give NULL
+    # for a NULL index on this Spark version.)
+    idx = F.when((h > -1) & (h < 24), F.floor(h.cast("int") / 6).cast("int"))
+    numeric = None
+    for i, (_, _, name) in enumerate(D.DAYPART_BOUNDS):
+        numeric = F.when(idx == i, F.lit(name)) if numeric is None else numeric.when(idx == i, F.lit(name))
     return F.coalesce(label, ranged, numeric)
 
 

@@ -28,19 +28,34 @@ def with_scope(df: DataFrame, country_col: Column | None = None) -> DataFrame:
     return df.withColumn(SCOPE, F.explode(F.array(F.lit(OVERALL), c)))
 
 
-def spine_counts(df: DataFrame, key: Column | str, spine: Sequence, by: Sequence[str] = (),
-                 key_name: str | None = None, where: Column | None = None) -> DataFrame:
-    """A1 + J5 + T1: counts of ``key`` over a fixed ordered value list, zero-filled,
-    long form ``(by..., key_name, ordinal, n)``; values outside the list are
-    ignored (like ``reindex``). One aggregation of conditional counts.
+def spine_metrics(df: DataFrame, key: Column | str, spine: Sequence, by: Sequence[str] = (),
+                  metrics: dict[str, Column | None] | None = None, key_name: str | None = None) -> DataFrame:
+    """A1 + A5 + A7 + J5 + T1: conditional counts per value of ``key`` over a
+    fixed ordered value list, zero-filled, long form
+    ``(by..., key_name, ordinal, metric...)``. ``metrics`` maps an output name
+    to a row condition (None = every row). Values outside the list are ignored
+    (like ``reindex``). One aggregation, partial on the map side; the output
+    size is |groups| x |spine| whatever the input size.
     """
     k = F.col(key) if isinstance(key, str) else key
     name = key_name or (key if isinstance(key, str) else "value")
-    cond = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    agg = df.groupBy(*by).agg(*[F.count_if(cond & (k == F.lit(v))).alias(f"_v{i}") for i, v in enumerate(spine)])
-    cells = [F.struct(F.lit(v).alias(name), F.lit(i + 1).alias("ordinal"), F.col(f"_v{i}").cast("bigint").alias("n"))
-             for i, v in enumerate(spine)]
-    return agg.select(*by, F.inline(F.array(*cells)))
+    metrics = metrics or {"n": None}
+    aggs, cells = [], []
+    for i, v in enumerate(spine):
+        hit = F.coalesce(k == F.lit(v), F.lit(False))
+        fields = [F.lit(v).alias(name), F.lit(i + 1).alias("ordinal")]
+        for j, (m, cond) in enumerate(metrics.items()):
+            c = hit if cond is None else hit & F.coalesce(cond, F.lit(False))
+            aggs.append(F.count_if(c).alias(f"_v{i}_{j}"))
+            fields.append(F.col(f"_v{i}_{j}").cast("bigint").alias(m))
+        cells.append(F.struct(*fields))
+    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
+
+
+def spine_counts(df: DataFrame, key: Column | str, spine: Sequence, by: Sequence[str] = (),
+                 key_name: str | None = None) -> DataFrame:
+    """A1 + J5 + T1: zero-filled counts ``(by..., key_name, ordinal, n)``."""
+    return spine_metrics(df, key, spine, by, {"n": None}, key_name)
 
 
 def grid_counts(df: DataFrame, row: Column, row_spine: Sequence, col: Column, col_spine: Sequence,
@@ -119,27 +134,27 @@ def chi_square(counts: DataFrame, row: str, col: str, n: str = "n", by: Sequence
     w_r = Window.partitionBy(*by, "_r")
     w_c = Window.partitionBy(*by, "_c")
     w_t = Window.partitionBy(*by)
-    x = (c.withColumn("_R", F.sum("_o").over(w_r))
-         .withColumn("_C", F.sum("_o").over(w_c))
-         .withColumn("_N", F.sum("_o").over(w_t))
+    x = (c.withColumn("_rsum", F.sum("_o").over(w_r))
+         .withColumn("_csum", F.sum("_o").over(w_c))
+         .withColumn("_ntot", F.sum("_o").over(w_t))
          .withColumn("_fr", F.row_number().over(w_r.orderBy("_c")) == 1)
          .withColumn("_fc", F.row_number().over(w_c.orderBy("_r")) == 1))
-    e = F.col("_R") * F.col("_C") / F.col("_N")
+    e = F.col("_rsum") * F.col("_csum") / F.col("_ntot")
     t = x.groupBy(*by).agg(
-        F.max("_N").alias("_N"),
+        F.max("_ntot").alias("_ntot"),
         F.count_if("_fr").alias("_nr"),
         F.count_if("_fc").alias("_nc"),
-        F.sum(F.col("_o") * F.col("_o") / e).alias("_S"),
-        F.sum(F.when(F.col("_fr"), 1.0 / F.col("_R"))).alias("_ir"),
-        F.sum(F.when(F.col("_fc"), 1.0 / F.col("_C"))).alias("_ic"),
-        F.max(F.abs(F.col("_o") - e)).alias("_D"),
+        F.sum(F.col("_o") * F.col("_o") / e).alias("_ssum"),
+        F.sum(F.when(F.col("_fr"), 1.0 / F.col("_rsum"))).alias("_ir"),
+        F.sum(F.when(F.col("_fc"), 1.0 / F.col("_csum"))).alias("_ic"),
+        F.max(F.abs(F.col("_o") - e)).alias("_dev"),
     )
     dof = ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("int")
-    plain = F.col("_N") * F.col("_S") - F.col("_N")
-    d = F.col("_D")
-    corrected = F.pow(d - F.least(F.lit(0.5), d), 2) * F.col("_N") * F.col("_ir") * F.col("_ic")
+    plain = F.col("_ssum") - F.col("_ntot")
+    d = F.col("_dev")
+    corrected = F.pow(d - F.least(F.lit(0.5), d), 2) * F.col("_ntot") * F.col("_ir") * F.col("_ic")
     chi2 = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(yates), corrected).otherwise(F.greatest(plain, F.lit(0.0)))
-    res = t.select(*by, chi2.alias("chi2"), dof.alias("dof"), F.col("_N").cast("bigint").alias("n_total"))
+    res = t.select(*by, chi2.alias("chi2"), dof.alias("dof"), F.col("_ntot").cast("bigint").alias("n_total"))
     p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(
         F.reflect(F.lit("org.apache.commons.math3.special.Gamma"), F.lit("regularizedGammaQ"),
                   (F.col("dof") / 2.0).cast("double"), (F.col("chi2") / 2.0).cast("double")).cast("double"))
