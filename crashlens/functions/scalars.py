@@ -28,16 +28,19 @@ def clean_text(c) -> Column:
 
 
 def lenient_number(c) -> Column:
-    """Text -> DOUBLE, NULL when not numeric; NaN and infinities count as NULL."""
-    v = clean_text(c).try_cast("double")
-    finite = ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
-    return F.when(finite, v)
+    """Text -> DOUBLE, NULL when not numeric or NaN (one reference to the input)."""
+    return F.nanvl(clean_text(c).try_cast("double"), F.lit(None).cast("double"))
+
+
+def int_from_number(v) -> Column:
+    """DOUBLE -> BIGINT when integral, else NULL."""
+    v = _col(v)
+    return F.when(v % 1 == 0, v.try_cast("bigint"))
 
 
 def lenient_int(c) -> Column:
     """Text -> BIGINT; non-numeric or non-integral text gives NULL (Q19)."""
-    v = lenient_number(c)
-    return F.when(v % 1 == 0, v.try_cast("bigint"))
+    return int_from_number(lenient_number(c))
 
 
 def lookup(c, mapping: Mapping) -> Column:
@@ -46,25 +49,31 @@ def lookup(c, mapping: Mapping) -> Column:
     return F.try_element_at(m, _col(c))
 
 
-def hour_to_daypart(c) -> Column:
-    """P10: daypart from a raw hour. Priority: label > range text > number 0-23.
+def hour_bin_index(num) -> Column:
+    """Numeric hour (DOUBLE) -> 0..3 index of its 6-hour daypart, truncating
+    toward zero so -0.5 counts as hour 0 (Q7); NULL outside (-1, 24)."""
+    h = _col(num)
+    return F.when((h > -1) & (h < 24), F.floor(h.cast("int") / 6).cast("int"))
 
-    A numeric hour is truncated toward zero, so -0.5 becomes 0 (Q7).
-    """
-    raw = clean_text(c)
-    label = F.when(raw.isin(D.DAYPART_LABELS), raw)
-    ranged = lookup(raw, D.DAYPART_RANGES)
-    h = lenient_number(raw)
-    # DAYPART_BOUNDS are four 6-hour bins, so the bin index is hour div 6.
-    # (An explicit CASE: element_at over a literal array does not give NULL
-    # for a NULL index on this Spark version.)
-    idx = F.when((h > -1) & (h < 24), F.floor(h.cast("int") / 6).cast("int"))
+
+def daypart_from_parts(text, bin_index) -> Column:
+    """P10 on pre-parsed parts: label > range text > numeric bin."""
+    t, idx = _col(text), _col(bin_index)
+    label = F.when(t.isin(D.DAYPART_LABELS), t)
+    ranged = lookup(t, D.DAYPART_RANGES)
+    # An explicit CASE: element_at over a literal array does not give NULL
+    # for a NULL index on this Spark version.
     numeric = None
     for i, (_, _, name) in enumerate(D.DAYPART_BOUNDS):
         numeric = F.when(idx == i, F.lit(name)) if numeric is None else numeric.when(idx == i, F.lit(name))
     return F.coalesce(label, ranged, numeric)
 
 
+def hour_to_daypart(c) -> Column:
+    """P10: daypart from a raw hour. Priority: label > range text > number 0-23."""
+    return daypart_from_parts(clean_text(c), hour_bin_index(lenient_number(c)))
+
+
 def motorcycle_flag(c) -> Column:
     """Accepted 0/1 spellings -> BIGINT 0/1, everything else NULL (Q18)."""
     return lookup(_col(c).cast("string"), D.MOTORCYCLE_TEXT).cast("bigint")

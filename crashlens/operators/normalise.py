@@ -56,39 +56,50 @@ def _uid(df: DataFrame, col: str):
     return S.clean_text(col) if col in df.columns else F.lit(None).cast("string")
 
 
+def _normalise(raw: DataFrame, uid: str, year: str, hour: str, moto: str, mappings, maps, keep) -> DataFrame:
+    """Two projections: parse every raw cell once (trimmed text or number),
+    then map. Keeping the parsed values as columns stops the lookups from
+    re-inlining the parse expressions, which keeps plans and generated code
+    small."""
+    parsed = raw.select(
+        _uid(raw, uid).alias("_uid"),
+        S.lenient_number(year).alias("_year"),
+        S.clean_text(hour).alias("_hour_t"),
+        S.hour_bin_index(S.lenient_number(hour)).alias("_hour_i"),
+        F.col(moto).alias("_moto"),
+        *[(S.lenient_number(src) if how == "int" else S.clean_text(src)).alias(f"_src_{i}")
+          for i, (_, src, how) in enumerate(mappings)],
+        *keep,
+    )
+    mapped = {}
+    for i, (target, _, how) in enumerate(mappings):
+        v = S.int_from_number(f"_src_{i}") if how == "int" else F.col(f"_src_{i}")
+        mapped[target] = S.lookup(v, maps[target])
+    return parsed.select(
+        F.col("_uid").alias("AccidentUID"),
+        S.int_from_number("_year").alias("AccidentYear"),
+        mapped["AccidentMonth"].alias("AccidentMonth"),
+        mapped["AccidentWeekDay"].alias("AccidentWeekDay"),
+        S.daypart_from_parts("_hour_t", "_hour_i").alias("AccidentHour"),
+        mapped["CantonCode"].alias("CantonCode"),
+        mapped["AccidentSeverityCategory"].alias("AccidentSeverityCategory"),
+        S.motorcycle_flag("_moto").alias("AccidentInvolvingMotorcycle"),
+        *keep,
+    )
+
+
 def normalise_de(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """German extract -> harmonised 8 columns (+ any ``keep`` columns)."""
     require_columns(raw, DE_REQUIRED, "Data_DE")
-    maps = {t: S.lookup(_source_value(raw, s, how), DE_MAPS[t]) for t, s, how in DE_MAPPINGS}
-    return raw.select(
-        _uid(raw, "UIDENTSTLAE").alias("AccidentUID"),
-        S.lenient_int("UJAHR").alias("AccidentYear"),
-        maps["AccidentMonth"].alias("AccidentMonth"),
-        maps["AccidentWeekDay"].alias("AccidentWeekDay"),
-        S.hour_to_daypart("USTUNDE").alias("AccidentHour"),
-        maps["CantonCode"].alias("CantonCode"),
-        maps["AccidentSeverityCategory"].alias("AccidentSeverityCategory"),
-        S.motorcycle_flag("IstKrad").alias("AccidentInvolvingMotorcycle"),
-        *keep,
-    )
+    return _normalise(raw, "UIDENTSTLAE", "UJAHR", "USTUNDE", "IstKrad", DE_MAPPINGS, DE_MAPS, keep)
 
 
 def normalise_ch(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Swiss extract -> harmonised 8 columns (header typo repaired first, S8)."""
     raw = repair_ch_header(raw)
     require_columns(raw, CH_REQUIRED, "Data_CH")
-    maps = {t: S.lookup(_source_value(raw, s, how), CH_MAPS[t]) for t, s, how in CH_MAPPINGS}
-    return raw.select(
-        _uid(raw, "AccidentUID").alias("AccidentUID"),
-        S.lenient_int("AccidentYear").alias("AccidentYear"),
-        maps["AccidentMonth"].alias("AccidentMonth"),
-        maps["AccidentWeekDay"].alias("AccidentWeekDay"),
-        S.hour_to_daypart("AccidentHour").alias("AccidentHour"),
-        maps["CantonCode"].alias("CantonCode"),
-        maps["AccidentSeverityCategory"].alias("AccidentSeverityCategory"),
-        S.motorcycle_flag("AccidentInvolvingMotorcycle").alias("AccidentInvolvingMotorcycle"),
-        *keep,
-    )
+    return _normalise(raw, "AccidentUID", "AccidentYear", "AccidentHour", "AccidentInvolvingMotorcycle",
+                      CH_MAPPINGS, CH_MAPS, keep)
 
 
 def harmonise(de_raw: DataFrame, ch_raw: DataFrame) -> DataFrame:

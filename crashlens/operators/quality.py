@@ -60,17 +60,31 @@ def flag_errors(df: DataFrame, null_check: str = "required") -> DataFrame:
     return df.withColumn(REASONS, reason_array(df, null_check))
 
 
+def rows_where(df: DataFrame, cond: Column) -> DataFrame:
+    """Keep the rows where ``cond`` holds, via a generator (0 or 1 output rows
+    per input row) instead of a Filter node.
+
+    A Filter on a derived flag is pushed down through the normalisation
+    projections, and Catalyst then inlines every check, and every expression
+    the checks depend on, into the scan-side predicate, evaluating the whole
+    normalisation twice per row. A generator is not pushed through, so the
+    checks run once against already-computed columns. Narrow, no shuffle.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.select(F.inline(F.when(F.coalesce(cond, F.lit(False)), F.array(row))
+                              .otherwise(F.array_repeat(row, 0))))
+
+
 def find_errors(df: DataFrame, null_check: str = "required") -> DataFrame:
     """Error rows with their reasons joined by '; ' in ``ErrorReasons``."""
     flagged = flag_errors(df, null_check)
-    return (flagged.where(F.size(REASONS) > 0)
-            .withColumn(ERROR_REASONS, F.array_join(REASONS, "; "))
-            .drop(REASONS))
+    bad = rows_where(flagged, F.size(REASONS) > 0)
+    return bad.withColumn(ERROR_REASONS, F.array_join(REASONS, "; ")).drop(REASONS)
 
 
 def clean_rows(df: DataFrame, null_check: str = "required") -> DataFrame:
     """Rows without any reason (the mask complement of ``find_errors``)."""
-    return flag_errors(df, null_check).where(F.size(REASONS) == 0).drop(REASONS)
+    return rows_where(flag_errors(df, null_check), F.size(REASONS) == 0).drop(REASONS)
 
 
 def filter_year(df: DataFrame, year: int = D.DEFAULT_YEAR) -> DataFrame:

@@ -12,7 +12,7 @@ analyses read ``night`` (or ``final``); on a cluster, write ``night`` once
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,34 +21,59 @@ from ..operators import joins, night, normalise, quality
 from ..sources import fixtures, raw, twilight as tw
 
 
-@dataclass
 class Stages:
-    de_raw: DataFrame
-    ch_raw: DataFrame
-    merged: DataFrame
-    errors: DataFrame
-    clean: DataFrame
-    final: DataFrame
-    hours: DataFrame
-    with_hour: DataFrame
-    twilight: DataFrame
-    night: DataFrame
+    """Every stage of the chain, declared on first use (so a query analyses
+    only the stages it reads) and then reused."""
+
+    def __init__(self, de_raw: DataFrame, ch_raw: DataFrame, year: int = D.DEFAULT_YEAR,
+                 twilight: DataFrame | None = None, on_missing_hour: str = "day", null_check: str = "required"):
+        self.de_raw, self.ch_raw, self.year = de_raw, ch_raw, year
+        self._twilight, self.on_missing_hour, self.null_check = twilight, on_missing_hour, null_check
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        return normalise.harmonise(self.de_raw, self.ch_raw)
+
+    @cached_property
+    def flagged(self) -> DataFrame:
+        return quality.flag_errors(self.merged, self.null_check)
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return quality.find_errors(self.merged, self.null_check)
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return quality.clean_rows(self.merged, self.null_check)
+
+    @cached_property
+    def final(self) -> DataFrame:
+        return quality.filter_year(self.clean, self.year)
+
+    @cached_property
+    def hours(self) -> DataFrame:
+        return joins.hour_lookup(self.de_raw, self.ch_raw)
+
+    @cached_property
+    def with_hour(self) -> DataFrame:
+        return joins.add_numeric_hour(self.final, self.hours)
+
+    @cached_property
+    def twilight(self) -> DataFrame:
+        if self._twilight is not None:
+            return self._twilight
+        return tw.solar_twilight(self.de_raw.sparkSession, self.year)
+
+    @cached_property
+    def night(self) -> DataFrame:
+        return night.classify_night(self.with_hour, self.twilight, self.year, self.on_missing_hour)
 
 
 def build_stages(de_raw: DataFrame, ch_raw: DataFrame, year: int = D.DEFAULT_YEAR,
                  twilight: DataFrame | None = None, on_missing_hour: str = "day",
                  null_check: str = "required") -> Stages:
-    """Declare every stage of the chain over two raw extracts."""
-    spark = de_raw.sparkSession
-    merged = normalise.harmonise(de_raw, ch_raw)
-    errors = quality.find_errors(merged, null_check)
-    clean = quality.clean_rows(merged, null_check)
-    final = quality.filter_year(clean, year)
-    hours = joins.hour_lookup(de_raw, ch_raw)
-    with_hour = joins.add_numeric_hour(final, hours)
-    dim = twilight if twilight is not None else tw.solar_twilight(spark, year)
-    classified = night.classify_night(with_hour, dim, year, on_missing_hour)
-    return Stages(de_raw, ch_raw, merged, errors, clean, final, hours, with_hour, dim, classified)
+    """Declare the chain over two raw extracts."""
+    return Stages(de_raw, ch_raw, year, twilight, on_missing_hour, null_check)
 
 
 def fixture_stages(spark: SparkSession, sf_dir: str, year: int = D.DEFAULT_YEAR,
