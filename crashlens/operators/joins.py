@@ -34,12 +34,20 @@ def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str
     return reduce(lambda a, b: a & b, [left[l].eqNullSafe(right[r]) for l, r in pairs])
 
 
+# The (source, file order) ranking is packed into one BIGINT: source in bit 62,
+# file order (monotonically_increasing_id, < 2^62 for fewer than 2^29 input
+# partitions) below it. A primitive ordering keeps ``min_by`` in a hash
+# aggregate with map-side partial aggregation (a struct ordering would force a
+# sort-based aggregate).
+_SOURCE_BIT = 1 << 62
+
+
 def _hours(raw: DataFrame, uid_col: str, hour_col: str, priority: int) -> DataFrame:
     order = F.col(ORDINAL) if ORDINAL in raw.columns else F.lit(0).cast("bigint")
     return raw.select(
         S.clean_text(uid_col).alias(UID),
         S.lenient_int(hour_col).alias(HOUR),
-        F.struct(F.lit(priority).alias("src"), order.alias("ord")).alias("_first"),
+        (F.lit(priority * _SOURCE_BIT).cast("bigint") + order).alias("_first"),
     )
 
 
