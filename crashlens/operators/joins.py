@@ -66,6 +66,15 @@ def hour_lookup(de_raw: DataFrame, ch_raw: DataFrame) -> DataFrame:
     return both.groupBy(UID).agg(F.min_by(HOUR, "_first").alias(HOUR))
 
 
+def hour_lookup_from(harmonised: DataFrame) -> DataFrame:
+    """J2 + W2 from a harmonised table carrying the lookup columns
+    (``normalise.harmonise(..., lookup_columns=True)``): same result as
+    :func:`hour_lookup` on the raw extracts, without reading them again."""
+    from .normalise import LOOKUP_HOUR, LOOKUP_RANK
+    both = harmonised.where(F.col(LOOKUP_HOUR).isNotNull())
+    return both.groupBy(UID).agg(F.min_by(LOOKUP_HOUR, LOOKUP_RANK).alias(HOUR))
+
+
 def place_after(df: DataFrame, col: str, anchor: str) -> DataFrame:
     """Move ``col`` right after ``anchor`` (no-op when either is absent)."""
     if col not in df.columns or anchor not in df.columns:

@@ -56,11 +56,27 @@ def _uid(df: DataFrame, col: str):
     return S.clean_text(col) if col in df.columns else F.lit(None).cast("string")
 
 
-def _normalise(raw: DataFrame, uid: str, year: str, hour: str, moto: str, mappings, maps, keep) -> DataFrame:
+LOOKUP_HOUR = "_hour_num"
+LOOKUP_RANK = "_rank"
+# Source priority for "first hour per key": Swiss rows before German ones (Q12),
+# packed above the file order into one BIGINT (see joins.hour_lookup).
+SOURCE_BIT = 1 << 62
+
+
+def _lookup_columns(raw: DataFrame, hour: str, priority: int):
+    from ..sources.fixtures import ORDINAL
+    order = F.col(ORDINAL) if ORDINAL in raw.columns else F.lit(0).cast("bigint")
+    return {LOOKUP_HOUR: S.lenient_int(hour),
+            LOOKUP_RANK: F.lit(priority * SOURCE_BIT).cast("bigint") + order}
+
+
+def _normalise(raw: DataFrame, uid: str, year: str, hour: str, moto: str, mappings, maps, keep,
+               extra: dict | None = None) -> DataFrame:
     """Two projections: parse every raw cell once (trimmed text or number),
     then map. Keeping the parsed values as columns stops the lookups from
     re-inlining the parse expressions, which keeps plans and generated code
     small."""
+    extra = extra or {}
     parsed = raw.select(
         _uid(raw, uid).alias("_uid"),
         S.lenient_number(year).alias("_year"),
@@ -69,7 +85,8 @@ def _normalise(raw: DataFrame, uid: str, year: str, hour: str, moto: str, mappin
         F.col(moto).alias("_moto"),
         *[(S.lenient_number(src) if how == "int" else S.clean_text(src)).alias(f"_src_{i}")
           for i, (_, src, how) in enumerate(mappings)],
-        *keep,
+        *[F.col(k) if isinstance(k, str) else k for k in keep],
+        *[c.alias(name) for name, c in extra.items()],
     )
     mapped = {}
     for i, (target, _, how) in enumerate(mappings):
@@ -85,29 +102,40 @@ def _normalise(raw: DataFrame, uid: str, year: str, hour: str, moto: str, mappin
         mapped["AccidentSeverityCategory"].alias("AccidentSeverityCategory"),
         S.motorcycle_flag("_moto").alias("AccidentInvolvingMotorcycle"),
         *keep,
+        *extra.keys(),
     )
 
 
-def normalise_de(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """German extract -> harmonised 8 columns (+ any ``keep`` columns)."""
+def normalise_de(raw: DataFrame, keep: tuple = (), lookup_columns: bool = False) -> DataFrame:
+    """German extract -> harmonised 8 columns (+ ``keep`` columns, + the
+    hour-lookup columns when asked)."""
     require_columns(raw, DE_REQUIRED, "Data_DE")
-    return _normalise(raw, "UIDENTSTLAE", "UJAHR", "USTUNDE", "IstKrad", DE_MAPPINGS, DE_MAPS, keep)
+    extra = _lookup_columns(raw, "USTUNDE", 1) if lookup_columns else None
+    return _normalise(raw, "UIDENTSTLAE", "UJAHR", "USTUNDE", "IstKrad", DE_MAPPINGS, DE_MAPS, tuple(keep), extra)
 
 
-def normalise_ch(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def normalise_ch(raw: DataFrame, keep: tuple = (), lookup_columns: bool = False) -> DataFrame:
     """Swiss extract -> harmonised 8 columns (header typo repaired first, S8)."""
     raw = repair_ch_header(raw)
     require_columns(raw, CH_REQUIRED, "Data_CH")
+    extra = _lookup_columns(raw, "AccidentHour", 0) if lookup_columns else None
     return _normalise(raw, "AccidentUID", "AccidentYear", "AccidentHour", "AccidentInvolvingMotorcycle",
-                      CH_MAPPINGS, CH_MAPS, keep)
+                      CH_MAPPINGS, CH_MAPS, tuple(keep), extra)
+
 
+def harmonise(de_raw: DataFrame, ch_raw: DataFrame, lookup_columns: bool = False) -> DataFrame:
+    """UNION ALL of the normalised sources, DE first, with the published types.
 
-def harmonise(de_raw: DataFrame, ch_raw: DataFrame) -> DataFrame:
-    """UNION ALL of the normalised sources, DE first, with the published types."""
-    merged = normalise_de(de_raw).unionByName(normalise_ch(ch_raw))
+    ``lookup_columns`` also keeps, per raw row, its parsed numeric hour and its
+    (source, file order) rank, so the hour lookup can be built from this one
+    table instead of a second read of the raw extracts.
+    """
+    extra = [LOOKUP_HOUR, LOOKUP_RANK] if lookup_columns else []
+    merged = normalise_de(de_raw, lookup_columns=lookup_columns).unionByName(
+        normalise_ch(ch_raw, lookup_columns=lookup_columns))
     return merged.select(
         *[F.col(c).cast("bigint").alias(c) if c in ("AccidentYear", "AccidentInvolvingMotorcycle")
-          else F.col(c) for c in HARMONISED]
+          else F.col(c) for c in HARMONISED], *extra
     )
 
 

@@ -26,13 +26,23 @@ class Stages:
     only the stages it reads) and then reused."""
 
     def __init__(self, de_raw: DataFrame, ch_raw: DataFrame, year: int = D.DEFAULT_YEAR,
-                 twilight: DataFrame | None = None, on_missing_hour: str = "day", null_check: str = "required"):
+                 twilight: DataFrame | None = None, on_missing_hour: str = "day", null_check: str = "required",
+                 materialise: bool = False):
         self.de_raw, self.ch_raw, self.year = de_raw, ch_raw, year
         self._twilight, self.on_missing_hour, self.null_check = twilight, on_missing_hour, null_check
+        self.materialise = materialise
+
+    @cached_property
+    def harmonised(self) -> DataFrame:
+        """Harmonised rows plus the hour-lookup columns; with ``materialise``
+        written once as Parquet under the shared checkpoint folder, so the raw
+        extracts are read exactly once for the whole chain."""
+        base = normalise.harmonise(self.de_raw, self.ch_raw, lookup_columns=True)
+        return raw.materialise(base, "harmonised") if self.materialise else base
 
     @cached_property
     def merged(self) -> DataFrame:
-        return normalise.harmonise(self.de_raw, self.ch_raw)
+        return self.harmonised.select(*normalise.HARMONISED)
 
     @cached_property
     def flagged(self) -> DataFrame:
@@ -52,7 +62,7 @@ class Stages:
 
     @cached_property
     def hours(self) -> DataFrame:
-        return joins.hour_lookup(self.de_raw, self.ch_raw)
+        return joins.hour_lookup_from(self.harmonised)
 
     @cached_property
     def with_hour(self) -> DataFrame:
@@ -71,9 +81,9 @@ class Stages:
 
 def build_stages(de_raw: DataFrame, ch_raw: DataFrame, year: int = D.DEFAULT_YEAR,
                  twilight: DataFrame | None = None, on_missing_hour: str = "day",
-                 null_check: str = "required") -> Stages:
+                 null_check: str = "required", materialise: bool = False) -> Stages:
     """Declare the chain over two raw extracts."""
-    return Stages(de_raw, ch_raw, year, twilight, on_missing_hour, null_check)
+    return Stages(de_raw, ch_raw, year, twilight, on_missing_hour, null_check, materialise)
 
 
 def fixture_stages(spark: SparkSession, sf_dir: str, year: int = D.DEFAULT_YEAR,
@@ -84,13 +94,14 @@ def fixture_stages(spark: SparkSession, sf_dir: str, year: int = D.DEFAULT_YEAR,
 
 
 def file_stages(spark: SparkSession, de_path: str, ch_path: str, year: int = D.DEFAULT_YEAR,
-                twilight_cache: str | None = None) -> Stages:
-    """The chain over raw files (CSV with sniffed separator, or Parquet)."""
+                twilight_cache: str | None = None, materialise: bool = True) -> Stages:
+    """The chain over raw files (CSV with sniffed separator, or Parquet); by
+    default the harmonised table is written once and every stage reads it."""
     from pyspark.sql import functions as F
     de = raw.read_raw(spark, de_path).withColumn(fixtures.ORDINAL, F.monotonically_increasing_id())
     ch = raw.read_raw(spark, ch_path).withColumn(fixtures.ORDINAL, F.monotonically_increasing_id())
     dim = tw.load_twilight_cache(spark, twilight_cache) if twilight_cache else None
-    return build_stages(de, ch, year, dim)
+    return build_stages(de, ch, year, dim, materialise=materialise)
 
 
 def materialise_night(stages: Stages, name: str = "night") -> DataFrame:

@@ -96,3 +96,15 @@ def test_duplicates_and_profile(spark):
     assert quality.duplicate_count(df).collect()[0].n_duplicates == 2
     p = quality.table_profile(df).collect()[0]
     assert (p.n_rows, p.n_columns, p.empty_cells) == (5, 1, 2)
+
+
+def test_hour_lookup_from_harmonised_equals_raw_lookup(spark):
+    st = fixture_stages(spark, SF001)
+    assert _rows(joins.hour_lookup_from(st.harmonised)) == _rows(joins.hour_lookup(st.de_raw, st.ch_raw))
+
+
+def test_materialised_chain_equals_lazy_chain(spark):
+    from crashlens.plans.stages import Stages
+    lazy = fixture_stages(spark, SF001)
+    mat = Stages(lazy.de_raw, lazy.ch_raw, materialise=True)
+    assert _rows(mat.night) == _rows(lazy.night)
