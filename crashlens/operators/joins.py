@@ -8,10 +8,11 @@ Scale notes
 * J1 is a left equi-join on the key. Neither side has a proven size bound, so
   no broadcast hint is given; AQE may still broadcast at run time from real
   sizes, and its skew-join split handles a hot key on the (preserved) left side.
-* J4 multiset removal never regenerates rows and never sorts a whole key
-  group in one task: rows are ranked inside (key, input partition) cells whose
-  size is bounded by one partition, and the cells are offset by a cumulative
-  count over the (small) key x partition table.
+* J4 multiset removal never sorts or regenerates a whole key group in one
+  task: work is done per (key, input partition) cell, bounded by one
+  partition, with cells offset by a running count over the key x partition
+  table. With all columns compared, cells are counted map-side and only the
+  surviving copies re-emitted; with fewer, rows are ranked inside their cell.
 """
 
 from __future__ import annotations
@@ -141,13 +142,22 @@ def remove_error_entries(df: DataFrame, errors: DataFrame,
     keep_direct = m.where(F.col("_k").isNull())
     matched = m.where(F.col("_k").isNotNull())
 
-    order_by = list(order_by or df.columns)
-    cells = matched.groupBy(*common, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    cells = matched.groupBy(*common, "_p").agg(F.count(F.lit(1)).alias("_c"), F.max("_k").alias("_k"))
     w = Window.partitionBy(*common).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(*[F.col(c).alias(f"_o_{c}") for c in common], F.col("_p").alias("_o_p"),
-                           F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    cells = cells.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    cols = df.columns
+    if set(common) == set(cols):
+        # All columns compared: matched rows of a key are identical, so each
+        # (key, input partition) cell just keeps c - min(c, max(0, k - offset))
+        # copies. Cells are partially aggregated map-side and re-expanded one
+        # cell at a time (at most one input partition's rows), no row ranking.
+        keep = F.col("_c") - F.least(F.col("_c"), F.greatest(F.lit(0), F.col("_k") - F.col("_off")))
+        survivors = cells.select(*common, F.explode(F.array_repeat(F.lit(1), keep.cast("int"))).alias("_one"))
+        return keep_direct.select(*cols).unionByName(survivors.select(*cols))
+
+    order_by = list(order_by or df.columns)
+    offsets = cells.select(*[F.col(c).alias(f"_o_{c}") for c in common], F.col("_p").alias("_o_p"), "_off")
     ranked = matched.withColumn("_r", F.row_number().over(Window.partitionBy(*common, "_p").orderBy(*order_by)))
     cond = _null_safe(ranked, offsets, [(c, f"_o_{c}") for c in common]) & (ranked["_p"] == offsets["_o_p"])
     survivors = ranked.join(offsets, cond, "inner").where(F.col("_off") + F.col("_r") > F.col("_k"))
-    cols = df.columns
     return keep_direct.select(*cols).unionByName(survivors.select(*cols))

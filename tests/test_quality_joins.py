@@ -108,3 +108,16 @@ def test_materialised_chain_equals_lazy_chain(spark):
     lazy = fixture_stages(spark, SF001)
     mat = Stages(lazy.de_raw, lazy.ch_raw, materialise=True)
     assert _rows(mat.night) == _rows(lazy.night)
+
+
+def test_j4_hot_group_across_partitions(spark):
+    hot = [("h", 1)] * 900
+    df = spark.createDataFrame(hot + [("x", i) for i in range(100)], "k string, v int").repartition(8)
+    err = spark.createDataFrame([("h", 1)] * 300 + [("x", 5), ("zz", 0)], "k string, v int")
+    out = joins.remove_error_entries(df, err)
+    counts = {r.k: r.n for r in out.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"h": 600, "x": 99}
+    # fewer columns compared: 300 of the 'h' rows and one 'x' row go
+    sub = joins.remove_error_entries(df, err.select("k").where("k != 'x'"))
+    counts = {r.k: r.n for r in sub.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"h": 600, "x": 100}
