@@ -63,6 +63,8 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "source_profile": lambda s: quality.source_profile(s.de_raw, s.ch_raw),
     "source_daypart_counts": lambda s: quality.source_daypart_counts(s.de_raw, s.ch_raw),
     "hour_match": lambda s: quality.hour_match_count(s.with_hour),
+    "hour_lookup": lambda s: joins.hour_lookup(s.de_raw, s.ch_raw),
+    "occurrence_numbers": lambda s: joins.occurrence_number(s.merged, normalise.HARMONISED, out="occurrence"),
     "twilight_pairs": _twilight_pairs,
     # display schema
     "display_final": lambda s: display.to_display(s.final),

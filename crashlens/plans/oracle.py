@@ -487,6 +487,8 @@ def bodies() -> dict[str, str]:
             f"SELECT '{ds}' AS dataset, AccidentHour, count(*) AS n FROM {t} WHERE AccidentHour IS NOT NULL GROUP BY AccidentHour"
             for ds, t in (("DE", "norm_de"), ("CH", "norm_ch"))),
         "hour_match": "SELECT count(AccidentHourNumeric) AS n_matched, count(*) AS n_rows FROM with_hour",
+        "hour_lookup": "SELECT uid AS AccidentUID, AccidentHourNumeric FROM hours",
+        "occurrence_numbers": f"SELECT *, CAST(row_number() OVER (PARTITION BY {COLS8}) - 1 AS BIGINT) AS occurrence FROM merged",
         "twilight_pairs": _pairs(),
         "display_final": _display("final", False),
         "display_errors": _display("errors", True),
@@ -581,8 +583,8 @@ LINEITEM_TYPES = ("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_line
                   "l_linestatus VARCHAR, l_shipdate TIMESTAMP")
 
 
-def _double_columns(sql: str) -> list[str]:
-    """Names of the DOUBLE output columns of ``sql``, found by binding it
+def _output_types(sql: str) -> list[tuple[str, str]]:
+    """(name, type) of the output columns of ``sql``, found by binding it
     (DESCRIBE) against an empty ``lineitem`` of the driver's schema."""
     try:
         import duckdb
@@ -591,7 +593,7 @@ def _double_columns(sql: str) -> list[str]:
     con = duckdb.connect()
     try:
         con.execute(f"CREATE TABLE lineitem ({LINEITEM_TYPES})")
-        return [r[0] for r in con.execute(f"DESCRIBE {sql}").fetchall() if r[1] in ("DOUBLE", "FLOAT")]
+        return [(r[0], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()]
     except duckdb.Error:
         return []
     finally:
@@ -600,14 +602,19 @@ def _double_columns(sql: str) -> list[str]:
 
 def oracle_sql(year: int = D.DEFAULT_YEAR) -> dict[str, str]:
     """Full DuckDB SQL text per query: the shared chain + the body, with every
-    DOUBLE column rounded to 6 decimals (as the Spark side does)."""
+    DOUBLE column rounded to 6 decimals (as the Spark side does) and HUGEINT
+    counts narrowed to BIGINT."""
     head = chain(year)
     out = {}
     for name, body in bodies().items():
         sql = f"{head},\n_q AS ({body})\nSELECT * FROM _q"
-        dbl = _double_columns(sql)
-        if dbl:
-            rep = ", ".join(f'round("{c}", 6) AS "{c}"' for c in dbl)
-            sql = f"{head},\n_q AS ({body})\nSELECT * REPLACE ({rep}) FROM _q"
+        rep = []
+        for c, t in _output_types(sql):
+            if t in ("DOUBLE", "FLOAT"):
+                rep.append(f'round("{c}", 6) AS "{c}"')
+            elif t == "HUGEINT":  # DuckDB widens some counts; Spark counts are BIGINT
+                rep.append(f'CAST("{c}" AS BIGINT) AS "{c}"')
+        if rep:
+            sql = f"{head},\n_q AS ({body})\nSELECT * REPLACE ({', '.join(rep)}) FROM _q"
         out[name] = sql
     return out
