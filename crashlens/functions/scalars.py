@@ -43,10 +43,21 @@ def lenient_int(c) -> Column:
     return int_from_number(lenient_number(c))
 
 
+_MAPS: dict[tuple, Column] = {}
+
+
+def _map_literal(mapping: Mapping) -> Column:
+    # Literal-only Column objects are reusable across DataFrames; building
+    # each map once saves hundreds of driver-to-JVM calls per plan.
+    key = tuple(mapping.items())
+    if key not in _MAPS:
+        _MAPS[key] = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in mapping.items()))
+    return _MAPS[key]
+
+
 def lookup(c, mapping: Mapping) -> Column:
     """Dictionary lookup; keys outside the map give NULL."""
-    m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in mapping.items()))
-    return F.try_element_at(m, _col(c))
+    return F.try_element_at(_map_literal(mapping), _col(c))
 
 
 def hour_bin_index(num) -> Column:

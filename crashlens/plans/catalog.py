@@ -25,9 +25,29 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
                        for c, t in df.dtypes])
 
 
+_STAGES: dict[tuple[int, str], tuple[SparkSession, Stages]] = {}
+
+
+def stages_for(spark: SparkSession, sf_dir: str) -> Stages:
+    """One lazy stage chain per (session, data folder), shared by all queries.
+
+    Only plan objects are shared (nothing is cached in memory): every query
+    still runs from the raw tables, but Catalyst analysis of the common
+    stages is done once instead of once per query.
+    """
+    key = (id(spark), sf_dir)
+    hit = _STAGES.get(key)
+    # The entry holds the session itself (so its id cannot be reused) and is
+    # dropped once that session's context has been stopped.
+    if hit is None or hit[0] is not spark or spark.sparkContext._jsc is None:
+        hit = (spark, fixture_stages(spark, sf_dir))
+        _STAGES[key] = hit
+    return hit[1]
+
+
 def _q(fn: Callable[[Stages], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_doubles(fn(fixture_stages(spark, sf_dir)))
+        return round_doubles(fn(stages_for(spark, sf_dir)))
     run.__doc__ = fn.__doc__
     return run
 
