@@ -88,8 +88,15 @@ def clean_rows(df: DataFrame, null_check: str = "required") -> DataFrame:
 
 
 def filter_year(df: DataFrame, year: int = D.DEFAULT_YEAR) -> DataFrame:
-    """Keep one accident year; prunes partitions when stored by year."""
-    return df.where(S.lenient_int(F.col("AccidentYear")) == F.lit(year))
+    """Keep one accident year; prunes partitions when stored by year.
+
+    An integral column is compared directly (a plain, pushable predicate);
+    text is parsed leniently first.
+    """
+    col = F.col("AccidentYear")
+    if dict(df.dtypes).get("AccidentYear") in ("bigint", "int", "smallint", "tinyint"):
+        return df.where(col == F.lit(year))
+    return df.where(S.lenient_int(col) == F.lit(year))
 
 
 def null_counts(df: DataFrame) -> DataFrame:

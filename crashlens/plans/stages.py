@@ -58,7 +58,9 @@ class Stages:
 
     @cached_property
     def final(self) -> DataFrame:
-        return quality.filter_year(self.clean, self.year)
+        # Year first, then the row checks: both are row-wise, so the result
+        # equals filtering the clean rows, but the checks only see one year.
+        return quality.clean_rows(quality.filter_year(self.merged, self.year), self.null_check)
 
     @cached_property
     def hours(self) -> DataFrame:
