@@ -279,7 +279,8 @@ def night_by_season(night: DataFrame) -> DataFrame:
 
 def monthly_daylight(twilight: DataFrame, year: int = D.DEFAULT_YEAR) -> DataFrame:
     """Mean daylight (dawn to dusk, hours) per month over all points, unweighted."""
-    return (twilight.where(F.col("year") == year).groupBy(F.col("month").alias("month_num"))
+    ref_day = F.dayofmonth("ref_date") == D.REFERENCE_DAY
+    return (twilight.where((F.col("year") == year) & ref_day).groupBy(F.col("month").alias("month_num"))
             .agg(F.avg("daylight_hours").alias("daylight_hours")))
 
 

@@ -75,3 +75,25 @@ def test_query_matches_oracle(spark, name):
     d = sorted((tuple(row[names.index(c)] for c in cols) for row in res.fetchall()), key=key)
     assert sorted(names) == cols
     assert s == d
+
+
+def test_cache_with_extra_days_keeps_one_row_per_month(spark, tmp_path):
+    from crashlens.operators.night import classify_night
+    lat, lng = D.DE_POINTS["BE_DE"]
+    cache = {f"{lat},{lng},2024-01-{d:02d}": {"begin": "2024-01-15T06:30:26+00:00", "end": "2024-01-15T16:00:48+00:00"}
+             for d in (14, 15, 16)}
+    p = tmp_path / "cache.json"
+    p.write_text(json.dumps(cache))
+    dim = tw.load_twilight_cache(spark, str(p))
+    df = spark.createDataFrame([("1", "Jan", "BE_DE", 5)], "AccidentUID string, AccidentMonth string, CantonCode string, AccidentHourNumeric bigint")
+    out = classify_night(df, dim).collect()
+    assert len(out) == 1 and out[0].NightAccident == 1
+
+
+def test_missing_hour_day_or_error(spark):
+    from crashlens.operators.night import classify_night
+    dim = tw.solar_twilight(spark, 2024)
+    df = spark.createDataFrame([("1", "Jan", "ZH_CH", None)], "AccidentUID string, AccidentMonth string, CantonCode string, AccidentHourNumeric bigint")
+    assert classify_night(df, dim).collect()[0].NightAccident == 0
+    with pytest.raises(Exception, match="numeric hour missing"):
+        classify_night(df, dim, on_missing_hour="error").collect()
