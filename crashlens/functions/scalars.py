@@ -192,8 +192,9 @@ def night_flag(hour, dawn_hour, dusk_hour) -> Column:
 
 
 def span_hours(begin, end) -> Column:
-    """Hours between two timestamps (epoch difference)."""
-    return (F.unix_timestamp(_col(end).cast("timestamp")) - F.unix_timestamp(_col(begin).cast("timestamp"))) / 3600.0
+    """Hours between two UTC TIMESTAMP_NTZ values (independent of the
+    session time zone, so no DST shift of the session zone leaks in)."""
+    return F.timestamp_diff("SECOND", _col(begin), _col(end)) / 3600.0
 
 
 def _flip_location(c, to_display: bool) -> Column:

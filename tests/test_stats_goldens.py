@@ -101,3 +101,15 @@ def test_season_schemes(spark, scheme, month, label):
     from crashlens.functions import scalars as S
     df = spark.createDataFrame([(month,)], "m int")
     assert df.select(S.season(F.col("m"), scheme)).collect()[0][0] == label
+
+
+def test_confusion_cells_sum_to_total(spark):
+    from crashlens.plans import analyses as A
+    from crashlens.plans.stages import fixture_stages
+    from .conftest import SF001
+    night = fixture_stages(spark, SF001).night
+    cm = {r.cell: (r.n, r.pct) for r in A.confusion_matrix(night).collect()}
+    assert sum(n for n, _ in cm.values()) == night.count()
+    assert abs(sum(p for _, p in cm.values()) - 100.0) < 1e-9
+    by_month = A.misclass_by_month(night).agg(F.sum("fp_n").alias("fp"), F.sum("fn_total").alias("fn")).collect()[0]
+    assert (by_month.fp, by_month.fn) == (cm["FP"][0], cm["FN"][0])

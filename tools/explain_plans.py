@@ -57,8 +57,8 @@ def main() -> None:
              "per extract, reading only the columns the fixture needs; the hour-lookup branch is pruned",
              "further. Row checks and the clean/error split are `Generate inline` (no scan-side Filter with",
              "inlined checks). The hour lookup is a partial `HashAggregate` before its only hash exchange;",
-             "its join is broadcast by AQE only when the runtime size is under the threshold (sort-merge",
-             "otherwise). The other broadcast is the twilight dimension (at most 17 x 12 rows). Analyses",
+             "its join is broadcast only when Spark's size estimate, or AQE's runtime size, is under the",
+             "broadcast threshold (sort-merge otherwise). The other broadcast is the twilight dimension (at most 17 x 12 rows). Analyses",
              "add one partial aggregation each; `Window` nodes run on aggregated, domain-sized results.",
              "J4 (`clean_rows_multiset`) compares two derived tables, hence more scans and exchanges.", ""]
     for name in QUERIES:
