@@ -4,7 +4,8 @@ Pattern: one aggregation over the big table with map-side partial
 aggregation, producing a result whose size is bounded by the category domains
 (months x dayparts x ...). Windows, shares and tests then run on that small
 result only. Zero-filled category spines come from conditional counts over a
-fixed value list (no join, no cross product).
+fixed value list read off the small aggregated result (no join, no cross
+product).
 """
 
 from __future__ import annotations
@@ -33,23 +34,29 @@ def spine_metrics(df: DataFrame, key: Column | str, spine: Sequence, by: Sequenc
     """A1 + A5 + A7 + J5 + T1: conditional counts per value of ``key`` over a
     fixed ordered value list, zero-filled, long form
     ``(by..., key_name, ordinal, metric...)``. ``metrics`` maps an output name
-    to a row condition (None = every row). Values outside the list are ignored
-    (like ``reindex``). One aggregation, partial on the map side; the output
-    size is |groups| x |spine| whatever the input size.
+    to a row condition (None = every row). Values outside the list (and NULL)
+    are ignored, like ``reindex``.
+
+    Two steps: a hash aggregation by (groups, key) with map-side partial
+    aggregation (constant work per input row), then the zero-filled spine is
+    read off that small result with conditional sums (work proportional to
+    the number of distinct keys, not rows).
     """
     k = F.col(key) if isinstance(key, str) else key
     name = key_name or (key if isinstance(key, str) else "value")
     metrics = metrics or {"n": None}
+    counts = df.groupBy(*by, k.alias("_key")).agg(
+        *[(F.count(F.lit(1)) if cond is None else F.count_if(F.coalesce(cond, F.lit(False)))).alias(f"_m{j}")
+          for j, cond in enumerate(metrics.values())])
     aggs, cells = [], []
     for i, v in enumerate(spine):
-        hit = F.coalesce(k == F.lit(v), F.lit(False))
         fields = [F.lit(v).alias(name), F.lit(i + 1).alias("ordinal")]
-        for j, (m, cond) in enumerate(metrics.items()):
-            c = hit if cond is None else hit & F.coalesce(cond, F.lit(False))
-            aggs.append(F.count_if(c).alias(f"_v{i}_{j}"))
+        for j, m in enumerate(metrics):
+            aggs.append(F.coalesce(F.sum(F.when(F.col("_key") == F.lit(v), F.col(f"_m{j}"))), F.lit(0))
+                        .alias(f"_v{i}_{j}"))
             fields.append(F.col(f"_v{i}_{j}").cast("bigint").alias(m))
         cells.append(F.struct(*fields))
-    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
+    return counts.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
 
 
 def spine_counts(df: DataFrame, key: Column | str, spine: Sequence, by: Sequence[str] = (),
@@ -61,17 +68,19 @@ def spine_counts(df: DataFrame, key: Column | str, spine: Sequence, by: Sequence
 def grid_counts(df: DataFrame, row: Column, row_spine: Sequence, col: Column, col_spine: Sequence,
                 by: Sequence[str] = (), row_name: str = "row", col_name: str = "col") -> DataFrame:
     """A3 + A8: two-way counts over fixed row and column value lists, zero-filled,
-    long form ``(by..., row_name, row_ord, col_name, col_ord, n)``."""
-    aggs = []
-    cells = []
+    long form ``(by..., row_name, row_ord, col_name, col_ord, n)``; a hash
+    aggregation by (groups, row, col), then zero-filled on the small result."""
+    counts = df.groupBy(*by, row.alias("_r"), col.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    aggs, cells = [], []
     for i, rv in enumerate(row_spine):
         for j, cv in enumerate(col_spine):
             alias = f"_c{i}_{j}"
-            aggs.append(F.count_if(F.coalesce((row == F.lit(rv)) & (col == F.lit(cv)), F.lit(False))).alias(alias))
+            hit = (F.col("_r") == F.lit(rv)) & (F.col("_c") == F.lit(cv))
+            aggs.append(F.coalesce(F.sum(F.when(hit, F.col("_n"))), F.lit(0)).alias(alias))
             cells.append(F.struct(F.lit(rv).alias(row_name), F.lit(i + 1).alias("row_ord"),
                                   F.lit(cv).alias(col_name), F.lit(j + 1).alias("col_ord"),
                                   F.col(alias).cast("bigint").alias("n")))
-    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
+    return counts.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
 
 
 def observed_counts(df: DataFrame, cols: Sequence[str | Column]) -> DataFrame:
