@@ -16,6 +16,19 @@ DEFAULTS = {
 }
 
 
+# Settings meant for a large cluster (hundreds of executors, ~100 TB input);
+# pass as ``extra=CLUSTER`` (not applied in local tests).
+CLUSTER = {
+    "spark.sql.shuffle.partitions": "20000",            # upper bound; AQE coalesces
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def get_spark(master: str | None = None, app: str = "crashlens", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine defaults.
