@@ -9,6 +9,7 @@ separately, in plain SQL (CASE lookups, VALUES spines, window margins).
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from ..functions import domains as D
 from ..sources.fixtures import duckdb_views
@@ -601,6 +602,12 @@ def _output_types(sql: str) -> list[tuple[str, str]]:
 
 
 def oracle_sql(year: int = D.DEFAULT_YEAR) -> dict[str, str]:
+    """Full DuckDB SQL text per query (memoised; binding all of them takes seconds)."""
+    return dict(_oracle_sql(year))
+
+
+@lru_cache(maxsize=4)
+def _oracle_sql(year: int) -> dict[str, str]:
     """Full DuckDB SQL text per query: the shared chain + the body, with every
     DOUBLE column rounded to 6 decimals (as the Spark side does) and HUGEINT
     counts narrowed to BIGINT."""
