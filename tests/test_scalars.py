@@ -72,3 +72,17 @@ def test_normalise_de_codes(spark):
         "ULAND string, UKATEGORIE string, IstKrad string")
     r = normalise.normalise_de(de).collect()[0]
     assert tuple(r) == ("42", 2024, "Dez", "So", "Abend", "TH_DE", "Tot", 0)
+
+
+def test_display_schema_round_trip(spark):
+    from crashlens.operators import display
+    df = spark.createDataFrame([("1", 2024, "Jan", "Mo", "Nacht", "AG_CH", "Tot", 1, "Missing:AccidentYear; Invalid:CantonCode")],
+                               "AccidentUID string, AccidentYear bigint, AccidentMonth string, AccidentWeekDay string, "
+                               "AccidentHour string, CantonCode string, AccidentSeverityCategory string, "
+                               "AccidentInvolvingMotorcycle bigint, ErrorReasons string")
+    out = display.to_display(df).collect()[0]
+    assert out.Location == "CH_AG" and out.Accident_ID == "1" and out.Motorcycle_Involved == 1
+    assert out.ErrorReasons == "Missing:Year; Invalid:Location"
+    back = display.to_internal(display.to_display(df.drop("ErrorReasons")))
+    assert back.columns == df.drop("ErrorReasons").columns
+    assert back.collect() == df.drop("ErrorReasons").collect()
