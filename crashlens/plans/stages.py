@@ -109,4 +109,4 @@ def file_stages(spark: SparkSession, de_path: str, ch_path: str, year: int = D.D
 def materialise_night(stages: Stages, name: str = "night") -> DataFrame:
     """Write the night table once under the shared checkpoint folder and read it
     back, cutting the lineage for all downstream analyses."""
-    return raw.materialise(stages.night, name)
+    return raw.materialise(stages.night, name, partition_by=("AccidentYear",))

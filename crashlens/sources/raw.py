@@ -95,7 +95,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage so a lost executor recomputes from this table, not from
@@ -103,5 +103,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    w = df.write.mode("overwrite")
+    cols = [c for c in partition_by if c in df.columns]
+    if cols:
+        w = w.partitionBy(*cols)
+    w.parquet(path)
+    back = spark.read.parquet(path)
+    return back.select(*df.columns) if cols else back

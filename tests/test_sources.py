@@ -55,3 +55,13 @@ def test_file_chain_matches_fixture_chain(spark, tmp_path):
     got = sorted((tuple(r) for r in st.night.collect()), key=key)
     want = sorted((tuple(r) for r in ref.night.collect()), key=key)
     assert got == want
+
+
+def test_materialise_night_partitioned_by_year(spark):
+    from crashlens.plans.stages import materialise_night
+    st = fixture_stages(spark, SF001)
+    night = materialise_night(st, "night_test")
+    assert night.columns == st.night.columns
+    assert night.count() == st.night.count()
+    plan = night.where("AccidentYear = 2024")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(AccidentYear" in plan
