@@ -101,9 +101,12 @@ def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     Cuts the lineage so a lost executor recomputes from this table, not from
     the raw extracts; survives executor loss (unlike local checkpoints).
     """
+    import uuid
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
-    w = df.write.mode("overwrite")
+    # a fresh folder per write: another chain materialising the same name must
+    # not overwrite files a lazily read DataFrame still points to
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    w = df.write.mode("errorifexists")
     cols = [c for c in partition_by if c in df.columns]
     if cols:
         w = w.partitionBy(*cols)
