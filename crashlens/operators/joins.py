@@ -40,7 +40,7 @@ def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str
 # partitions) below it. A primitive ordering keeps ``min_by`` in a hash
 # aggregate with map-side partial aggregation (a struct ordering would force a
 # sort-based aggregate).
-_SOURCE_BIT = 1 << 62
+from .normalise import SOURCE_BIT as _SOURCE_BIT  # noqa: E402
 
 
 def _hours(raw: DataFrame, uid_col: str, hour_col: str, priority: int) -> DataFrame:
