@@ -158,13 +158,15 @@ def chi_square(counts: DataFrame, row: str, col: str, n: str = "n", by: Sequence
         F.sum(F.when(F.col("_fc"), 1.0 / F.col("_csum"))).alias("_ic"),
         F.max(F.abs(F.col("_o") - e)).alias("_dev"),
     )
-    dof = ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("int")
+    # an all-zero table has no cells left: dof 0, chi2 0, p 1
+    dof = F.when(F.col("_ntot").isNull(), F.lit(0)).otherwise((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("int")
     plain = F.col("_ssum") - F.col("_ntot")
     d = F.col("_dev")
     corrected = F.pow(d - F.least(F.lit(0.5), d), 2) * F.col("_ntot") * F.col("_ir") * F.col("_ic")
     chi2 = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(yates), corrected).otherwise(F.greatest(plain, F.lit(0.0)))
-    res = t.select(*by, chi2.alias("chi2"), dof.alias("dof"), F.col("_ntot").cast("bigint").alias("n_total"))
-    p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(
+    res = t.select(*by, chi2.alias("chi2"), dof.alias("dof"),
+                   F.coalesce(F.col("_ntot"), F.lit(0.0)).cast("bigint").alias("n_total"))
+    p = F.when((F.col("dof") == 0) | F.col("chi2").isNull(), F.lit(1.0)).otherwise(
         F.reflect(F.lit("org.apache.commons.math3.special.Gamma"), F.lit("regularizedGammaQ"),
                   (F.col("dof") / 2.0).cast("double"), (F.col("chi2") / 2.0).cast("double")).cast("double"))
     return res.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)

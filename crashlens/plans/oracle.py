@@ -276,9 +276,10 @@ def chi2(counts: str, row: str, col: str, by: list[str] = (), name: str | None =
     t = (f"SELECT {sel_by}max(_ntot) AS _ntot, count_if(_fr) AS _nr, count_if(_fc) AS _nc, sum(_o * _o / (_rsum * _csum / _ntot)) AS _ssum, "
          f"sum(CASE WHEN _fr THEN 1.0 / _rsum END) AS _ir, sum(CASE WHEN _fc THEN 1.0 / _csum END) AS _ic, "
          f"max(abs(_o - _rsum * _csum / _ntot)) AS _dev FROM ({x}) {gb}")
-    s = (f"SELECT {sel_by}CAST((_nr - 1) * (_nc - 1) AS INTEGER) AS dof, _ntot, _ssum, _ir, _ic, _dev FROM ({t})")
+    s = (f"SELECT {sel_by}CAST(CASE WHEN _ntot IS NULL THEN 0 ELSE (_nr - 1) * (_nc - 1) END AS INTEGER) AS dof, "
+         f"_ntot, _ssum, _ir, _ic, _dev FROM ({t})")
     c = (f"SELECT {sel_by}CASE WHEN dof = 0 THEN 0.0 WHEN dof = 1 THEN pow(_dev - least(0.5, _dev), 2) * _ntot * _ir * _ic "
-         f"ELSE greatest(_ssum - _ntot, 0.0) END AS chi2, dof, CAST(_ntot AS BIGINT) AS n_total FROM ({s})")
+         f"ELSE greatest(_ssum - _ntot, 0.0) END AS chi2, dof, CAST(coalesce(_ntot, 0) AS BIGINT) AS n_total FROM ({s})")
     pv = f"CASE WHEN dof = 0 THEN 1.0 ELSE {gamma_q('dof / 2.0', 'chi2 / 2.0')} END"
     label = f"{lit(name)} AS test, " if name else ""
     return f"SELECT {label}{sel_by}chi2, dof, n_total, {pv} AS p_value, ({pv}) < 0.05 AS significant FROM ({c})"
