@@ -95,26 +95,47 @@ def add_numeric_hour(base: DataFrame, hours: DataFrame) -> DataFrame:
     return place_after(joined, HOUR, "AccidentHour")
 
 
+BUCKETS = 64
+
+
+def _positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None) -> DataFrame:
+    """Distinct full rows of ``df`` with their count ``_m`` and 0-based start
+    position ``_start`` among the rows of their key (NULLs equal).
+
+    Deterministic, so every branch that recomputes it agrees: identical rows
+    are counted with a partial aggregation, distinct rows go to cells by a hash
+    bucket of their content (at most ``BUCKETS`` cells per key, each about
+    1/BUCKETS of the key's distinct rows), positions run inside a cell in
+    ``order_by`` order and cells are offset by a running count over the
+    (small) key x bucket table. With an explicit ``order_by`` a single bucket
+    is used, so positions follow exactly that order.
+    """
+    cols = df.columns
+    order = list(order_by) if order_by else cols
+    nb = 1 if order_by else BUCKETS
+    dist = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_m"))
+    dist = dist.withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(nb)))
+    w_cell = Window.partitionBy(*keys, "_b")
+    dist = dist.withColumn("_before", F.coalesce(F.sum("_m").over(
+        w_cell.orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)))
+    cells = dist.groupBy(*keys, "_b").agg(F.sum("_m").alias("_n"))
+    w_key = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_b").alias("_o_b"),
+                           F.coalesce(F.sum("_n").over(w_key), F.lit(0)).alias("_off"))
+    cond = _null_safe(dist, offsets, [(k, f"_o_{k}") for k in keys]) & (dist["_b"] == offsets["_o_b"])
+    out = dist.join(offsets, cond, "inner").withColumn("_start", F.col("_off") + F.col("_before"))
+    return out.drop("_b", "_before", "_off", "_o_b", *[f"_o_{k}" for k in keys])
+
+
 def occurrence_number(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None,
                       out: str = "_occ") -> DataFrame:
     """0-based occurrence number of each row among rows with equal ``keys``
-    (NULLs equal), ordered by input partition, then ``order_by`` (default: all
-    columns, which makes the numbering deterministic).
-
-    Two-level rank: inside (keys, input partition) cells, bounded by one
-    partition's rows, plus the running count of the key's earlier partitions.
-    """
-    order_by = list(order_by or df.columns)
-    p = df.withColumn("_p", F.spark_partition_id())
-    cells = p.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_p").alias("_o_p"),
-                           F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    ranked = p.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order_by)))
-    cond = _null_safe(ranked, offsets, [(k, f"_o_{k}") for k in keys]) & (ranked["_p"] == offsets["_o_p"])
-    joined = ranked.join(offsets, cond, "inner")
-    res = joined.withColumn(out, F.col("_off") + F.col("_r") - 1)
-    return res.drop("_p", "_r", "_off", "_o_p", *[f"_o_{k}" for k in keys])
+    (NULLs equal). The numbering is deterministic: by ``order_by`` when given,
+    otherwise by content within hash cells (see :func:`_positions`)."""
+    pos = _positions(df, keys, order_by)
+    rows = pos.withColumn(out, F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_m") - 1)))
+    return rows.select(*df.columns, F.col(out).cast("bigint").alias(out))
 
 
 def remove_error_entries(df: DataFrame, errors: DataFrame,
@@ -124,8 +145,8 @@ def remove_error_entries(df: DataFrame, errors: DataFrame,
     Each error row cancels one matching row of ``df`` (NULL equals NULL);
     surplus error rows cancel nothing. Identity when ``errors`` is empty; an
     error when the tables share no column. With all columns in common this is
-    ``EXCEPT ALL``; with fewer, the earliest matching rows (input partition,
-    then ``order_by``) are the ones removed.
+    ``EXCEPT ALL``; with fewer, the first matching rows in ``order_by`` order
+    are removed (without ``order_by``: a deterministic content order).
     """
     common = [c for c in df.columns if c in errors.columns]
     if not common:
@@ -155,9 +176,9 @@ def remove_error_entries(df: DataFrame, errors: DataFrame,
         survivors = cells.select(*common, F.explode(F.array_repeat(F.lit(1), keep.cast("int"))).alias("_one"))
         return keep_direct.select(*cols).unionByName(survivors.select(*cols))
 
-    order_by = list(order_by or df.columns)
-    offsets = cells.select(*[F.col(c).alias(f"_o_{c}") for c in common], F.col("_p").alias("_o_p"), "_off")
-    ranked = matched.withColumn("_r", F.row_number().over(Window.partitionBy(*common, "_p").orderBy(*order_by)))
-    cond = _null_safe(ranked, offsets, [(c, f"_o_{c}") for c in common]) & (ranked["_p"] == offsets["_o_p"])
-    survivors = ranked.join(offsets, cond, "inner").where(F.col("_off") + F.col("_r") > F.col("_k"))
+    # Fewer columns compared: positions of the matched rows within their key
+    # (deterministic, see _positions); a row at position < k is removed.
+    pos = _positions(matched.drop("_p"), common, order_by)
+    removed = F.least(F.col("_m"), F.greatest(F.lit(0), F.col("_k") - F.col("_start")))
+    survivors = pos.select(*cols, F.explode(F.array_repeat(F.lit(1), (F.col("_m") - removed).cast("int"))).alias("_one"))
     return keep_direct.select(*cols).unionByName(survivors.select(*cols))
