@@ -157,11 +157,14 @@ def remove_error_entries(df: DataFrame, errors: DataFrame,
     errc = (errors.select(*[F.col(c).cast(types[c]).alias(c) for c in common])
             .groupBy(*common).agg(F.count(F.lit(1)).alias("_k")))
     errc = errc.select(*[F.col(c).alias(f"_e_{c}") for c in common], "_k")
-    tagged = df.withColumn("_p", F.spark_partition_id())
-    m = tagged.join(errc, _null_safe(tagged, errc, [(c, f"_e_{c}") for c in common]), "left") \
+    # The join stays deterministic (no partition id below it), so Spark can
+    # reuse its exchanges for both branches; only the matched rows are tagged
+    # with the partition they sit in (after AQE's skew split, a hot key spans
+    # several partitions), and that tag is used within one branch only.
+    m = df.join(errc, _null_safe(df, errc, [(c, f"_e_{c}") for c in common]), "left") \
         .drop(*[f"_e_{c}" for c in common])
     keep_direct = m.where(F.col("_k").isNull())
-    matched = m.where(F.col("_k").isNotNull())
+    matched = m.where(F.col("_k").isNotNull()).withColumn("_p", F.spark_partition_id())
 
     cells = matched.groupBy(*common, "_p").agg(F.count(F.lit(1)).alias("_c"), F.max("_k").alias("_k"))
     w = Window.partitionBy(*common).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
