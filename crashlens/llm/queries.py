@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_ledger, warc
+from . import fast_minhash, mixing, packing, quality_ledger, substring_cover, warc
 from .store import new_folder
 
 
@@ -29,10 +29,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger.quality(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_cover.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fast_minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive(_table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
     return read.select(F.col("key").alias("page_id"), F.col("full_bytes").alias("payload_bytes"),
@@ -40,5 +48,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_mix, op4_quality, op8_pack, op10_warc]
+    found = [op3_mix, op4_quality, op5_substring, op8_pack, op9_near_dedup, op10_warc]
     return {f.__name__: f for f in found}
