@@ -66,8 +66,9 @@ class Words:
         return span_hashes(self.data, self.start, self.end)
 
 
-def scan(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of an Arrow string array; null counts as an empty text."""
+def scan(texts: pa.Array, lower: bool = False, word_bytes: np.ndarray | None = None) -> Words:
+    """Words of an Arrow string array; null counts as an empty text. ``lower`` lower-cases A-Z;
+    ``word_bytes`` (256 flags) makes a word a run of those bytes instead."""
     texts = pa.array(texts, pa.large_string()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -78,7 +79,7 @@ def scan(texts: pa.Array, lower: bool = False) -> Words:
     at = at - at[0]
     if lower:
         data = _LOWER[data]
-    word = ~_BREAK[data]
+    word = ~_BREAK[data] if word_bytes is None else word_bytes[data]
     opens, closes = word.copy(), word.copy()
     opens[1:] &= ~word[:-1]
     closes[:-1] &= ~word[1:]
