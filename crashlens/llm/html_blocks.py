@@ -33,6 +33,7 @@ from .store import ship
 
 PATH_SPACE, WORD_SPACE = 2048, 2048
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 20, 8, 6, 24
+WORD_SHRINK = 4             # a block of few words says little by them
 TRAIN_PAGES, EPOCHS, BATCH = 1600, 4, 32
 
 # fixed values: elements whose text is never page text, elements that end a block, and void elements
@@ -154,15 +155,15 @@ def sequences(pages: list[list[Block]]) -> Sequences:
         (found.hashes() % W.U64(WORD_SPACE)).astype(np.int64), found.first)
 
 
-def _means(table: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Mean vector of each range of ids (zero for an empty range)."""
+def _means(table: np.ndarray, ids: np.ndarray, at: np.ndarray, shrink: int = 0) -> np.ndarray:
+    """Mean vector of each range of ids (zero for an empty range), as if ``shrink`` zero vectors stood with it."""
     n = np.diff(at)
     out = np.zeros((len(n), table.shape[1]), dtype=np.float32)
     full = np.flatnonzero(n)
     for i in range(0, len(full), 4096):  # bounded memory, whatever a block's length
         own = full[i:i + 4096]
         part = table[ids[at[own[0]]:at[own[-1] + 1]]]
-        out[own] = np.add.reduceat(part, at[own] - at[own[0]]) / n[own, None]
+        out[own] = np.add.reduceat(part, at[own] - at[own[0]]) / (n[own, None] + shrink)
     return out
 
 
@@ -185,7 +186,7 @@ class Labeller:
         return cls({k: v.astype(np.float32) for k, v in p.items()})
 
     def inputs(self, s: Sequences) -> np.ndarray:
-        return np.concatenate((_means(self.p["path"], s.path, s.path_at), _means(self.p["word"], s.word, s.word_at), s.measures), axis=1)
+        return np.concatenate((_means(self.p["path"], s.path, s.path_at), _means(self.p["word"], s.word, s.word_at, WORD_SHRINK), s.measures), axis=1)
 
     def _lstm(self, way: str, x: np.ndarray, live: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Hidden states (steps, pages, HIDDEN); a page's state stays still where ``live`` is 0."""
@@ -263,9 +264,10 @@ class Labeller:
             g |= {f"{way}_x": gw, f"{way}_h": gu, f"{way}_b": gb}
         flat = np.zeros_like(x)
         flat[spot[live > 0]] = dx[live > 0]
-        for name, ids, at, cols in (("path", s.path, s.path_at, slice(0, PATH_DIM)), ("word", s.word, s.word_at, slice(PATH_DIM, PATH_DIM + WORD_DIM))):
+        for name, ids, at, cols, shrink in (("path", s.path, s.path_at, slice(0, PATH_DIM), 0),
+                                            ("word", s.word, s.word_at, slice(PATH_DIM, PATH_DIM + WORD_DIM), WORD_SHRINK)):
             n = np.diff(at)
-            each = np.repeat(flat[:, cols] / np.maximum(n, 1)[:, None], n, axis=0)
+            each = np.repeat(flat[:, cols] / np.maximum(n + shrink, 1)[:, None], n, axis=0)
             g[name] = np.zeros_like(self.p[name])
             np.add.at(g[name], ids, each)
         return float(loss), g
