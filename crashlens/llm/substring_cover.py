@@ -12,7 +12,7 @@ extended: hashed over their 13 words and compared.
 Both comparisons are the same exchange. Tasks sort their hashes, keep one document for each hash
 (the one with the smallest key; the others already know that they share it), and deal them to lots
 by leading hash bits, packed as arrays. So a passage that a third of all documents hold costs one
-entry per task. A lot answers the documents that share a hash, and answers return by document key.
+entry per task. A lot answers the documents that share a hash; answers return by blocks of documents.
 Lots hold about LOT_ENTRIES hashes whatever the input. Anchors carry 32 bits besides their lot (a
 false match costs an extension only), windows 64 bits besides their lot.
 
@@ -141,19 +141,9 @@ def _unpacked(row: dict, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(keys, np.frombuffer(row["counts"], "<u4")), np.frombuffer(row["codes"], kind).astype(U64)
 
 
-def _answers(keys: np.ndarray, codes: np.ndarray) -> pa.Table:
-    """A row per key with its codes as one array of unsigned 64-bit numbers."""
-    order = np.argsort(keys, kind="stable")
-    keys, codes = keys[order], codes[order].astype("<u8")
-    starts, counts = _runs(keys)
-    ends = np.concatenate(([0], np.cumsum(counts) * 8)).astype(np.int32)
-    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(codes.tobytes())])
-    return pa.table([pa.array(keys[starts], pa.int64()), packed], names=_ANSWER.names)
-
-
-def _lot_answers(wide: bool) -> Callable[[pa.Table], pa.Table]:
+def _lot_answers(wide: bool, bits: int) -> Callable[[pa.Table], pa.Table]:
     """Of one lot: for anchors, every document that shares a code; for windows, every document that
-    has a code which a smaller key has."""
+    has a code which a smaller key has. The answers leave by blocks of documents."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, codes, told = [np.zeros(0, np.int64)], [np.zeros(0, U64)], []
@@ -175,23 +165,37 @@ def _lot_answers(wide: bool) -> Callable[[pa.Table], pa.Table]:
             shared = np.add.reduceat(hit, starts) > 0 if len(starts) else np.zeros(0, bool)
             hit = np.repeat(shared, counts)
         told.append((k[hit], c[hit]))
-        return _answers(np.concatenate([x[0] for x in told]), np.concatenate([x[1] for x in told]))
+        k, c = np.concatenate([x[0] for x in told]), np.concatenate([x[1] for x in told])
+        block = (W.mix(k.view(U64)) >> U64(64 - bits)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        k, c, block = k[order], c[order], block[order]
+        return pa.Table.from_pylist([_packed(block[s], True, k[s:s + n], c[s:s + n].astype("<u8")) for s, n in zip(*_runs(block))], _SENT_ARROW)
 
     return run
 
 
+def _merged(table: pa.Table) -> pa.Table:
+    """Of one block of documents: a row per key with its codes as one array of unsigned 64-bit numbers."""
+    parts = [_unpacked(row, "<u8") for row in table.to_pylist()]
+    keys, codes = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, codes = keys[order], codes[order].astype("<u8")
+    starts, counts = _runs(keys)
+    ends = np.concatenate(([0], np.cumsum(counts) * 8)).astype(np.int64)
+    packed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(codes.tobytes())])
+    return pa.table([pa.array(keys[starts], pa.int64()), packed.cast(pa.binary())], names=_ANSWER.names)
+
+
 def _known(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and codes of a column of lists of packed codes."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.array([sum(len(x) for x in lists or ()) // 8 for lists in column.to_pylist()], dtype=np.int64)
-    codes = b"".join(x for lists in column.to_pylist() for x in lists or ())
-    return np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(codes, "<u8").astype(U64)
+    """Texts and codes of a column of packed codes."""
+    values = [x or b"" for x in column.to_pylist()]
+    return np.repeat(np.arange(len(values)), [len(x) // 8 for x in values]), np.frombuffer(b"".join(values), "<u8").astype(U64)
 
 
-def _exchange(sent: DataFrame, wide: bool, key: str, into: str) -> DataFrame:
-    """Answers by document: ``key`` and the list ``into`` (as long as the document at most)."""
-    return (sent.groupBy("lot").applyInArrow(_lot_answers(wide), _ANSWER)
-            .groupBy(F.col("key").alias(key)).agg(F.collect_list("codes").alias(into)))
+def _exchange(sent: DataFrame, wide: bool, bits: int, key: str, into: str) -> DataFrame:
+    """Answers by document: ``key`` and ``into``, its codes (as many as it sent at most)."""
+    answers = sent.groupBy("lot").applyInArrow(_lot_answers(wide, bits), _SENT)
+    return answers.groupBy("lot").applyInArrow(_merged, _ANSWER).select(F.col("key").alias(key), F.col("codes").alias(into))
 
 
 def lots_for(df: DataFrame, text: str) -> int:
@@ -209,7 +213,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
     keep = list(df.columns) if keep is None else keep
     name = fresh(df.columns, into)
     texts, shared, gone = (fresh([*df.columns, name], x) for x in ("cover_text", "cover_shared", "cover_gone"))
-    rows = df.select(*(F.col(key).cast("bigint").alias(c) if c == key else F.col(f"`{c}`") for c in dict.fromkeys([*keep, key])),
+    # a key that is a long already stays as it is: then both joins below share one exchange of texts
+    long_key = key if dict(df.dtypes)[key] == "bigint" else F.col(key).cast("bigint").alias(key)
+    rows = df.select(*(long_key if c == key else F.col(f"`{c}`") for c in dict.fromkeys([*keep, key])),
                      F.col(text).cast("string").alias(texts))
     bits = lots_for(df, text)
     keyed = rows.filter(F.col(key).isNotNull())
@@ -275,9 +281,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), struct], [*keep, name])
 
     # a document's key, its text and the answers meet in one place: both joins use the same exchange of texts
-    has_shared = _exchange(keyed.select(key, texts).mapInArrow(send_anchors, _SENT), False, key, shared)
+    has_shared = _exchange(keyed.select(key, texts).mapInArrow(send_anchors, _SENT), False, bits, key, shared)
     around = keyed.join(has_shared, key).select(key, texts, shared)
-    repeats = _exchange(around.mapInArrow(send_windows, _SENT), True, key, gone)
+    repeats = _exchange(around.mapInArrow(send_windows, _SENT), True, bits, key, gone)
     done = keyed.join(repeats, key, "left")
     without = rows.filter(F.col(key).isNull()).withColumn(gone, F.lit(None).cast(repeats.schema[gone].dataType))
     every = done.select(*rows.columns, gone).unionByName(without)
