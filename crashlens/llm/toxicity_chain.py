@@ -33,7 +33,7 @@ from . import words as W
 from .store import ship
 
 CATEGORIES = ("toxic", "severe", "in_prose")
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 FOLDS = 3
 PREFIXES = (4, 5, 6)
 SELECTED = 3_000
@@ -104,7 +104,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, quality: np.ndarray) -> Cha
     if not len(rows) or toxic.min() == toxic.max():
         return Chain()
     n = len(rows)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     feature = np.concatenate(rows)
     values, col = np.unique(feature, return_inverse=True)
     hit = np.bincount(col, toxic[row], len(values))
@@ -121,7 +121,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, quality: np.ndarray) -> Cha
     place[use] = np.arange(len(use))
     keep = place[col] >= 0
     row, col = row[keep], place[col[keep]]
-    chain, fold = Chain(values[use]), np.arange(n) % FOLDS
+    chain, fold = Chain(values[use].astype(np.int64)), np.arange(n) % FOLDS
     probabilities = np.zeros((n, len(CATEGORIES)))  # out of fold
     for c, y in enumerate(labels):
         extra = probabilities[:, :c]
@@ -162,7 +162,7 @@ def training_rows(df: DataFrame, labels: DataFrame, key: str, text: str, limit:
                                                   pa.array(packed, pa.binary())], schema.names)
 
     got = sorted({(r.key, r.toxic, r.quality, bytes(r.features)) for r in joined.mapInArrow(run, schema).collect()})
-    return ([np.frombuffer(r[3], "<i4").astype(np.int64) for r in got], np.array([float(r[1] > 0) for r in got]),
+    return ([np.frombuffer(r[3], "<i4") for r in got], np.array([float(r[1] > 0) for r in got]),
             np.array([float(r[2] > 0) for r in got]))
 
 

@@ -63,22 +63,29 @@ class Counter(dict):
     def count(self, word: str) -> int:
         """Pieces on the best path of ``word``."""
         n = len(word)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ending[end].append(match)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for end, matches in enumerate(ending):
-            top, pieces, alone = None, 0, False
-            for length, score in sorted(matches, reverse=True):  # longest first: rising start
-                start = end + 1 - length
-                value = score + best[start]
-                if top is None or value > top:
-                    top, pieces = value, count[start] + 1
-                alone |= length == 1
-            if not alone and (top is None or self.unknown + best[end] > top):
-                top, pieces = self.unknown + best[end], count[end] + len(word[end].encode())
-            best[end + 1], count[end + 1] = top, pieces
-        return count[n]
+        best, pieces = [0.0, *[None] * n], [0] * (n + 1)
+        at, alone = 0, False  # the character whose ending pieces are being read, and whether it is a piece itself
+        unknown = self.unknown
+
+        def leave(last: int) -> None:
+            nonlocal at, alone
+            while at < last:
+                if not alone and (best[at + 1] is None or unknown + best[at] > best[at + 1]):
+                    best[at + 1], pieces[at + 1] = unknown + best[at], pieces[at] + len(word[at].encode())
+                at, alone = at + 1, False
+
+        for end, (length, score) in self.automaton.iter(word):  # by end, longest (so first to start) first
+            if end != at:
+                leave(end)
+            start = end + 1 - length
+            value = score + best[start]
+            top = best[end + 1]
+            if top is None or value > top:
+                best[end + 1], pieces[end + 1] = value, pieces[start] + 1
+            if length == 1:
+                alone = True
+        leave(n)
+        return pieces[n]
 
     def text(self, text: str | None) -> int:
         """Tokens of a whole text."""
