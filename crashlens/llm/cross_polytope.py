@@ -38,6 +38,7 @@ TABLES = 4
 BUCKET_ROWS = 16_384
 TASK_ROWS = 8_192          # vectors that one task scores at once
 TASK_QUERIES = 8_192       # queries that one task scores at once
+MERGE_ROWS = 5_000         # rows of (query, task) that are merged at once
 SAMPLE_QUERIES = 64
 RECALL = 0.96
 ROUNDS = 3
@@ -264,13 +265,26 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
                     out.append(_scored(asked_keys[own], np.stack([asking[i] for i in own]), keys[there], np.stack([vectors[i] for i in there]), k + 1))
         q, c, s = (np.concatenate(x) for x in zip(*out))
         best = _best(q, c, s, k + 1)
+        q, c, s = q[best], c[best], s[best]
+        starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))[:len(q)])
+        at = pa.array(np.append(starts, len(q)), pa.int32())
+        return pa.table([pa.array(q[starts] % blocks), pa.array(q[starts]), pa.ListArray.from_arrays(at, pa.array(c)), pa.ListArray.from_arrays(at, pa.array(s))],
+                        names=part_schema.names)
+
+    def merge(table: pa.Table) -> pa.Table:
+        lists = table.column("keys").combine_chunks()
+        q = np.repeat(table.column("query").to_numpy(), np.diff(lists.offsets.to_numpy()))
+        c, s = lists.flatten().to_numpy(), table.column("scores").combine_chunks().flatten().to_numpy()
+        best = _best(q, c, s, k + 1)
         return pa.table([pa.array(q[best]), pa.array(c[best]), pa.array(s[best])], names=_FOUND.names)
 
+    # a task sends one row per query; blocks of queries, as many as keep a block small, merge them
+    blocks = max(1, int(asked.count() * min(n_tasks, max(probes.values(), default=1) * TABLES) / MERGE_ROWS))
+    part_schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("query", T.LongType()),
+                                T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
     data = entries.select("key", "dim", "band", "v").mapInArrow(place, data_schema).groupBy("task")
     asks = asked.select("key", "dim", "v").mapInArrow(probe, probe_schema).groupBy("task")
-    found = data.cogroup(asks).applyInArrow(score, _FOUND).groupBy("query", "key").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    found = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
+    found = data.cogroup(asks).applyInArrow(score, part_schema).groupBy("block").applyInArrow(merge, _FOUND)
 
     # entries back to ids, then each query's own id goes
     first = ids.filter("n = 1").select("h1", "h2", F.col("key").alias("entry"))
