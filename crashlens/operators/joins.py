@@ -138,6 +138,13 @@ def occurrence_number(df: DataFrame, keys: Sequence[str], order_by: Sequence[str
     return rows.select(*df.columns, F.col(out).cast("bigint").alias(out))
 
 
+def _parsed(name: str, kind: str) -> Column:
+    """A cell of an error table (often text) as the type of the column that it is compared with."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return S.lenient_int(name).try_cast(kind)
+    return F.col(name).try_cast(kind)
+
+
 def remove_error_entries(df: DataFrame, errors: DataFrame,
                          order_by: Sequence[str] | None = None) -> DataFrame:
     """Remove error rows as a multiset on the common columns.
@@ -154,7 +161,10 @@ def remove_error_entries(df: DataFrame, errors: DataFrame,
             return df
         raise ValueError("no common columns between input and error table; cannot remove error rows")
     types = dict(df.dtypes)
-    errc = (errors.select(*[F.col(c).cast(types[c]).alias(c) for c in common])
+    # an error cell that does not parse as the column's type matches no row (as NULL it would match NULL)
+    parsed = {c: _parsed(c, types[c]) for c in common}
+    readable = reduce(lambda a, b: a & b, [F.col(c).isNull() | v.isNotNull() for c, v in parsed.items()])
+    errc = (errors.filter(readable).select(*[v.alias(c) for c, v in parsed.items()])
             .groupBy(*common).agg(F.count(F.lit(1)).alias("_k")))
     errc = errc.select(*[F.col(c).alias(f"_e_{c}") for c in common], "_k")
     # The join stays deterministic (no partition id below it), so Spark can

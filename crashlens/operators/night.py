@@ -23,11 +23,13 @@ def twilight_pairs(df: DataFrame) -> DataFrame:
 
 
 def classify_night(df: DataFrame, twilight: DataFrame, year: int = D.DEFAULT_YEAR,
-                   on_missing_hour: str = "day") -> DataFrame:
+                   on_missing_hour: str = "day", on_missing_twilight: str = "null") -> DataFrame:
     """J3 + P26: add ``NightAccident`` (1 = before dawn hour or after dusk hour).
 
     ``on_missing_hour``: 'day' classifies a missing hour as day (command-line
     behaviour); 'error' makes the job fail on such a row (dashboard behaviour).
+    ``on_missing_twilight``: a (region, month) that the twilight table lacks gives
+    NULL ('null': the row counts as neither night nor day) or fails ('error').
     """
     require_columns(df, ["AccidentMonth", "CantonCode", "AccidentHourNumeric"], "night classification")
     # One row per (point, month): the reference day of the analysis year. The
@@ -43,5 +45,12 @@ def classify_night(df: DataFrame, twilight: DataFrame, year: int = D.DEFAULT_YEA
         hour = F.when(hour.isNull(), F.raise_error(F.lit("numeric hour missing for a row"))).otherwise(hour)
     elif on_missing_hour != "day":
         raise ValueError("on_missing_hour must be 'day' or 'error'")
-    out = j.withColumn(NIGHT, S.night_flag(hour, "_dawn", "_dusk"))
+    if on_missing_twilight == "error":
+        unknown = F.raise_error(F.concat_ws(" ", F.lit("no twilight for"), "CantonCode", "AccidentMonth")).cast("int")
+    elif on_missing_twilight == "null":
+        unknown = F.lit(None).cast("int")
+    else:
+        raise ValueError("on_missing_twilight must be 'null' or 'error'")
+    known = F.col("_dawn").isNotNull() & F.col("_dusk").isNotNull()
+    out = j.withColumn(NIGHT, F.when(known, S.night_flag(hour, "_dawn", "_dusk")).otherwise(unknown))
     return out.select(*df.columns, NIGHT)

@@ -10,12 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import domains as D
 
 SEPARATORS = [";", ",", "\t", "|"]
 
+# fixed values: CSV cells that stand for a missing value
+MISSING_MARKS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+                 "NaN", "None", "n/a", "nan", "null"]
+
 
 def detect_separator(spark: SparkSession, path: str) -> str:
     """Pick the separator that occurs most often in the header line.
@@ -32,7 +37,9 @@ def detect_separator(spark: SparkSession, path: str) -> str:
 
 def read_raw(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Read a raw extract. CSV: header row, all STRING, separator sniffed
-    when not given. Parquet: as stored. Excel is not supported (convert upstream).
+    when not given, missing-value marks as NULL; several files must have the
+    same header (a file with other or reordered names fails the read). Parquet:
+    as stored. Excel is not supported (convert upstream).
     """
     lower = path.lower().rstrip("/")
     if lower.endswith(".parquet") or lower.endswith(".pq"):
@@ -40,8 +47,10 @@ def read_raw(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
     if lower.endswith(".xlsx") or lower.endswith(".xls"):
         raise ValueError(f"Excel input is not supported on the cluster, convert to CSV/Parquet: {path}")
     sep = sep or detect_separator(spark, path)
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("sep", sep).option("mode", "PERMISSIVE").csv(path))
+    table = (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+             .option("sep", sep).option("mode", "PERMISSIVE").csv(path))
+    cells = [F.col(f"`{c}`") for c in table.columns]
+    return table.select(*[F.when(~v.isin(MISSING_MARKS), v).alias(c) for v, c in zip(cells, table.columns)])
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
@@ -49,11 +58,15 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | str, s
     return spark.read.option("header", True).option("sep", sep).schema(schema).csv(path)
 
 
+class SchemaMismatch(ValueError):
+    """An input table lacks columns that its contract names."""
+
+
 def require_columns(df: DataFrame, required: Iterable[str], name: str) -> None:
-    """Fail before any job with the list of missing columns."""
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"{name}: missing required columns: {missing}; available: {df.columns}")
+    """Check a table's contract on its schema, before any job runs."""
+    lacking = set(required).difference(df.schema.fieldNames())
+    if lacking:
+        raise SchemaMismatch(f"{name} lacks {', '.join(sorted(lacking))}")
 
 
 def select_columns(df: DataFrame, columns: Sequence[str], name: str = "input") -> DataFrame:

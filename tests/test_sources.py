@@ -26,7 +26,7 @@ def test_header_repair_and_contract(spark):
     ch = fixtures.raw_ch(spark, SF001).withColumnRenamed("AccidentSeverityCategory", "AccidentSeverityCaytegory")
     assert "AccidentSeverityCategory" in raw.repair_ch_header(ch).columns
     assert normalise.normalise_ch(ch).count() == ch.count()
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="Data_DE lacks UJAHR"):
         normalise.normalise_de(fixtures.raw_de(spark, SF001).drop("UJAHR"))
 
 
@@ -65,3 +65,24 @@ def test_materialise_night_partitioned_by_year(spark):
     assert night.count() == st.night.count()
     plan = night.where("AccidentYear = 2024")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(AccidentYear" in plan
+
+
+def test_missing_marks_become_null(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\nNA,1\nn/a,NaN\nok,null\n")
+    rows = raw.read_raw(spark, str(tmp_path / "x.csv")).collect()
+    assert [tuple(r) for r in rows] == [(None, "1"), (None, None), ("ok", None)]
+
+
+def test_files_with_swapped_headers_are_refused(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "d" / "b.csv").write_text("y,x\n3,4\n")
+    with pytest.raises(Exception):
+        raw.read_raw(spark, str(tmp_path / "d")).collect()
+
+
+def test_text_error_table_is_parsed_leniently(spark):
+    from crashlens.operators import joins
+    df = spark.createDataFrame([("a", 2024), ("b", 2024), ("c", None)], "k string, AccidentYear bigint")
+    err = spark.createDataFrame([("a", "2024.0"), ("c", "n/a")], "k string, AccidentYear string")
+    assert sorted(r.k for r in joins.remove_error_entries(df, err).collect()) == ["b", "c"]

@@ -58,7 +58,9 @@ def test_entry_runs(spark):
 
 
 def test_queries_have_oracles():
-    assert set(E.queries()) == set(E.oracle_sql())
+    from crashlens.plans import catalog, oracle
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
+    assert set(E.queries()) >= set(catalog.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", ["harmonised", "night_classified", "g1_chi2", "g4_winners", "g7_correlation",
@@ -97,3 +99,12 @@ def test_missing_hour_day_or_error(spark):
     assert classify_night(df, dim).collect()[0].NightAccident == 0
     with pytest.raises(Exception, match="numeric hour missing"):
         classify_night(df, dim, on_missing_hour="error").collect()
+
+
+def test_missing_twilight_is_unknown_or_an_error(spark):
+    from crashlens.operators.night import classify_night
+    dim = tw.solar_twilight(spark, 2024)
+    df = spark.createDataFrame([("1", "Jan", "XX_DE", 3)], "AccidentUID string, AccidentMonth string, CantonCode string, AccidentHourNumeric bigint")
+    assert classify_night(df, dim).collect()[0].NightAccident is None
+    with pytest.raises(Exception, match="no twilight for XX_DE Jan"):
+        classify_night(df, dim, on_missing_twilight="error").collect()
