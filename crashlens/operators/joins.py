@@ -8,11 +8,12 @@ Scale notes
 * J1 is a left equi-join on the key. Neither side has a proven size bound, so
   no broadcast hint is given; AQE may still broadcast at run time from real
   sizes, and its skew-join split handles a hot key on the (preserved) left side.
-* J4 multiset removal never sorts or regenerates a whole key group in one
-  task: work is done per (key, input partition) cell, bounded by one
-  partition, with cells offset by a running count over the key x partition
-  table. With all columns compared, cells are counted map-side and only the
-  surviving copies re-emitted; with fewer, rows are ranked inside their cell.
+* J4 multiset removal with all columns compared never sorts a key group: rows
+  are counted map-side per (key, input partition), cells are offset by a
+  running count, and only the surviving copies are emitted again. With fewer
+  columns (and in W1) distinct rows are placed in cells by a hash of their
+  content, as many cells per key as the session has shuffle partitions; with
+  an explicit order a key is one cell. Copies of one row are emitted in chunks.
 """
 
 from __future__ import annotations
@@ -85,17 +86,45 @@ def place_after(df: DataFrame, col: str, anchor: str) -> DataFrame:
     return df.select(*cols[:i], col, *cols[i:])
 
 
+# The null-safe join key as two plain columns: a lookup aggregated on them is already dealt as the join needs it.
+_KEY = ("_key", "_no_key")
+
+
+def _with_key(df: DataFrame) -> DataFrame:
+    return df.withColumn(_KEY[0], F.coalesce(UID, F.lit(""))).withColumn(_KEY[1], F.col(UID).isNull())
+
+
+def keyed_hours(harmonised: DataFrame) -> DataFrame:
+    """:func:`hour_lookup_from`, aggregated on the key columns that :func:`add_numeric_hour` joins on,
+    so that the lookup is shuffled once."""
+    from .normalise import LOOKUP_HOUR, LOOKUP_RANK
+    both = _with_key(harmonised.where(F.col(LOOKUP_HOUR).isNotNull()))
+    return both.groupBy(*_KEY).agg(F.min_by(LOOKUP_HOUR, LOOKUP_RANK).alias(HOUR))
+
+
 def add_numeric_hour(base: DataFrame, hours: DataFrame) -> DataFrame:
     """J1 + P31: left-join the hour lookup on the trimmed key (NULL matches NULL,
     like the original), placing ``AccidentHourNumeric`` after ``AccidentHour``."""
     require_columns(base, [UID], "final table")
     b = base.withColumn(UID, S.clean_text(UID))
-    h = hours.select(F.col(UID).alias("_h_uid"), F.col(HOUR).alias(HOUR))
-    joined = b.join(h, b[UID].eqNullSafe(h["_h_uid"]), "left").drop("_h_uid")
+    keyed = hours if _KEY[0] in hours.columns else _with_key(hours).drop(UID)
+    joined = _with_key(b).join(keyed, list(_KEY), "left").drop(*_KEY)
     return place_after(joined, HOUR, "AccidentHour")
 
 
-BUCKETS = 64
+BUCKETS = 64  # cells per key at least
+CHUNK = 65_536  # copies that one generated array holds at most
+
+
+def _repeat(df: DataFrame, n: Column, out: str, start: Column | None = None) -> DataFrame:
+    """Every row of ``df`` ``n`` (BIGINT, may be 0) times, ``out`` numbering its copies from ``start``
+    (default 0). Two generators in turn: no array grows with ``n`` beyond n / CHUNK."""
+    first = F.lit(0).cast("bigint") if start is None else start
+    part = F.col("_part") * CHUNK
+    chunks = (df.withColumn("_copies", n.cast("bigint")).withColumn("_first", first).where(F.col("_copies") > 0)
+              .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {CHUNK}")))))
+    return chunks.withColumn(out, F.explode(F.sequence(
+        F.col("_first") + part, F.col("_first") + F.least(F.col("_copies"), part + CHUNK) - 1)))
 
 
 def _positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None) -> DataFrame:
@@ -104,15 +133,15 @@ def _positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | Non
 
     Deterministic, so every branch that recomputes it agrees: identical rows
     are counted with a partial aggregation, distinct rows go to cells by a hash
-    bucket of their content (at most ``BUCKETS`` cells per key, each about
-    1/BUCKETS of the key's distinct rows), positions run inside a cell in
+    bucket of their content (as many cells per key as the session has shuffle
+    partitions, ``BUCKETS`` at least, so cells shrink as the cluster grows), positions run inside a cell in
     ``order_by`` order and cells are offset by a running count over the
     (small) key x bucket table. With an explicit ``order_by`` a single bucket
     is used, so positions follow exactly that order.
     """
     cols = df.columns
     order = list(order_by) if order_by else cols
-    nb = 1 if order_by else BUCKETS
+    nb = 1 if order_by else max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dist = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_m"))
     dist = dist.withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(nb)))
     w_cell = Window.partitionBy(*keys, "_b")
@@ -134,7 +163,7 @@ def occurrence_number(df: DataFrame, keys: Sequence[str], order_by: Sequence[str
     (NULLs equal). The numbering is deterministic: by ``order_by`` when given,
     otherwise by content within hash cells (see :func:`_positions`)."""
     pos = _positions(df, keys, order_by)
-    rows = pos.withColumn(out, F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_m") - 1)))
+    rows = _repeat(pos, F.col("_m"), out, F.col("_start"))
     return rows.select(*df.columns, F.col(out).cast("bigint").alias(out))
 
 
@@ -186,12 +215,12 @@ def remove_error_entries(df: DataFrame, errors: DataFrame,
         # copies. Cells are partially aggregated map-side and re-expanded one
         # cell at a time (at most one input partition's rows), no row ranking.
         keep = F.col("_c") - F.least(F.col("_c"), F.greatest(F.lit(0), F.col("_k") - F.col("_off")))
-        survivors = cells.select(*common, F.explode(F.array_repeat(F.lit(1), keep.cast("int"))).alias("_one"))
+        survivors = _repeat(cells, keep, "_copy")
         return keep_direct.select(*cols).unionByName(survivors.select(*cols))
 
     # Fewer columns compared: positions of the matched rows within their key
     # (deterministic, see _positions); a row at position < k is removed.
     pos = _positions(matched.drop("_p"), common, order_by)
     removed = F.least(F.col("_m"), F.greatest(F.lit(0), F.col("_k") - F.col("_start")))
-    survivors = pos.select(*cols, F.explode(F.array_repeat(F.lit(1), (F.col("_m") - removed).cast("int"))).alias("_one"))
+    survivors = _repeat(pos, F.col("_m") - removed, "_copy")
     return keep_direct.select(*cols).unionByName(survivors.select(*cols))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import display, joins, normalise, quality
 from ..operators.night import twilight_pairs
+from ..sources import fixtures
 from . import analyses as A
 from .stages import Stages, fixture_stages
 
@@ -136,5 +137,54 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
 }
 
 
+PLACE = ["CantonCode", "AccidentMonth"]
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.prepared(spark, sf_dir).select(*normalise.HARMONISED)
+
+
+def _partial_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some of the prepared rows as an error table: fewer copies of a row than the table has, and more of a few."""
+    t = fixtures.prepared(spark, sf_dir).where("row_id % 10 = 1")
+    return t.withColumn("copy", F.explode(F.expr("if(row_id % 110 = 11, sequence(1, 40), array(1))")))
+
+
+def _multiset_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = fixtures.prepared(spark, sf_dir).select(*PLACE, "AccidentWeekDay")
+    return joins.remove_error_entries(table, _partial_errors(spark, sf_dir).select(*PLACE, "AccidentWeekDay"))
+
+
+def _multiset_fewer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = fixtures.prepared(spark, sf_dir).select("row_id", *PLACE, "AccidentHour")
+    return joins.remove_error_entries(table, _partial_errors(spark, sf_dir).select(*PLACE), order_by=["row_id"])
+
+
+def _occurrence_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = fixtures.prepared(spark, sf_dir).select("row_id", *PLACE)
+    return joins.occurrence_number(table, PLACE, order_by=["row_id"], out="occurrence")
+
+
+# operators on a prepared text table and on overlapping hour files, where every rule has rows that reach it
+TABLE_QUERIES: dict[str, Query] = {
+    "text_error_rows": lambda spark, d: quality.find_errors(_prepared(spark, d)),
+    "text_clean_rows": lambda spark, d: quality.clean_rows(_prepared(spark, d)),
+    "text_final_year": lambda spark, d: quality.filter_year(quality.clean_rows(_prepared(spark, d))),
+    "text_problem_values": lambda spark, d: quality.problem_values(_prepared(spark, d)),
+    "text_error_summary": lambda spark, d: quality.error_summary(_prepared(spark, d)),
+    "text_error_enriched": lambda spark, d: quality.enrich_errors(quality.find_errors(_prepared(spark, d))),
+    "text_fully_invalid": lambda spark, d: quality.split_errors(quality.enrich_errors(quality.find_errors(_prepared(spark, d))), True),
+    "text_reason_counts": lambda spark, d: quality.reason_counts(quality.find_errors(_prepared(spark, d))),
+    "multiset_partial": _multiset_partial,
+    "multiset_fewer_columns": _multiset_fewer_columns,
+    "occurrence_by_place": _occurrence_by_place,
+    "hour_lookup_shared_keys": lambda spark, d: joins.hour_lookup(fixtures.hours_de(spark, d), fixtures.hours_ch(spark, d)),
+}
+
+
+def _t(fn: Query) -> Query:
+    return lambda spark, sf_dir: round_doubles(fn(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {name: _q(fn) for name, fn in QUERIES.items()}
+    return {name: _q(fn) for name, fn in QUERIES.items()} | {name: _t(fn) for name, fn in TABLE_QUERIES.items()}

@@ -12,7 +12,7 @@ import math
 from functools import lru_cache
 
 from ..functions import domains as D
-from ..sources.fixtures import duckdb_views
+from ..sources.fixtures import HOURS_CH_SQL, HOURS_DE_SQL, PREPARED_SQL, duckdb_views
 
 RAD = repr(math.pi / 180.0)
 DEG = repr(180.0 / math.pi)
@@ -580,6 +580,47 @@ def bodies() -> dict[str, str]:
     return q
 
 
+def table_chain(year: int = D.DEFAULT_YEAR) -> str:
+    """Like chain(), from the prepared text table and the overlapping hour files."""
+    return f"""WITH
+prepared AS ({PREPARED_SQL.format(lineitem='lineitem')}),
+hours_de AS ({HOURS_DE_SQL.format(lineitem='lineitem')}),
+hours_ch AS ({HOURS_CH_SQL.format(lineitem='lineitem')}),
+merged AS (SELECT {COLS8} FROM prepared),
+flagged AS (SELECT *, {REASONS} AS ErrorReasons FROM merged),
+errors AS (SELECT * FROM flagged WHERE ErrorReasons <> ''),
+clean AS (SELECT {COLS8} FROM flagged WHERE ErrorReasons = ''),
+partial_errors AS (SELECT * FROM prepared, unnest(CASE WHEN row_id % 110 = 11 THEN range(40) ELSE [1] END) WHERE row_id % 10 = 1)"""
+
+
+def table_bodies(year: int = D.DEFAULT_YEAR) -> dict[str, str]:
+    q = bodies()
+    place = "CantonCode, AccidentMonth"
+    return {
+        "text_error_rows": q["error_rows"],
+        "text_clean_rows": q["clean_rows"],
+        "text_final_year": f"SELECT * FROM clean WHERE {num('AccidentYear')} = {year}",
+        "text_problem_values": q["problem_values"],
+        "text_error_summary": q["error_summary"],
+        "text_error_enriched": q["error_enriched"],
+        "text_fully_invalid": f"SELECT * FROM ({q['error_enriched']}) WHERE IsFullyInvalid",
+        "text_reason_counts": q["reason_counts"],
+        "multiset_partial": (f"SELECT {place}, AccidentWeekDay FROM prepared EXCEPT ALL "
+                             f"SELECT {place}, AccidentWeekDay FROM partial_errors"),
+        "multiset_fewer_columns": (
+            f"SELECT p.row_id, p.CantonCode, p.AccidentMonth, p.AccidentHour FROM (SELECT *, row_number() OVER (PARTITION BY {place} "
+            f"ORDER BY row_id) AS nth FROM prepared) p LEFT JOIN (SELECT {place}, count(*) AS k FROM partial_errors GROUP BY ALL) e "
+            f"ON p.CantonCode IS NOT DISTINCT FROM e.CantonCode AND p.AccidentMonth IS NOT DISTINCT FROM e.AccidentMonth "
+            f"WHERE p.nth > coalesce(e.k, 0)"),
+        "occurrence_by_place": (f"SELECT row_id, {place}, CAST(row_number() OVER (PARTITION BY {place} ORDER BY row_id) - 1 AS BIGINT) "
+                                f"AS occurrence FROM prepared"),
+        "hour_lookup_shared_keys": (
+            f"SELECT uid AS AccidentUID, h AS AccidentHourNumeric FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY src, _ord) AS nth "
+            f"FROM (SELECT {trim('AccidentUID')} AS uid, {lint('AccidentHour')} AS h, 0 AS src, _ord FROM hours_ch "
+            f"UNION ALL SELECT {trim('UIDENTSTLAE')}, {lint('USTUNDE')}, 1, _ord FROM hours_de) WHERE h IS NOT NULL) WHERE nth = 1"),
+    }
+
+
 LINEITEM_TYPES = ("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INTEGER, l_quantity DOUBLE, "
                   "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag VARCHAR, "
                   "l_linestatus VARCHAR, l_shipdate TIMESTAMP")
@@ -612,9 +653,9 @@ def _oracle_sql(year: int) -> dict[str, str]:
     """Full DuckDB SQL text per query: the shared chain + the body, with every
     DOUBLE column rounded to 6 decimals (as the Spark side does) and HUGEINT
     counts narrowed to BIGINT."""
-    head = chain(year)
     out = {}
-    for name, body in bodies().items():
+    todo = [(chain(year), *x) for x in bodies().items()] + [(table_chain(year), *x) for x in table_bodies(year).items()]
+    for head, name, body in todo:
         sql = f"{head},\n_q AS ({body})\nSELECT * FROM _q"
         rep = []
         for c, t in _output_types(sql):

@@ -64,7 +64,7 @@ class Stages:
 
     @cached_property
     def hours(self) -> DataFrame:
-        return joins.hour_lookup_from(self.harmonised)
+        return joins.keyed_hours(self.harmonised)
 
     @cached_property
     def with_hour(self) -> DataFrame:

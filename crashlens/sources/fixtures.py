@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import domains as D
+
 RAW_DE_SQL = """SELECT
   CASE WHEN u % 97 = 0 THEN NULL ELSE ' ' || CAST(u AS VARCHAR(20)) END AS UIDENTSTLAE,
   CASE WHEN u % 101 = 0 THEN 'n/a' ELSE CAST(year(l_shipdate) + 25 AS VARCHAR(20)) END AS UJAHR,
@@ -38,6 +40,35 @@ WHERE l_orderkey % 3 = 0"""
 ORDINAL = "_ord"
 
 
+def _pick(number: str, labels: list[str]) -> str:
+    return "CASE " + number + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(labels)) + " END"
+
+
+# A prepared table as text, as a user's own file may hold it: 8 columns with labels that no list
+# knows, years that are no numbers, unreadable flags, gaps, and rows in which every field is bad.
+PREPARED_SQL = f"""SELECT
+  CASE WHEN u % 211 = 0 OR u % 61 = 0 THEN NULL ELSE 'P' || CAST(u AS VARCHAR(20)) END AS AccidentUID,
+  CASE WHEN u % 211 = 0 OR u % 53 = 0 THEN 'n/a' WHEN u % 47 = 0 THEN NULL WHEN u % 43 = 0 THEN '2024.0'
+       ELSE CAST(year(l_shipdate) + 25 AS VARCHAR(20)) END AS AccidentYear,
+  CASE WHEN u % 211 = 0 OR u % 41 = 0 THEN 'Month ' || CAST(month(l_shipdate) AS VARCHAR(20)) WHEN u % 37 = 0 THEN NULL
+       ELSE {_pick("month(l_shipdate) - 1", D.MONTH_LABELS)} END AS AccidentMonth,
+  CASE WHEN u % 211 = 0 OR u % 59 = 0 THEN 'Someday' ELSE {_pick("u % 7", D.WEEKDAY_LABELS)} END AS AccidentWeekDay,
+  CASE WHEN u % 211 = 0 OR u % 67 = 0 THEN CAST(u % 24 AS VARCHAR(20)) ELSE {_pick("u % 4", D.DAYPART_LABELS)} END AS AccidentHour,
+  CASE WHEN u % 211 = 0 OR u % 71 = 0 THEN NULL ELSE {_pick("l_suppkey % 4", ["BE_DE", "BY_DE", "ZH_CH", "AG_CH"])} END AS CantonCode,
+  CASE WHEN u % 211 = 0 OR u % 73 = 0 THEN 'unknown' ELSE {_pick("l_orderkey % 3", D.SEVERITY_LABELS[:3])} END AS AccidentSeverityCategory,
+  CASE WHEN u % 211 = 0 OR u % 79 = 0 THEN 'maybe' WHEN u % 83 = 0 THEN NULL WHEN l_quantity < 9 THEN '1' ELSE '0' END AS AccidentInvolvingMotorcycle,
+  u AS row_id
+FROM (SELECT *, l_orderkey * 10 + l_linenumber AS u FROM {{lineitem}}) t"""
+
+# Hours of both sources with keys that they share and several hours a key; the file order is a column.
+HOURS_DE_SQL = """SELECT 'K' || CAST(u % 911 AS VARCHAR(20)) AS UIDENTSTLAE,
+  CASE WHEN u % 5 = 0 THEN 'x' ELSE CAST((u * 7) % 24 AS VARCHAR(20)) END AS USTUNDE, u AS _ord
+FROM (SELECT *, l_orderkey * 10 + l_linenumber AS u FROM {lineitem}) t WHERE l_linenumber > 2"""
+HOURS_CH_SQL = """SELECT ' K' || CAST(u % 1201 AS VARCHAR(20)) AS AccidentUID,
+  CASE WHEN u % 3 = 0 THEN '06-12' ELSE CAST((u * 5) % 24 AS VARCHAR(20)) END AS AccidentHour, u AS _ord
+FROM (SELECT *, l_orderkey * 10 + l_linenumber AS u FROM {lineitem}) t WHERE l_linenumber <= 2 AND l_orderkey % 4 = 0"""
+
+
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
 
@@ -60,6 +91,19 @@ def raw_ch(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> Data
     return _fixture(spark, sf_dir, RAW_CH_SQL, with_ordinal)
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prepared table as text (8 STRING columns and row_id, its file order)."""
+    return _fixture(spark, sf_dir, PREPARED_SQL, False)
+
+
+def hours_de(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixture(spark, sf_dir, HOURS_DE_SQL, False)
+
+
+def hours_ch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixture(spark, sf_dir, HOURS_CH_SQL, False)
+
+
 def duckdb_views() -> dict[str, str]:
     """The same fixture SQL for DuckDB, keyed by view name."""
     return {"raw_de": RAW_DE_SQL.format(lineitem="lineitem"),
