@@ -111,11 +111,6 @@ def month_number(c="AccidentMonth") -> Column:
     return lookup(c, D.MONTH_NUMBER).cast("int")
 
 
-def month_label(c) -> Column:
-    """Month number -> label."""
-    return lookup(c, {i + 1: m for i, m in enumerate(D.MONTH_LABELS)})
-
-
 def season(month_num, scheme: str = "winter_vs_rest") -> Column:
     """Season label for a month number under one of three schemes (Q9).
 
@@ -179,12 +174,6 @@ def region_key(c="CantonCode") -> Column:
     return F.when(s.endswith("_CH"), F.lit(D.CH_REGION_KEY)).otherwise(s)
 
 
-def reference_date(year, month_num) -> Column:
-    """P25: representative date of a month (the 15th)."""
-    y = year if isinstance(year, Column) else F.lit(year)
-    return F.make_date(y, _col(month_num), F.lit(D.REFERENCE_DAY))
-
-
 def night_flag(hour, dawn_hour, dusk_hour) -> Column:
     """1 when hour < dawn or hour > dusk; the edge hours count as day.
 

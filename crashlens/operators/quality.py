@@ -260,7 +260,3 @@ def hour_match_count(with_hour: DataFrame) -> DataFrame:
     """Rows that received a numeric hour, out of all rows."""
     return with_hour.agg(F.count("AccidentHourNumeric").alias("n_matched"),
                          F.count(F.lit(1)).alias("n_rows"))
-
-
-def required_subset(df: DataFrame, cols: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
-    return df.select(*cols)

@@ -22,11 +22,15 @@ OVERALL = "Gesamt"
 
 
 def with_scope(df: DataFrame, country_col: Column | None = None) -> DataFrame:
-    """Duplicate each row into the overall scope and its country scope, so one
-    aggregation yields overall and per-country results (what GROUPING SETS
-    expands to), with a single scan."""
+    """Marks each row with its country scope. The counts below add the overall scope from the counts
+    per country, after the aggregation of the rows, so no row is doubled."""
     c = country_col if country_col is not None else S.country("CantonCode")
-    return df.withColumn(SCOPE, F.explode(F.array(F.lit(OVERALL), c)))
+    return df.withColumn(SCOPE, c)
+
+
+def _add_overall(counts: DataFrame, col: str) -> DataFrame:
+    """Aggregated counts per country once more under the overall scope; summed up by the next aggregation."""
+    return counts.withColumn(col, F.explode(F.array(F.lit(OVERALL), F.col(col))))
 
 
 def spine_metrics(df: DataFrame, key: Column | str, spine: Sequence, by: Sequence[str] = (),
@@ -48,6 +52,10 @@ def spine_metrics(df: DataFrame, key: Column | str, spine: Sequence, by: Sequenc
     counts = df.groupBy(*by, k.alias("_key")).agg(
         *[(F.count(F.lit(1)) if cond is None else F.count_if(F.coalesce(cond, F.lit(False)))).alias(f"_m{j}")
           for j, cond in enumerate(metrics.values())])
+    if isinstance(key, str) and key == SCOPE:
+        counts = _add_overall(counts, "_key")
+    elif SCOPE in by:
+        counts = _add_overall(counts, SCOPE)
     aggs, cells = [], []
     for i, v in enumerate(spine):
         fields = [F.lit(v).alias(name), F.lit(i + 1).alias("ordinal")]
@@ -71,6 +79,8 @@ def grid_counts(df: DataFrame, row: Column, row_spine: Sequence, col: Column, co
     long form ``(by..., row_name, row_ord, col_name, col_ord, n)``; a hash
     aggregation by (groups, row, col), then zero-filled on the small result."""
     counts = df.groupBy(*by, row.alias("_r"), col.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    if SCOPE in by:
+        counts = _add_overall(counts, SCOPE)
     aggs, cells = [], []
     for i, rv in enumerate(row_spine):
         for j, cv in enumerate(col_spine):
@@ -83,9 +93,33 @@ def grid_counts(df: DataFrame, row: Column, row_spine: Sequence, col: Column, co
     return counts.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
 
 
-def observed_counts(df: DataFrame, cols: Sequence[str | Column]) -> DataFrame:
-    """A1/A3 for open domains: counts of the observed value combinations."""
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+def named_grids(df: DataFrame, tables: Sequence[tuple], name: str = "test") -> DataFrame:
+    """Several two-way tables from one aggregation of the rows, long form ``(name, r, c, n)``, zero-filled.
+
+    A table is (name, row, row_spine, col, col_spine, condition or None); row, col and condition are
+    expressions over ``df``. Rows are counted once by all distinct expressions; the tables are folded
+    from those counts, whose number is bounded by the category domains."""
+    keys, fields = [], []
+
+    def key(c: Column | None) -> Column:
+        if c is None:
+            return F.lit(True)
+        text = str(c)
+        if text not in fields:
+            fields.append(text)
+            keys.append(c.alias(f"_k{len(keys)}"))
+        return F.col(f"_k{fields.index(text)}")
+
+    parts = [(t, key(r), rs, key(c), cs, key(cond)) for t, r, rs, c, cs, cond in tables]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    aggs, cells = [], []
+    for t, r, rs, c, cs, cond in parts:
+        for rv in rs:
+            for cv in cs:
+                alias = f"_v{len(aggs)}"
+                aggs.append(F.coalesce(F.sum(F.when(cond & (r == F.lit(rv)) & (c == F.lit(cv)), F.col("_n"))), F.lit(0)).alias(alias))
+                cells.append(F.struct(F.lit(t).alias(name), F.lit(rv).alias("r"), F.lit(cv).alias("c"), F.col(alias).cast("bigint").alias("n")))
+    return counts.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
 def share(n: str | Column, over: Sequence[str] = ()) -> Column:
@@ -98,22 +132,6 @@ def share(n: str | Column, over: Sequence[str] = ()) -> Column:
     return F.try_divide(c * 100.0, total)
 
 
-def rate(flag: Column, total: Column | None = None) -> Column:
-    """A5: conditional rate in % (count_if(flag) / count(*)); 0 for an empty group."""
-    tot = F.count(F.lit(1)) if total is None else total
-    return F.coalesce(F.try_divide(F.count_if(F.coalesce(flag, F.lit(False))) * 100.0, tot), F.lit(0.0))
-
-
-def flag_mean(flag: Column) -> Column:
-    """Mean of a boolean flag (NULL for an empty group)."""
-    return F.avg(F.coalesce(flag, F.lit(False)).cast("double"))
-
-
-def flag_sum(flag: Column) -> Column:
-    """Number of rows where the flag holds."""
-    return F.count_if(F.coalesce(flag, F.lit(False))).cast("bigint")
-
-
 def argmax(df: DataFrame, label: str, metric: str, ordinal: str, by: Sequence[str] = (),
            where: Column | None = None, out_label: str = "label", out_value: str = "value") -> DataFrame:
     """The label with the largest metric per group; ties go to the smallest
@@ -124,49 +142,63 @@ def argmax(df: DataFrame, label: str, metric: str, ordinal: str, by: Sequence[st
         *by, F.col("_best.l").alias(out_label), F.col("_best.m").alias(out_value))
 
 
+def _table_cells(counts: DataFrame, row: str, col: str, n: str, by: Sequence[str]) -> DataFrame:
+    """Every cell of each contingency table, zeros included, without the rows and columns whose margin is
+    zero: (by..., _r, _c, _o, _rsum, _csum, _ntot, _nr, _nc). A table without counts keeps one row of NULLs.
+
+    ``counts`` is long form, bounded by the category domains; cells may be absent or repeated."""
+    cell = F.struct(F.col(row).alias("r"), F.col(col).alias("c"), F.col(n).cast("double").alias("o"))
+    tables = counts.groupBy(*by).agg(F.collect_list(F.when(F.col(n) > 0, cell)).alias("_cells"))
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x["o"])
+
+    def labels(field: str) -> Column:
+        return F.array_compact(F.array_distinct(F.transform("_cells", lambda x: x[field])))
+
+    wide = (tables.withColumn("_cells", F.filter("_cells", lambda x: x["r"].isNotNull() & x["c"].isNotNull()))
+            .withColumn("_ntot", total(F.col("_cells"))).withColumn("_rows", labels("r")).withColumn("_cols", labels("c"))
+            .withColumn("_nr", F.size("_rows")).withColumn("_nc", F.size("_cols")))
+    cells = wide.withColumn("_r", F.explode_outer("_rows")).withColumn("_c", F.explode_outer("_cols"))
+    in_row, in_col = (lambda x: x["r"] == F.col("_r")), (lambda x: x["c"] == F.col("_c"))
+    return cells.select(*by, "_r", "_c", total(F.filter("_cells", lambda x: in_row(x) & in_col(x))).alias("_o"),
+                        total(F.filter("_cells", in_row)).alias("_rsum"), total(F.filter("_cells", in_col)).alias("_csum"),
+                        "_ntot", "_nr", "_nc")
+
+
+def expected_counts(counts: DataFrame, row: str, col: str, n: str = "n", by: Sequence[str] = ()) -> DataFrame:
+    """A10: observed and expected count (row total x column total / table total) of every cell."""
+    x = _table_cells(counts, row, col, n, by).where(F.col("_r").isNotNull())
+    return x.select(*by, F.col("_r").alias(row), F.col("_c").alias(col), F.col("_o").cast("bigint").alias("observed"),
+                    (F.col("_rsum") / F.col("_ntot") * F.col("_csum")).alias("expected"))
+
+
 def chi_square(counts: DataFrame, row: str, col: str, n: str = "n", by: Sequence[str] = (),
                yates: bool = True) -> DataFrame:
     """A10: Pearson chi-square test of independence per table.
 
-    ``counts`` is a long-form contingency table (zeros allowed). Rows and
-    columns with a zero margin are dropped (where a textbook routine would
-    fail), dof = (r-1)(c-1); with dof = 1 the Yates continuity correction is
-    applied, min(0.5, |o-e|). The statistic uses only non-zero cells:
-    sum(o^2 / e) - N, and for 2x2: (D - min(0.5, D))^2 * N * sum(1/R) * sum(1/C)
-    with D = |o - e| (equal in all four cells).
+    ``counts`` is a long-form contingency table (absent cells count 0). Rows
+    and columns with a zero margin are dropped (where a textbook routine would
+    fail), dof = (r-1)(c-1); with dof = 1 the Yates continuity correction
+    y = min(0.5, |o-e|) is applied. The statistic is sum((|o-e|-y)^2 / e) over
+    all cells, zeros included: no difference of large sums is taken.
 
     Output per table: chi2, dof, n_total, p_value (upper tail, computed in the
     JVM by the regularised incomplete gamma function), significant (p < 0.05).
+    A table without counts has dof 0, chi2 0 and p 1.
     """
-    c = counts.where(F.col(n) > 0).select(*by, F.col(row).alias("_r"), F.col(col).alias("_c"),
-                                          F.col(n).cast("double").alias("_o"))
-    w_r = Window.partitionBy(*by, "_r")
-    w_c = Window.partitionBy(*by, "_c")
-    w_t = Window.partitionBy(*by)
-    x = (c.withColumn("_rsum", F.sum("_o").over(w_r))
-         .withColumn("_csum", F.sum("_o").over(w_c))
-         .withColumn("_ntot", F.sum("_o").over(w_t))
-         .withColumn("_fr", F.row_number().over(w_r.orderBy("_c")) == 1)
-         .withColumn("_fc", F.row_number().over(w_c.orderBy("_r")) == 1))
-    e = F.col("_rsum") * F.col("_csum") / F.col("_ntot")
-    t = x.groupBy(*by).agg(
-        F.max("_ntot").alias("_ntot"),
-        F.count_if("_fr").alias("_nr"),
-        F.count_if("_fc").alias("_nc"),
-        F.sum(F.col("_o") * F.col("_o") / e).alias("_ssum"),
-        F.sum(F.when(F.col("_fr"), 1.0 / F.col("_rsum"))).alias("_ir"),
-        F.sum(F.when(F.col("_fc"), 1.0 / F.col("_csum"))).alias("_ic"),
-        F.max(F.abs(F.col("_o") - e)).alias("_dev"),
-    )
-    # an all-zero table has no cells left: dof 0, chi2 0, p 1
-    dof = F.when(F.col("_ntot").isNull(), F.lit(0)).otherwise((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("int")
-    plain = F.col("_ssum") - F.col("_ntot")
-    d = F.col("_dev")
-    corrected = F.pow(d - F.least(F.lit(0.5), d), 2) * F.col("_ntot") * F.col("_ir") * F.col("_ic")
-    chi2 = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(yates), corrected).otherwise(F.greatest(plain, F.lit(0.0)))
-    res = t.select(*by, chi2.alias("chi2"), dof.alias("dof"),
-                   F.coalesce(F.col("_ntot"), F.lit(0.0)).cast("bigint").alias("n_total"))
-    p = F.when((F.col("dof") == 0) | F.col("chi2").isNull(), F.lit(1.0)).otherwise(
+    x = _table_cells(counts, row, col, n, by)
+    e = F.col("_rsum") / F.col("_ntot") * F.col("_csum")
+    off = F.abs(F.col("_o") - e)
+    one = (F.col("_nr") - 1) * (F.col("_nc") - 1) == 1
+    y = F.when(one & F.lit(yates), F.least(F.lit(0.5), off)).otherwise(F.lit(0.0))
+    term = F.when(F.col("_r").isNotNull() & F.col("_c").isNotNull(), F.pow(off - y, 2) / e)
+    res = x.groupBy(*by).agg(F.sum(term).alias("_chi2"), F.max("_nr").alias("_nr"), F.max("_nc").alias("_nc"),
+                             F.max("_ntot").alias("_ntot"))
+    dof = F.when(F.coalesce("_nr", F.lit(0)) == 0, F.lit(0)).otherwise((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("int")
+    res = res.select(*by, F.when(dof == 0, F.lit(0.0)).otherwise(F.col("_chi2")).alias("chi2"), dof.alias("dof"),
+                     F.coalesce(F.col("_ntot"), F.lit(0.0)).cast("bigint").alias("n_total"))
+    p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(
         F.reflect(F.lit("org.apache.commons.math3.special.Gamma"), F.lit("regularizedGammaQ"),
                   (F.col("dof") / 2.0).cast("double"), (F.col("chi2") / 2.0).cast("double")).cast("double"))
     return res.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)

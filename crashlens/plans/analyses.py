@@ -55,6 +55,11 @@ def motorcycle_severity_test(final: DataFrame) -> DataFrame:
     return _test(g, "motorcycle_x_severity", "motorcycle", "severity", by=[T.SCOPE])
 
 
+def motorcycle_severity_expected(final: DataFrame) -> DataFrame:
+    """G1: observed and expected counts of the test, overall and per country."""
+    return T.expected_counts(motorcycle_severity(final), "motorcycle", "severity", by=[T.SCOPE])
+
+
 # --- G2: daypart -----------------------------------------------------------------
 
 def daypart_counts(final: DataFrame) -> DataFrame:
@@ -91,11 +96,10 @@ def severe_share_by_daypart(final: DataFrame) -> DataFrame:
 
 def daypart_tests(final: DataFrame) -> DataFrame:
     """Chi-square daypart x severity and day/night x severity."""
-    a = T.grid_counts(final, F.col("AccidentHour"), D.DAYPART_REPORT_ORDER, F.col(SEV), D.SEVERITY_LABELS,
-                      row_name="r", col_name="c")
-    b = T.grid_counts(final, S.daynight_group(), DAYNIGHT_LABELS, F.col(SEV), D.SEVERITY_LABELS,
-                      row_name="r", col_name="c")
-    return _test(a, "daypart_x_severity", "r", "c").unionByName(_test(b, "daynight_x_severity", "r", "c"))
+    return T.chi_square(T.named_grids(final, [
+        ("daypart_x_severity", F.col("AccidentHour"), D.DAYPART_REPORT_ORDER, F.col(SEV), D.SEVERITY_LABELS, None),
+        ("daynight_x_severity", S.daynight_group(), DAYNIGHT_LABELS, F.col(SEV), D.SEVERITY_LABELS, None),
+    ]), "r", "c", by=["test"])
 
 
 # --- G3: winter ------------------------------------------------------------------
@@ -141,10 +145,11 @@ def winter_tests(final: DataFrame) -> DataFrame:
     """Chi-square country x season, and country x severity within winter."""
     d = _season(_country(final))
     seasons = ["Winter", D.SEASON_SCHEMES["winter_vs_rest"][1]]
-    a = T.grid_counts(d, F.col("country"), D.COUNTRY_CODES, F.col("season"), seasons, row_name="r", col_name="c")
-    b = T.grid_counts(d.where(F.col("season") == "Winter"), F.col("country"), D.COUNTRY_CODES, F.col(SEV),
-                      D.SEVERITY_LABELS, row_name="r", col_name="c")
-    return _test(a, "country_x_season", "r", "c").unionByName(_test(b, "winter_country_x_severity", "r", "c"))
+    return T.chi_square(T.named_grids(d, [
+        ("country_x_season", F.col("country"), D.COUNTRY_CODES, F.col("season"), seasons, None),
+        ("winter_country_x_severity", F.col("country"), D.COUNTRY_CODES, F.col(SEV), D.SEVERITY_LABELS,
+         F.col("season") == "Winter"),
+    ]), "r", "c", by=["test"])
 
 
 # --- G4: weekday -----------------------------------------------------------------
@@ -219,9 +224,10 @@ def night_severity(night: DataFrame) -> DataFrame:
 
 def night_tests(night: DataFrame) -> DataFrame:
     """Chi-square day/night x motorcycle and day/night x severity."""
-    a = T.grid_counts(night, S.night_label(), NIGHT_LABELS, _moto_label(), MOTO_LABELS, row_name="r", col_name="c")
-    b = T.grid_counts(night, S.night_label(), NIGHT_LABELS, F.col(SEV), D.SEVERITY_LABELS, row_name="r", col_name="c")
-    return _test(a, "night_x_motorcycle", "r", "c").unionByName(_test(b, "night_x_severity", "r", "c"))
+    return T.chi_square(T.named_grids(night, [
+        ("night_x_motorcycle", S.night_label(), NIGHT_LABELS, _moto_label(), MOTO_LABELS, None),
+        ("night_x_severity", S.night_label(), NIGHT_LABELS, F.col(SEV), D.SEVERITY_LABELS, None),
+    ]), "r", "c", by=["test"])
 
 
 def night_by_month(night: DataFrame) -> DataFrame:
@@ -233,10 +239,11 @@ def night_by_month(night: DataFrame) -> DataFrame:
 
 
 def night_month_winners(night: DataFrame) -> DataFrame:
-    """G5 + T3: month with most night accidents and month with the highest rate."""
-    m = night_by_month(night)
+    """G5 + T3: month with most night accidents and month with the highest rate; rates rank as shown,
+    rounded to one decimal, and the earlier month wins a tie."""
+    m = night_by_month(night).withColumn("shown_pct", F.round("night_pct", 1))
     key = lambda c: F.max(F.struct(F.col(c).alias("m"), (-F.col("ordinal")).alias("o"), F.col("month").alias("l")))
-    agg = m.groupBy(T.SCOPE).agg(key("n_night").alias("a"), key("night_pct").alias("b"))
+    agg = m.groupBy(T.SCOPE).agg(key("n_night").alias("a"), key("shown_pct").alias("b"))
     return agg.select(T.SCOPE, F.col("a.l").alias("most_night_month"), F.col("a.m").alias("most_night_n"),
                       F.col("b.l").alias("top_rate_month"), F.col("b.m").alias("top_rate_pct"))
 
@@ -334,7 +341,8 @@ def confusion_matrix(night: DataFrame) -> DataFrame:
 def errors_by_hour(night: DataFrame) -> DataFrame:
     """G8 + A15: false positives and false negatives per numeric hour."""
     d = _cells(night).where(F.col("cell").isin("FP", "FN") & F.col("AccidentHourNumeric").isNotNull())
-    return d.groupBy("cell", F.col("AccidentHourNumeric").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return (d.groupBy("cell", F.col("AccidentHourNumeric").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+            .orderBy("cell", "hour"))
 
 
 def fn_by_bin(night: DataFrame) -> DataFrame:

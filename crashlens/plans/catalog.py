@@ -93,6 +93,7 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     # G1
     "g1_motorcycle_severity": lambda s: A.motorcycle_severity(s.final),
     "g1_chi2": lambda s: A.motorcycle_severity_test(s.final),
+    "g1_expected": lambda s: A.motorcycle_severity_expected(s.final),
     # G2
     "g2_daypart_counts": lambda s: A.daypart_counts(s.final),
     "g2_daynight_share": lambda s: A.daynight_share(s.final),

@@ -411,11 +411,11 @@ def _night_by_month() -> str:
 
 
 def _month_winners() -> str:
-    m = _night_by_month()
+    m = _with(_night_by_month(), "round(night_pct, 1) AS shown_pct")
     rk = lambda c: f"row_number() OVER (PARTITION BY scope ORDER BY {c} DESC, ordinal)"
     return (f"SELECT scope, max(CASE WHEN ra = 1 THEN month END) AS most_night_month, max(CASE WHEN ra = 1 THEN n_night END) AS most_night_n, "
-            f"max(CASE WHEN rb = 1 THEN month END) AS top_rate_month, max(CASE WHEN rb = 1 THEN night_pct END) AS top_rate_pct "
-            f"FROM (SELECT *, {rk('n_night')} AS ra, {rk('night_pct')} AS rb FROM ({m})) GROUP BY scope")
+            f"max(CASE WHEN rb = 1 THEN month END) AS top_rate_month, max(CASE WHEN rb = 1 THEN shown_pct END) AS top_rate_pct "
+            f"FROM (SELECT *, {rk('n_night')} AS ra, {rk('shown_pct')} AS rb FROM ({m})) GROUP BY scope")
 
 
 def _daylight() -> str:
@@ -498,6 +498,11 @@ def bodies() -> dict[str, str]:
                                         f"{share('n', ['scope', 'motorcycle'])} AS row_pct"),
         "g1_chi2": chi2(grid(scoped_final, moto_label(), MOTO, SEV, D.SEVERITY_LABELS, ["scope"], "motorcycle", "severity"),
                         "motorcycle", "severity", ["scope"], "motorcycle_x_severity"),
+        "g1_expected": (f"SELECT scope, motorcycle, severity, n AS observed, CAST(rn AS DOUBLE) * cn / tn AS expected FROM (SELECT *, "
+                        f"sum(n) OVER (PARTITION BY scope, motorcycle) AS rn, sum(n) OVER (PARTITION BY scope, severity) AS cn, "
+                        f"sum(n) OVER (PARTITION BY scope) AS tn FROM ("
+                        + grid(scoped_final, moto_label(), MOTO, SEV, D.SEVERITY_LABELS, ["scope"], "motorcycle", "severity")
+                        + ")) WHERE rn > 0 AND cn > 0"),
         "g2_daypart_counts": _with(spine(scoped_final, "AccidentHour", D.DAYPART_REPORT_ORDER, ["scope"], key_name="daypart"),
                                    f"{share('n', ['scope'])} AS pct"),
         "g2_daynight_share": _with(spine("final", daynight(), ["Tag", "Nacht/Abend"],
