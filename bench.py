@@ -19,7 +19,7 @@ from crashlens.session import get_spark  # noqa: E402
 
 HEADLINE = [
     "harmonised", "error_rows", "clean_rows_multiset", "unmapped_values", "night_classified",
-    "g1_chi2", "g2_daypart_severity", "g3_chi2", "g4_winners", "g5_night_by_month", "g5_night_by_hour",
+    "g1_chi2", "g2_chi2", "g2_daypart_severity", "g3_chi2", "g4_winners", "g5_chi2", "g5_night_by_month", "g5_night_by_hour",
     "g7_correlation", "g8_confusion", "g9_misclass_by_month", "g10_monthly_table",
 ]
 

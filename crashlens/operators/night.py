@@ -35,7 +35,8 @@ def classify_night(df: DataFrame, twilight: DataFrame, year: int = D.DEFAULT_YEA
     # One row per (point, month): the reference day of the analysis year. The
     # 17 reference points bound the broadcast side at 17 x 12 rows, whatever
     # the cache file holds.
-    dim = (twilight.where((F.col("year") == F.lit(year)) & (F.dayofmonth("ref_date") == D.REFERENCE_DAY))
+    dim = (twilight.where((F.col("year") == F.lit(year)) & (F.dayofmonth("ref_date") == D.REFERENCE_DAY)
+                          & F.col("region_key").isNotNull())
            .select(F.col("region_key").alias("_rk"), F.col("month").alias("_m"),
                    F.col("dawn_hour").alias("_dawn"), F.col("dusk_hour").alias("_dusk")))
     keyed = df.withColumn("_rk", S.region_key("CantonCode")).withColumn("_m", S.month_number("AccidentMonth"))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import domains as D
 from ..operators import display, joins, normalise, quality
 from ..operators.night import twilight_pairs
 from ..sources import fixtures
@@ -56,7 +57,8 @@ def _q(fn: Callable[[Stages], DataFrame]) -> Query:
 def _twilight_pairs(s: Stages) -> DataFrame:
     p = twilight_pairs(s.final)
     from ..functions import scalars as S
-    dim = s.twilight.select(F.col("region_key"), F.col("month").alias("_m"), "dawn_hour", "dusk_hour")
+    known = (F.col("year") == s.year) & (F.dayofmonth("ref_date") == D.REFERENCE_DAY) & F.col("region_key").isNotNull()
+    dim = s.twilight.where(known).select(F.col("region_key"), F.col("month").alias("_m"), "dawn_hour", "dusk_hour")
     j = p.withColumn("region_key", S.region_key("CantonCode"))
     return j.join(F.broadcast(dim), (j["region_key"] == dim["region_key"]) & (j["month"] == dim["_m"]), "left") \
         .select("CantonCode", "month", j["region_key"], "dawn_hour", "dusk_hour")

@@ -15,11 +15,14 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..operators import joins, night, normalise, quality
 from ..sources import fixtures, raw, twilight as tw
 
+CLEAN = "_clean"
+
 
 class Stages:
     """Every stage of the chain, declared on first use (so a query analyses
@@ -35,10 +38,15 @@ class Stages:
     @cached_property
     def harmonised(self) -> DataFrame:
         """Harmonised rows plus the hour-lookup columns; with ``materialise``
-        written once as Parquet under the shared checkpoint folder, so the raw
-        extracts are read exactly once for the whole chain."""
+        written once as Parquet under the shared checkpoint folder, partitioned by
+        year and with each row's reasons and a clean flag, so the raw extracts are
+        read and checked exactly once for the whole chain."""
         base = normalise.harmonise(self.de_raw, self.ch_raw, lookup_columns=True)
-        return raw.materialise(base, "harmonised") if self.materialise else base
+        if not self.materialise:
+            return base
+        reasons = quality.reason_array(base.select(*normalise.HARMONISED), self.null_check)
+        checked = base.withColumn(quality.REASONS, reasons).withColumn(CLEAN, F.size(quality.REASONS) == 0)
+        return raw.materialise(checked, "harmonised", partition_by=("AccidentYear",))
 
     @cached_property
     def merged(self) -> DataFrame:
@@ -46,18 +54,27 @@ class Stages:
 
     @cached_property
     def flagged(self) -> DataFrame:
+        if self.materialise:
+            return self.harmonised.select(*normalise.HARMONISED, quality.REASONS)
         return quality.flag_errors(self.merged, self.null_check)
 
     @cached_property
     def errors(self) -> DataFrame:
+        if self.materialise:
+            bad = self.harmonised.where(~F.col(CLEAN))
+            return bad.select(*normalise.HARMONISED, F.array_join(quality.REASONS, "; ").alias(quality.ERROR_REASONS))
         return quality.find_errors(self.merged, self.null_check)
 
     @cached_property
     def clean(self) -> DataFrame:
+        if self.materialise:  # plain filters, so a year filter on top prunes the scan
+            return self.harmonised.where(CLEAN).select(*normalise.HARMONISED)
         return quality.clean_rows(self.merged, self.null_check)
 
     @cached_property
     def final(self) -> DataFrame:
+        if self.materialise:
+            return quality.filter_year(self.clean, self.year)
         # Year first, then the row checks: both are row-wise, so the result
         # equals filtering the clean rows, but the checks only see one year.
         return quality.clean_rows(quality.filter_year(self.merged, self.year), self.null_check)
@@ -96,12 +113,11 @@ def fixture_stages(spark: SparkSession, sf_dir: str, year: int = D.DEFAULT_YEAR,
 
 
 def file_stages(spark: SparkSession, de_path: str, ch_path: str, year: int = D.DEFAULT_YEAR,
-                twilight_cache: str | None = None, materialise: bool = True) -> Stages:
+                twilight_cache: str | None = None, materialise: bool = True, fmt: str | None = None) -> Stages:
     """The chain over raw files (CSV with sniffed separator, or Parquet); by
     default the harmonised table is written once and every stage reads it."""
-    from pyspark.sql import functions as F
-    de = raw.read_raw(spark, de_path).withColumn(fixtures.ORDINAL, F.monotonically_increasing_id())
-    ch = raw.read_raw(spark, ch_path).withColumn(fixtures.ORDINAL, F.monotonically_increasing_id())
+    de = raw.read_raw(spark, de_path, fmt=fmt).withColumn(fixtures.ORDINAL, F.monotonically_increasing_id())
+    ch = raw.read_raw(spark, ch_path, fmt=fmt).withColumn(fixtures.ORDINAL, F.monotonically_increasing_id())
     dim = tw.load_twilight_cache(spark, twilight_cache) if twilight_cache else None
     return build_stages(de, ch, year, dim, materialise=materialise)
 

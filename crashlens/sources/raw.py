@@ -35,17 +35,37 @@ def detect_separator(spark: SparkSession, path: str) -> str:
     return best if header.count(best) > 0 else ","
 
 
-def read_raw(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+# fixed values: file endings by format
+ENDINGS = {"parquet": (".parquet", ".pq"), "csv": (".csv", ".tsv", ".txt", ".csv.gz", ".tsv.gz", ".txt.gz")}
+
+
+def file_format(spark: SparkSession, path: str) -> str:
+    """The format that a path's ending names, or for a folder without one the ending of a file in it;
+    what neither tells is refused."""
+    def known(name: str) -> str | None:
+        return next((fmt for fmt, endings in ENDINGS.items() if name.lower().endswith(endings)), None)
+
+    fmt = known(path.rstrip("/"))
+    if fmt is None and "." not in path.rstrip("/").rsplit("/", 1)[-1]:
+        first = spark.read.text(path).select("_metadata.file_name").first()
+        fmt = known(first[0]) if first else None
+    if fmt:
+        return fmt
+    raise ValueError(f"cannot tell the format of {path}: pass fmt='csv' or fmt='parquet' (Excel files: convert first)")
+
+
+def read_raw(spark: SparkSession, path: str, sep: str | None = None, fmt: str | None = None) -> DataFrame:
     """Read a raw extract. CSV: header row, all STRING, separator sniffed
     when not given, missing-value marks as NULL; several files must have the
     same header (a file with other or reordered names fails the read). Parquet:
-    as stored. Excel is not supported (convert upstream).
+    as stored. ``fmt`` ('csv' or 'parquet') goes before the path's ending; a path
+    with neither is refused, as is Excel (convert upstream).
     """
-    lower = path.lower().rstrip("/")
-    if lower.endswith(".parquet") or lower.endswith(".pq"):
+    fmt = fmt or file_format(spark, path)
+    if fmt == "parquet":
         return spark.read.parquet(path)
-    if lower.endswith(".xlsx") or lower.endswith(".xls"):
-        raise ValueError(f"Excel input is not supported on the cluster, convert to CSV/Parquet: {path}")
+    if fmt != "csv":
+        raise ValueError(f"unsupported input format {fmt!r}")
     sep = sep or detect_separator(spark, path)
     table = (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
              .option("sep", sep).option("mode", "PERMISSIVE").csv(path))
@@ -123,5 +143,5 @@ def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     if cols:
         w = w.partitionBy(*cols)
     w.parquet(path)
-    back = spark.read.parquet(path)
-    return back.select(*df.columns) if cols else back
+    # with the schema given, a partition column keeps its type
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

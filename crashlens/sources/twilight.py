@@ -6,8 +6,8 @@ Both return the same schema, one row per (region_key, year, month):
     begin_utc TIMESTAMP_NTZ, end_utc TIMESTAMP_NTZ,
     dawn_hour INT, dusk_hour INT, daylight_hours DOUBLE
 
-The dimension has at most 17 regions x 12 months per year, so it is safe to
-broadcast; it never grows with the accident data.
+The rows with a region are at most 17 x 12 per year and reference day; only those are
+broadcast. The dimension never grows with the accident data.
 """
 
 from __future__ import annotations
@@ -57,7 +57,8 @@ def _iso_to_utc_ntz(c):
 def load_twilight_cache(spark: SparkSession, path: str) -> DataFrame:
     """The ``"lat,lng,date" -> {begin, end}`` JSON cache as a dimension.
 
-    Keys whose point is not one of the 17 reference points are dropped.
+    Every key is kept: daylight means take all points of the file. A point that is
+    not one of the 17 reference points has no region, zone or local hours (NULL).
     """
     raw = spark.read.text(path, wholetext=True)
     entries = raw.select(F.explode(F.from_json("value", CACHE_SCHEMA)).alias("k", "v"))
@@ -68,7 +69,7 @@ def load_twilight_cache(spark: SparkSession, path: str) -> DataFrame:
         _iso_to_utc_ntz(F.col("v.end")).alias("end_utc"),
     )
     pts = F.broadcast(region_points_df(spark))
-    return _finish(parsed.join(pts, "point"))
+    return _finish(parsed.join(pts, "point", "left"))
 
 
 def solar_twilight(spark: SparkSession, years: int | Iterable[int] = D.DEFAULT_YEAR,

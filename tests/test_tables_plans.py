@@ -90,3 +90,49 @@ def test_scopes_double_counts_and_not_rows(spark):
     plan = _plan(_run(spark, "g1_motorcycle_severity"))
     rows_below_first_aggregate = plan[plan.rindex("HashAggregate"):]
     assert "explode" not in rows_below_first_aggregate
+
+
+def test_clean_then_year_prunes_the_prepared_table(spark):
+    from crashlens.operators import quality
+    from crashlens.plans.stages import build_stages
+    from crashlens.sources import fixtures
+
+    lazy = build_stages(fixtures.raw_de(spark, SF, True), fixtures.raw_ch(spark, SF, True))
+    stored = build_stages(fixtures.raw_de(spark, SF, True), fixtures.raw_ch(spark, SF, True), materialise=True)
+    plan = _plan(quality.filter_year(stored.clean, stored.year))
+    assert "PartitionFilters: [isnotnull(AccidentYear" in plan
+    for name in ("clean", "errors", "final"):
+        a, b = getattr(lazy, name), getattr(stored, name)
+        assert a.dtypes == b.dtypes
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_unknown_formats_are_refused(spark, tmp_path):
+    from crashlens.sources import raw
+
+    rows = spark.range(2).selectExpr("cast(id as string) k")
+    rows.write.parquet(str(tmp_path / "table"))
+    assert raw.read_raw(spark, str(tmp_path / "table")).columns == ["k"]  # told by the files in the folder
+    rows.coalesce(1).write.text(str(tmp_path / "lines.dat"))  # one file: its first line is the header
+    with pytest.raises(ValueError):
+        raw.read_raw(spark, str(tmp_path / "lines.dat"))
+    assert raw.read_raw(spark, str(tmp_path / "lines.dat"), fmt="csv").count() == 1
+    with pytest.raises(ValueError):
+        raw.read_raw(spark, "x.xlsx")
+
+
+def test_cache_keeps_points_outside_the_regions(spark, tmp_path):
+    import json
+
+    from crashlens.functions import domains as D
+    from crashlens.plans import analyses
+    from crashlens.sources.twilight import load_twilight_cache
+
+    _, lat, lng, _ = D.region_points()[0]
+    cell = {"begin": "2024-01-15T06:00:00+00:00", "end": "2024-01-15T16:00:00+00:00"}
+    far = {"begin": "2024-01-15T06:00:00+00:00", "end": "2024-01-15T18:00:00+00:00"}
+    path = tmp_path / "cache.json"
+    path.write_text(json.dumps({f"{lat},{lng},2024-01-15": cell, "1.5,2.5,2024-01-15": far}))
+    cache = load_twilight_cache(spark, str(path))
+    assert cache.filter("region_key is null").count() == 1
+    assert [r.daylight_hours for r in analyses.monthly_daylight(cache).collect()] == [11.0]

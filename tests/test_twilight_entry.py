@@ -45,7 +45,7 @@ def test_cache_loader(spark, tmp_path):
     p = tmp_path / "cache.json"
     p.write_text(json.dumps(cache))
     rows = {(r.region_key, r.month): r for r in tw.load_twilight_cache(spark, str(p)).collect()}
-    assert set(rows) == {("SH_DE", 5), ("CH", 1)}
+    assert set(rows) == {("SH_DE", 5), ("CH", 1), (None, 1)}  # a point outside the regions stays, without one
     assert (rows[("SH_DE", 5)].dawn_hour, rows[("SH_DE", 5)].dusk_hour) == (4, 22)
     assert rows[("CH", 1)].dawn_hour == 7  # 06:33:56 UTC after applying the +01:00 offset
     assert abs(rows[("SH_DE", 5)].daylight_hours - (17 * 3600 + 35 * 60 + 21) / 3600) < 1e-9
