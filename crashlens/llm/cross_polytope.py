@@ -12,13 +12,16 @@ them unit vectors; a query probes each band.
 
 The number of probes is fitted: a bounded sample of SAMPLE_QUERIES queries is compared with all
 vectors in blocks, and the smallest number of probes is taken with which the tables hold RECALL of
-their true neighbours. Every vector is indexed, and no bucket is capped: a large one is spread over
-several tasks. Equal vectors are one entry, with the smallest k + 1 of their ids.
+their true neighbours. That number is a least one: where buckets are filled unevenly a query goes on
+probing each table until its buckets there hold k + 1 entries, and half as many as those of the
+sample's median query, or are all of the table's. Every vector is indexed, and no bucket is capped:
+a large one is spread over several tasks. Equal vectors are one entry, with the smallest k + 1 of
+their ids.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a non-finite component take
 no part, neither do rows without an id; vectors of different dimension are not compared; an id's
-repeated equal rows count once; a query never finds its own id; ties go to the smaller id; with
-fewer than k candidates all probed ones are returned; an empty table gives an empty result.
+repeated equal rows count once; a query never finds its own id; ties go to the smaller id; a query
+finds k neighbours, or all candidates if there are fewer; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ MERGE_ROWS = 5_000         # rows of (query, task) that are merged at once
 SAMPLE_QUERIES = 64
 RECALL = 0.96
 ROUNDS = 3
+PROBED_CELLS = 1 << 22     # (query, bucket) pairs that are ranked at once
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -98,6 +102,14 @@ class Index:
             score = (score[:, :, None] + np.concatenate((r, -r), axis=1)[:, None, :]).reshape(len(q), -1)
         return np.argsort(-score, axis=1, kind="stable")[:, :count]
 
+    def probed(self, q: np.ndarray, table: int, held: np.ndarray, least: int, need: int) -> Iterator[np.ndarray]:
+        """Each query's buckets of a table, nearest axes first: ``least`` of them, and as many as hold ``need`` entries."""
+        step = max(1, PROBED_CELLS // self.buckets)
+        for i in range(0, len(q), step):
+            order = self.probes_of(q[i:i + step], table, self.buckets)
+            counts = np.maximum(least, (np.cumsum(held[order], axis=1) < need).sum(axis=1) + 1)
+            yield from (own[:n] for own, n in zip(order, counts.tolist()))
+
 
 def _vectors(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -193,7 +205,13 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
 
     # bounded: a row per bucket, (2 * width) ** functions of them in a table
     sizes = entries.select("dim", "band", "v").mapInArrow(count_buckets, bucket_schema).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
-    probes = _fit(entries, asked, indexes, k, recall)
+    # entries in each bucket of each table, all bands together
+    held = {d: np.zeros((TABLES, index.buckets), dtype=np.int64) for d, index in indexes.items()}
+    for r in sizes:
+        place_of, bucket = divmod(r.code, 1 << 34)
+        held[place_of // TABLES // 4096][place_of % TABLES, bucket] += r.n
+    fitted = _fit(entries, asked, indexes, held, k, recall)
+    reach = max((mean for _, _, mean in fitted.values()), default=1)
 
     # buckets to tasks: small ones together, large ones over several
     tasks_of: dict[int, range] = {}
@@ -208,7 +226,7 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         else:
             room -= r.n
     n_tasks = task + 1
-    per_task = asked.count() * min(1.0, max(probes.values(), default=1) * TABLES / n_tasks)
+    per_task = asked.count() * min(1.0, reach * TABLES / n_tasks)
     lots = max(1, int(np.ceil(per_task / TASK_QUERIES)))
 
     data_schema = T.StructType([T.StructField("task", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("key", T.LongType()),
@@ -233,9 +251,10 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         for batch in batches:
             for index, part in by_dim(batch):
                 x, keys = _vectors(part.column("v")), part.column("key").to_pylist()
+                least, need, _ = fitted[index.dim]
                 wanted = [defaultdict(list) for _ in keys]
                 for t in range(TABLES):
-                    for i, own in enumerate(index.probes_of(x, t, probes[index.dim])):
+                    for i, own in enumerate(index.probed(x, t, held[index.dim][t], least, need)):
                         for b in index.bands:
                             for c in code(index.dim, b, t, own).tolist():
                                 for n in tasks_of.get(c, ()):
@@ -279,7 +298,7 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         return pa.table([pa.array(q[best]), pa.array(c[best]), pa.array(s[best])], names=_FOUND.names)
 
     # a task sends one row per query; blocks of queries, as many as keep a block small, merge them
-    blocks = max(1, int(asked.count() * min(n_tasks, max(probes.values(), default=1) * TABLES) / MERGE_ROWS))
+    blocks = max(1, int(asked.count() * min(n_tasks, reach * TABLES) / MERGE_ROWS))
     part_schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("query", T.LongType()),
                                 T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
     data = entries.select("key", "dim", "band", "v").mapInArrow(place, data_schema).groupBy("task")
@@ -304,8 +323,10 @@ def _vectors_by(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def _fit(entries: DataFrame, asked: DataFrame, indexes: dict[int, Index], k: int, recall: float) -> dict[int, int]:
-    """Probes per table and dimension with which ``recall`` of a query sample's true neighbours are found.
+def _fit(entries: DataFrame, asked: DataFrame, indexes: dict[int, Index], held: dict[int, np.ndarray], k: int,
+         recall: float) -> dict[int, tuple[int, int, int]]:
+    """For each dimension, the probes per table with which ``recall`` of a query sample's true neighbours are
+    found, the entries that a query's buckets of a table have to hold, and the sample's mean probes with both.
 
     The sample (SAMPLE_QUERIES queries of a dimension, by a hash of their ids) is scored against every
     entry in blocks; only each block's best rows leave a task.
@@ -314,7 +335,7 @@ def _fit(entries: DataFrame, asked: DataFrame, indexes: dict[int, Index], k: int
     for d, index in indexes.items():
         sample = asked.filter(F.col("dim") == d).orderBy(F.xxhash64("key"), "key").limit(SAMPLE_QUERIES).select("key", "v").collect()
         if not sample:
-            out[d] = 1
+            out[d] = (1, k + 1, 1)
             continue
         keys, x = np.array([r.key for r in sample]), np.array([r.v for r in sample])
 
@@ -333,5 +354,9 @@ def _fit(entries: DataFrame, asked: DataFrame, indexes: dict[int, Index], k: int
         if pairs:
             there = index.buckets_of(np.array([p.v for p in pairs]), np.array([index.bands[p.band] for p in pairs]))
             ranks = np.min([order[t][[place[p.query] for p in pairs], there[:, t]] for t in range(TABLES)], axis=0)
-        out[d] = int(min(index.buckets, np.sort(ranks)[int(np.ceil(recall * len(ranks))) - 1] + 1))
+        least = int(min(index.buckets, np.sort(ranks)[int(np.ceil(recall * len(ranks))) - 1] + 1))
+        usual = np.median([held[d][t][index.probes_of(x, t, least)].sum(axis=1) for t in range(TABLES)])
+        need = max(k + 1, int(usual) // 2)
+        mean = np.mean([len(own) for t in range(TABLES) for own in index.probed(x, t, held[d][t], least, need)])
+        out[d] = (least, need, int(np.ceil(mean)))
     return out

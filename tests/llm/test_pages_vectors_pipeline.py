@@ -83,6 +83,26 @@ def test_nearest(spark):
     assert cross_polytope.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_nearest_finds_k_for_every_query(spark):
+    r = np.random.default_rng(8)
+    near = r.normal(size=64) + 0.02 * r.normal(size=(2900, 64))
+    x = r.permutation(np.concatenate((near, r.normal(size=(100, 64)))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(3)
+    got = defaultdict(set)
+    for v in cross_polytope.search(df, F.col("vec_id") % 4 == 0).collect():
+        got[v.query_id].add(v.vec_id)
+    assert {q: len(got[q]) for q in range(0, 3000, 4) if len(got[q]) != 20} == {}
+    hit = []
+    for q in range(0, 3000, 4):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit.append(len(got[q] & set(np.argsort(-s)[:20].tolist())))
+    far = [n for q, n in zip(range(0, 3000, 4), hit) if np.linalg.norm(x[q] - np.median(x, axis=0)) > 2]
+    assert len(far) >= 15 and sum(hit) >= 0.9 * 20 * len(hit) and sum(far) >= 0.7 * 20 * len(far)
+    few = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:13] * r.choice([0.1, 1, 9], (13, 1)))], df.schema)
+    assert Counter(v.query_id for v in cross_polytope.search(few, F.lit(True)).collect()) == {i: 12 for i in range(13)}
+
+
 def test_pipeline_stages(spark, docs, no_docs):
     at = docs
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
