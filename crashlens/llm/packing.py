@@ -10,8 +10,9 @@ Spark deals light piece rows (no ids) to packers by hash. A packer takes its row
 length, then by hash: long pieces open sequences and short ones fill them, and a rerun of a lost
 task packs alike.
 
-Defined results: a null or empty text is the closing id alone; repeated rows are packed each;
-an empty table packs to nothing; null keys are carried along.
+Defined results: a null or empty text is the closing id alone; a tokenizer's added token written out
+in a text is that token; repeated rows are packed each; an empty table packs to nothing; null keys are
+carried along.
 """
 
 from __future__ import annotations
@@ -40,21 +41,23 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """Encoder for a byte-level BPE tokenizer file (``tokenizers`` JSON): its vocabulary and split
-    pattern in the faster ``tiktoken`` library, which gives the same ids (tests compare them)."""
+    """Encoder for a byte-level BPE tokenizer file (``tokenizers`` JSON): its vocabulary, split pattern
+    and added tokens in the faster ``tiktoken`` library, which gives the same ids (tests compare them)
+    with ``allowed_special="all"``."""
     if path not in _ENCODERS:
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, added = file["model"], {t["content"]: t["id"] for t in file["added_tokens"]}
         # byte-level vocabularies write byte b as a printable character: itself, or one from U+0100 on
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["vocab"].items()
-                 if all(c in byte_of for c in piece) and piece != "<|endoftext|>"}
-        _ENCODERS[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+                 if all(c in byte_of for c in piece) and piece not in added}
+        _ENCODERS[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _ENCODERS[path]
 
 
@@ -76,7 +79,7 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             for part in W.slices(batch, texts):
                 row, piece, start, size, crc, ids = [], [], [], [], [], []
                 for i, value in enumerate(part.column(texts).to_pylist()):
-                    own = np.append(encode(value, disallowed_special=()) if value else np.zeros(0, np.uint32), END_ID).astype("<u4")
+                    own = np.append(encode(value, allowed_special="all") if value else np.zeros(0, np.uint32), END_ID).astype("<u4")
                     at, n = 0, 0
                     while at < len(own):
                         to = at + (length if at else (len(own) - 1) % length + 1)

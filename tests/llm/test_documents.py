@@ -174,6 +174,27 @@ def test_encoder_equals_the_tokenizer(plain):
         assert tok.encode(text, add_special_tokens=False).ids == encode(text, disallowed_special=()).tolist()
 
 
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    tok = Tokenizer.from_file(path)  # as loaded
+    end = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", end, end * 3, f"  {end}\n\n{end}  x", f"<|{end}|>", "<|endoftext|", "<|ENDOFTEXT|>", f"é{end}日本 ", f"x{end}" * 3000, f"one two {end}" * 5]
+    encode = packing.encoder(path).encode_to_numpy
+    assert encode(texts[0], allowed_special="all").tolist() == [64, 220, 50256, 275]
+    for text in texts:
+        assert encode(text, allowed_special="all").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    ids = {i: tok.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path).collect()
+    total = Counter()
+    for r in got:
+        own = ids[r.doc_id][r.start:r.start + r.length]
+        assert len(own) == r.length and zlib.crc32(np.array(own, "<u4").tobytes()) == r.ids_crc32
+        total[r.doc_id] += r.length
+    assert total == {i: len(own) for i, own in ids.items()}
+
+
 def test_token_counts(docs, no_docs, plain):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
