@@ -10,7 +10,9 @@ The net is numpy, trained here (``page_sample`` makes labelled pages of many tem
 and a seed; TRAIN_PAGES of them, a fixed number). Training is repeatable and done once a process.
 
 Defined results: a null, empty or text-free page gives an empty text; text that no tag closes (a cut
-page) counts up to its end; repeated rows are labelled each; null keys and addresses are carried; an
+page) counts up to its end; a self-closed hidden element is empty, and one that no tag closes inside
+its parent block hides nothing (script and style, as in browsers, the rest); the text of math, object
+and noscript is page text; repeated rows are labelled each; null keys and addresses are carried; an
 empty table gives an empty result. Pages are taken whole; a page of many thousand blocks runs alone.
 """
 
@@ -36,8 +38,12 @@ PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 20, 8, 6, 24
 WORD_SHRINK = 4             # a block of few words says little by them
 TRAIN_PAGES, EPOCHS, BATCH = 1600, 4, 32
 
-# fixed values: elements whose text is never page text, elements that end a block, and void elements
-HIDDEN_TAGS = ("script", "style", "template", "noscript", "iframe", "svg", "math", "object", "textarea", "select", "button", "title")
+# fixed values: elements whose text is never page text (code; plain text without elements; elements),
+# elements that end a block, and void elements
+CODE_TAGS = ("script", "style")
+PLAIN_TAGS = ("iframe", "textarea", "title")
+HELD_TAGS = frozenset(("template", "svg", "select", "button"))
+HELD_DEPTH = 64             # of open ones; beyond, the outermost hides nothing
 BLOCK_TAGS = frozenset((
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -46,7 +52,8 @@ BREAKS = frozenset(("hr",))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<hidden>" + "|".join(HIDDEN_TAGS) + r")(?=[\s/>]).*?(?:</(?P=hidden)\s*>|\Z)"
+    r"|<(?P<code>" + "|".join(CODE_TAGS) + r")(?=[\s/>])(?:[^<>]*+(?<=/)>|.*?(?:</(?P=code)\s*>|\Z))"
+    r"|<(?P<plain>" + "|".join(PLAIN_TAGS) + r")(?=[\s/>])(?:[^<>]*+(?<=/)>|(?:[^<]++|<(?!/?(?P=plain)[\s/>]))*+</(?P=plain)\s*>)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)"
     r"|(?P<text>[^<]++|<)", re.S | re.I)
@@ -63,6 +70,19 @@ class Block:
     depth: int
 
 
+@dataclass
+class _Held:
+    """An open element of HELD_TAGS, and where the page stood before it."""
+
+    tag: str
+    depth: int
+    parts: list[str]
+    n_parts: int
+    n_out: int
+    in_link: int
+    linked: int
+
+
 def _ids(*tokens: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(t.encode()) % PATH_SPACE for t in tokens)
 
@@ -80,13 +100,14 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
     parts: list[str] = []
+    held: list[_Held] = []
     in_link, linked = 0, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, parts
         if parts:
             text = " ".join("".join(parts).split())
-            parts.clear()
+            parts = []  # the old list may be taken up again when a held element closes
             if text:
                 path = tuple(i for _, tokens in stack for i in tokens) + (_ids(f"last {stack[-1][0]}") if stack else ())
                 out.append(Block(text, path, min(1.0, linked / len(text)), len(stack)))
@@ -108,18 +129,34 @@ def blocks_of(page: str | None) -> list[Block]:
             parts.append(" ")
         elif tag == "a":
             in_link = 0 if match["close"] else 1
+        elif tag in HELD_TAGS:
+            same = next((i for i in range(len(held) - 1, -1, -1) if held[i].tag == tag), -1)
+            if match["close"]:
+                if same >= 0:  # all since its start goes
+                    was = held[same]
+                    parts, in_link, linked = was.parts, was.in_link, was.linked
+                    del parts[was.n_parts:], out[was.n_out:], stack[was.depth:], held[same:]
+            elif not match["attrs"].endswith("/"):
+                if same >= 0 and tag in ("select", "button"):  # not nested: the open one was never closed
+                    del held[same]
+                held.append(_Held(tag, len(stack), parts, len(parts), len(out), in_link, linked))
+                del held[:-HELD_DEPTH]
         elif tag in BREAKS:
             flush()
         elif tag in BLOCK_TAGS:
             flush()
+            while held and held[-1].tag == "svg":  # blocks are not part of a drawing
+                held.pop()
             if match["close"]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
                         in_link = 0
+                        while held and held[-1].depth > i:  # not closed inside its parent
+                            held.pop()
                         break
             else:
-                while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
+                while len(stack) > (held[-1].depth if held else 0) and tag in _CLOSED_BY.get(stack[-1][0], ()):
                     stack.pop()
                 stack.append((tag, _element(tag, match["attrs"])))
     flush()

@@ -23,6 +23,28 @@ def test_blocks():
     assert html_blocks.blocks_of(None) == [] and html_blocks.blocks_of("<p") == [] and html_blocks.blocks_of("a &am")[0].text == "a &am"
 
 
+def test_hidden_elements_take_nothing_else():
+    said = lambda inner: [b.text for b in html_blocks.blocks_of(f"<body><article>{inner}</article><p>After.</p></body>")]
+    for gone in ('<svg class="i"/>', "<svg class=i><path d='M0'/><title>t</title></svg>", "<svg><svg><text>x</text></svg><text>y</text></svg>", "<math/>",
+                 "<object data='a.swf' />", "<iframe src='/x'/>", "<script src='/x'/>", "<textarea/>", "<title>a <script> b</title>", "<select><option>A<option>B</select>",
+                 '<button class="x"><div><p>Share</div> this</button>', "<template><p>A<template><p>B</p></template>C</p></template>", "<textarea></div></textarea>"):
+        assert said(f"<p>One {gone} two.</p><p>Three.</p>") == ["One two.", "Three.", "After."], gone
+    for kept in ("<math><mi>x</mi></math>", "<object data=a>x</object>", "<noscript>x</noscript>", "<object data=a>x", "<noscript>x", "<math><mi>x", "<textarea>x", "<title>x"):
+        assert said(f"<p>One {kept} two.</p><p>Three.</p>") == ["One x two.", "Three.", "After."], kept
+    for tag in ("svg", "button", "select", "object", "template", "iframe", "title", "textarea", "math", "noscript"):
+        for later in ("", f"<{tag}>no</{tag}>"):
+            own = " ".join(said(f"<p>One <{tag} id='q'>two.</p><p>Three.</p><div>{later}</div><p>Four.</p>")).replace(" no ", " ")
+            assert own == "One two. Three. Four. After.", (tag, later)
+        own = said(f"<{tag}><p>One.</p><p>Two.</p>")
+        assert own == ["One.", "Two.", "After."], tag
+    assert said('<p><a href="/x">One <button>in <a href="/y">link</a></button> two</a></p>') == ["One two", "After."]
+    assert html_blocks.blocks_of('<p><a href="/x">One <button>Go</button>two</a></p>')[0].links > 0.8
+    assert [b.text for b in html_blocks.blocks_of("<svg><button>" * 20_000 + "<p>One.")][-1] == "One."
+    assert [b.text for b in html_blocks.blocks_of("<title><textarea>" * 20_000 + "<p>One.")] == ["One."]
+    page = PAGE.replace("<b>First", '<svg class="i"/><b>First').replace("<article>", '<article><button class="share">')
+    assert html_blocks.main_texts(html_blocks.trained(), [page])[0].endswith("Head & line\nFirst part.\nSecond part of the story goes on.")
+
+
 def test_main_text(spark):
     net = html_blocks.trained()
     pages, y = html_blocks.page_sample(150, 99)
