@@ -5,7 +5,8 @@ before it wrote. All but the last return the columns of ``documents``:
 
 1. quality rules: documents that the current policy rejects go;
 2. near-duplicates (shingles of 5 words, similarity 0.8 or more): of each group the document with
-   the smallest doc_id stays, once; documents without an id cannot be told apart by it and stay;
+   the smallest doc_id stays, once; unlike texts under one doc_id are documents of their own;
+   documents without an id cannot be told apart by it and stay;
 3. repeated passages: words of 13-word windows that an earlier document holds go; a document that
    loses words becomes the rest, joined by one space, and one that loses all its words goes;
 4. source mix: documents are left out, repeated, and at each source's limit cut, to target weights;
@@ -29,11 +30,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = fast_minhash.near_duplicates(docs.select("doc_id", "text"), size=5)
-    stay = found.filter("kept and doc_id is not null").select("doc_id").distinct()
-    place = fresh(docs.columns, "place")
-    one = (docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi")
-           .withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1))
+    known = docs.filter("doc_id is not null")
+    digest = F.xxhash64("text")
+    several = materialise(known.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+                          .filter("low != high").select("doc_id"), "unlike-texts")
+    key, place = fresh(docs.columns, "row_key"), fresh(docs.columns, "place")
+    if several.isEmpty():
+        rows = known.withColumn(key, F.col("doc_id").cast("bigint"))
+        stay = fast_minhash.near_duplicates(rows.select(key, "text"), key=key, size=5).filter("kept").select(key).distinct()
+    else:  # texts that share an id get keys of their own, so each is judged by itself
+        mark = fresh(docs.columns, "several")
+        rows = (known.join(several.withColumn(mark, F.lit(True)), "doc_id", "left")
+                .withColumn(key, F.when(F.col(mark), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("bigint"))))
+        found = fast_minhash.near_duplicates(rows.select(key, "text"), key=key, size=5).select(key, "component_id").distinct()
+        stay = (found.join(rows.select(key, "doc_id").distinct(), key).groupBy("component_id")
+                .agg(F.min(F.struct("doc_id", key)).alias("least")).select(F.col(f"least.{key}").alias(key)))
+    one = (rows.join(stay, key, "left_semi")
+           .withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter(F.col(place) == 1))
     return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

@@ -144,3 +144,17 @@ def test_pipeline_stages(spark, docs, no_docs):
             assert rows
     assert rows and {"sequence_id", "offset"} <= set(out.columns)
     assert corpus_pipeline.STAGES[3][1](spark, no_docs, "").collect() == []
+
+
+def test_unlike_texts_under_one_id(spark, docs):
+    r = np.random.default_rng(4)
+    a, b, c, d = (" ".join(f"w{x}" for x in r.integers(0, 10**6, 80)) for _ in range(4))
+    near = lambda t: t + " more"
+    # 7 has a copy of 3's text and one of its own, in both orders; 12 has copies of two unlike texts; 20 has two near copies
+    rows = [(3, a), (7, a), (7, "a " + b), (7, "a " + b), (8, a), (8, "z " + c), (12, near(a)), (12, d), (15, near(d)), (20, "y " + a[::-1]), (20, near("y " + a[::-1])),
+            (None, a), (None, a), (-5, near("z " + c))]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t), "x", 1, "y", 2.0) for k, t in rows], docs.schema).repartition(3)
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    y = [k for k in got if k[0] == 20]
+    assert len(y) == 1 and y[0] in rows
+    assert Counter({k: n for k, n in got.items() if k[0] != 20}) == Counter([(3, a), (7, "a " + b), (-5, near("z " + c)), (12, d), (None, a), (None, a)])
