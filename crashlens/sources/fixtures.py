@@ -60,13 +60,14 @@ PREPARED_SQL = f"""SELECT
   u AS row_id
 FROM (SELECT *, l_orderkey * 10 + l_linenumber AS u FROM {{lineitem}}) t"""
 
-# Hours of both sources with keys that they share and several hours a key; the file order is a column.
-HOURS_DE_SQL = """SELECT 'K' || CAST(u % 911 AS VARCHAR(20)) AS UIDENTSTLAE,
+# Hours of both sources, which share out the table, with keys that they share (an order's number) and
+# several hours a key; the file order is a column.
+HOURS_DE_SQL = """SELECT 'K' || CAST(l_orderkey AS VARCHAR(20)) AS UIDENTSTLAE,
   CASE WHEN u % 5 = 0 THEN 'x' ELSE CAST((u * 7) % 24 AS VARCHAR(20)) END AS USTUNDE, u AS _ord
 FROM (SELECT *, l_orderkey * 10 + l_linenumber AS u FROM {lineitem}) t WHERE l_linenumber > 2"""
-HOURS_CH_SQL = """SELECT ' K' || CAST(u % 1201 AS VARCHAR(20)) AS AccidentUID,
+HOURS_CH_SQL = """SELECT ' K' || CAST(l_orderkey AS VARCHAR(20)) AS AccidentUID,
   CASE WHEN u % 3 = 0 THEN '06-12' ELSE CAST((u * 5) % 24 AS VARCHAR(20)) END AS AccidentHour, u AS _ord
-FROM (SELECT *, l_orderkey * 10 + l_linenumber AS u FROM {lineitem}) t WHERE l_linenumber <= 2 AND l_orderkey % 4 = 0"""
+FROM (SELECT *, l_orderkey * 10 + l_linenumber AS u FROM {lineitem}) t WHERE l_linenumber <= 2"""
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,8 @@ def test_scopes_double_counts_and_not_rows(spark):
 def test_clean_then_year_prunes_the_prepared_table(spark):
     from crashlens.operators import quality
     from crashlens.plans.stages import build_stages
+    from pyspark.sql import functions as F
+
     from crashlens.sources import fixtures
 
     lazy = build_stages(fixtures.raw_de(spark, SF, True), fixtures.raw_ch(spark, SF, True))
@@ -136,3 +138,17 @@ def test_cache_keeps_points_outside_the_regions(spark, tmp_path):
     cache = load_twilight_cache(spark, str(path))
     assert cache.filter("region_key is null").count() == 1
     assert [r.daylight_hours for r in analyses.monthly_daylight(cache).collect()] == [11.0]
+
+
+def test_hour_files_share_out_the_table(spark):
+    from pyspark.sql import functions as F
+
+    from crashlens.sources import fixtures
+
+    d = "/root/testdata/sf0.01"
+    table = fixtures.lineitem(spark, d)
+    de, ch = fixtures.hours_de(spark, d), fixtures.hours_ch(spark, d)
+    assert de.count() + ch.count() == table.count()
+    keys = {r[0].strip() for f in (de.select("UIDENTSTLAE"), ch.select("AccidentUID")) for r in f.distinct().collect()}
+    assert len(keys) == table.select("l_orderkey").distinct().count()
+    assert de.join(ch, F.trim("UIDENTSTLAE") == F.trim("AccidentUID")).limit(1).count() == 1
