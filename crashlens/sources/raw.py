@@ -7,6 +7,7 @@ NULL (and an error row) instead of failing the job.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,24 +121,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
-    return d
+    """Shared folder for lineage cuts: ``spark.checkpoint.dir`` as the cluster sets it. Where it is unset, a
+    session on one machine gets a temporary folder; any other session is refused."""
+    from ..session import ensure_checkpoint_dir
+    return ensure_checkpoint_dir(spark)
 
 
 def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage so a lost executor recomputes from this table, not from
-    the raw extracts; survives executor loss (unlike local checkpoints).
+    the raw extracts; survives executor loss (unlike local checkpoints). The
+    folder is removed when the session's JVM ends.
     """
-    import uuid
     spark = df.sparkSession
     # a fresh folder per write: another chain materialising the same name must
     # not overwrite files a lazily read DataFrame still points to
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     w = df.write.mode("errorifexists")
     cols = [c for c in partition_by if c in df.columns]
     if cols:
