@@ -13,7 +13,10 @@
   8  ``packing``                 bounded-space best-fit packing
   9  ``fast_minhash``            near-duplicates by fast similarity sketching
  10  ``warc``                    WARC archives and revisit resolution
+ 11  ``quotient_filter``         exact de-duplication with counting quotient filters
+ 12  ``merkle_manifest``         Merkle manifest with leaf places from bitmap ranks
+ 13  ``target_resampling``       importance resampling with a distributed radix sort
 ===  ==========================  =====================================================
 
-``words`` and ``store`` are shared helpers, ``queries`` and ``oracle`` register the queries.
+``words``, ``frames``, ``salted`` and ``store`` are shared helpers, ``queries`` and ``oracle`` register the queries.
 """

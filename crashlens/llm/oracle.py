@@ -90,5 +90,74 @@ FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest AND p.payload_bytes >=
 """
 
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {_LOWER.format("text")} AS t FROM documents) WINDOW g AS (PARTITION BY t)
+"""
+
+
+def _crc32(octets: str) -> str:
+    """Unsigned CRC-32 of a list of byte values."""
+    bits = "list_reduce([xor(c, o), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, o: {bits}), 4294967295)"
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def _step(source: str, on: str) -> str:
+    """The next node on the way up from ``f`` with its sibling ``s``, if any, in ``source``."""
+    return f"""SELECT f.r, f.tree, f.level + 1, f.pos // 2, (f.n + 1) // 2,
+    CASE WHEN s.h IS NULL THEN sha256(f.h) WHEN f.pos % 2 = 0 THEN sha256(f.h || s.h) ELSE sha256(s.h || f.h) END
+  FROM {{0}} f LEFT JOIN {source} s ON {on} AND s.level = f.level AND s.pos = xor(f.pos, 1) WHERE f.n > 1"""
+
+
+_FIELDS = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "{n}", "text"))
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('v' || lang, 'n') AS tree,
+    sha256({_FIELDS.format(n="n_chars")}) AS leaf,
+    CASE WHEN {_crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} % 7 = 0 AND n_chars IS NOT NULL
+      THEN sha256({_FIELDS.format(n="(n_chars + 1)")}) END AS other FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+lv(tree, level, pos, n, h) AS (SELECT tree, 0, pos, n, leaf FROM p UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY tree, level, pos // 2, n),
+sub AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+up(level, pos, n, h) AS (SELECT 0, pos, n, subroot FROM sub UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY level, pos // 2, n),
+sib AS (SELECT p.r, 0 AS part, s.level, s.h FROM p JOIN lv s ON s.tree = p.tree AND s.pos = xor(p.pos // (2 ** s.level)::BIGINT, 1) AND s.n > 1
+  UNION ALL SELECT p.r, 1, s.level, s.h FROM p JOIN sub USING (tree) JOIN up s ON s.pos = xor(sub.pos // (2 ** s.level)::BIGINT, 1) AND s.n > 1),
+proof AS (SELECT r, sha256(string_agg(h, '' ORDER BY part, level)) AS proof FROM sib GROUP BY r),
+low(r, tree, level, pos, n, h) AS (SELECT r, tree, 0, pos, n, coalesce(other, leaf) FROM p UNION ALL {_step("lv", "s.tree = f.tree").format("low")}),
+high(r, tree, level, pos, n, h) AS (SELECT low.r, low.tree, 0, sub.pos, sub.n, low.h FROM low JOIN sub USING (tree) WHERE low.n = 1
+  UNION ALL {_step("up", "true").format("high")})
+SELECT p.doc_id, p.leaf, sub.subroot, root.h AS root, coalesce(proof.proof, sha256('')) AS proof_sha256, high.h AS folded_root, high.h = root.h AS verified
+FROM p JOIN sub USING (tree) JOIN high ON high.r = p.r AND high.n = 1 LEFT JOIN proof ON proof.r = p.r, (SELECT h FROM up WHERE n = 1) root
+"""
+
+_FEATURES = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OCTETS = "list_transform(range(1, strlen(w) + 1), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT)"
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FEATURES.format("text")} AS ws FROM documents),
+f AS (SELECT r, unnest(ws) AS w FROM d),
+b AS (SELECT unnest({_FEATURES.format("text")}) AS w FROM benchmark),
+v AS (SELECT w, {_crc32(_OCTETS)} % 10000 AS k FROM (SELECT w FROM f UNION SELECT w FROM b)),
+s AS (SELECT k, count(*) AS s FROM f JOIN v USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM b JOIN v USING (w) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM f) + 10000.0::DOUBLE)
+        / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM b) + 10000.0::DOUBLE))))::BIGINT AS gain FROM s LEFT JOIN t USING (k)),
+w AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN v USING (w) JOIN g USING (k) GROUP BY r),
+x AS (SELECT d.r, d.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+        + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM d LEFT JOIN w USING (r)),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM x LEFT JOIN o USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": OP3, "op4_quality": OP4, "op5_substring": OP5, "op9_near_dedup": OP9, "op10_warc": OP10}
+    return {"op3_mix": OP3, "op4_quality": OP4, "op5_substring": OP5, "op9_near_dedup": OP9, "op10_warc": OP10,
+            "op11_exact_dedup": OP11, "op12_merkle": OP12, "op13_resample": OP13}

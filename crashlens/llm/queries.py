@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, fast_minhash, html_blocks, mixing, packing, quality_ledger, substring_cover, toxicity_chain, unigram_count, warc
+from . import (cross_polytope, fast_minhash, html_blocks, merkle_manifest, mixing, packing, quality_ledger, quotient_filter, substring_cover,
+               target_resampling, toxicity_chain, unigram_count, warc)
 from .store import new_folder
 
 
@@ -63,6 +64,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("full_sha1").alias("payload_digest"), "record_type", F.col("refers_to_key").alias("refers_to"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotient_filter.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_main_text, op2_nearest, op3_mix, op4_quality, op5_substring, op6_toxicity, op7_token_counts, op8_pack, op9_near_dedup, op10_warc]
+    found = [op1_main_text, op2_nearest, op3_mix, op4_quality, op5_substring, op6_toxicity, op7_token_counts, op8_pack, op9_near_dedup, op10_warc,
+             op11_exact_dedup, op12_merkle, op13_resample]
     return {f.__name__: f for f in found}

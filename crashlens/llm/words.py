@@ -7,6 +7,7 @@ text is never cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,16 +16,13 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 2_000_000      # text bytes taken at once (a longer text is taken alone)
-HASH_BYTES = 1_000_000       # bytes hashed at once
+LONG_BYTES = 256              # a longer byte range is hashed by the library
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
-_RNG = np.random.default_rng(20240601)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,12 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 @dataclass
 class Words:
     """``data``: bytes of all texts; ``text_at``: n + 1 byte offsets of the texts; ``start``,
@@ -66,9 +58,8 @@ class Words:
         return span_hashes(self.data, self.start, self.end)
 
 
-def scan(texts: pa.Array, lower: bool = False, word_bytes: np.ndarray | None = None) -> Words:
-    """Words of an Arrow string array; null counts as an empty text. ``lower`` lower-cases A-Z;
-    ``word_bytes`` (256 flags) makes a word a run of those bytes instead."""
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts of an Arrow string array, and their n + 1 offsets; null counts as empty."""
     texts = pa.array(texts, pa.large_string()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -76,7 +67,19 @@ def scan(texts: pa.Array, lower: bool = False, word_bytes: np.ndarray | None = N
     at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n + 1] if n else np.zeros(1, np.int64)
     raw = texts.buffers()[2] if n else None
     data = np.frombuffer(raw, dtype=np.uint8)[at[0]:at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
-    at = at - at[0]
+    return data, at - at[0]
+
+
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`text_bytes`, with A-Z lower-cased."""
+    data, at = text_bytes(texts)
+    return _LOWER[data], at
+
+
+def scan(texts: pa.Array, lower: bool = False, word_bytes: np.ndarray | None = None) -> Words:
+    """Words of an Arrow string array; null counts as an empty text. ``lower`` lower-cases A-Z;
+    ``word_bytes`` (256 flags) makes a word a run of those bytes instead."""
+    data, at = text_bytes(texts)
     if lower:
         data = _LOWER[data]
     word = ~_BREAK[data] if word_bytes is None else word_bytes[data]
@@ -92,33 +95,27 @@ def scan(texts: pa.Array, lower: bool = False, word_bytes: np.ndarray | None = N
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range (ranges in order of their start); equal bytes, equal hash."""
-    out = np.empty(len(start), dtype=U64)
-    i = 0
-    while i < len(start):
-        lo = start[i]
-        j = max(i + 1, int(np.searchsorted(start, lo + HASH_BYTES)))
-        hi = end[i:j].max()
-        total = np.zeros(hi - lo + 1, dtype=U64)
-        np.cumsum(_BYTE[data[lo:hi]] * _power(hi - lo), out=total[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * _power(hi - lo + 1, inverse=True)[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)
-        i = j
+    """64-bit hash of each byte range; equal bytes, equal hash. Ranges are taken in steps of 8 bytes, each
+    step through :func:`mix` (no polynomial: those give one hash to certain unlike words, whatever the
+    base); long ranges by BLAKE2b."""
+    length = end - start
+    out = mix(length.astype(U64) + U64(0x9E3779B97F4A7C15))
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    order = np.argsort(-length, kind="stable")
+    first = int(np.count_nonzero(length > LONG_BYTES))
+    for i in order[:first].tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]], digest_size=8).digest(), "little")
+    order = order[first:]
+    at, left, state = start[order], length[order], out[order]
+    while len(at) and left[0] > 0:
+        n = int(np.searchsorted(-left, 0))  # ranges that go on: the longest stand first
+        at, left = at[:n], left[:n]
+        state[:n] = mix(state[:n] ^ (eight[at] & _KEEP[np.minimum(left, 8)])) * U64(0xD6E8FEB86659FD93)
+        at, left = at + 8, left - 8
+    out[order] = state
     return mix(out)
 
 
-_TABLES: dict[bool, np.ndarray] = {}
-
-
-def _power(n: int, inverse: bool = False) -> np.ndarray:
-    table = _TABLES.get(inverse)
-    if table is None or len(table) < n:
-        table = _powers(_INVERSE if inverse else _BASE, max(n, HASH_BYTES + 4096))
-        if len(table) <= 4 * HASH_BYTES:
-            _TABLES[inverse] = table
-    return table[:n]
-
-
 def windows(hashes: np.ndarray, first: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Every window of ``size`` consecutive words of one text: the index of its first word, and
     its 64-bit hash."""
