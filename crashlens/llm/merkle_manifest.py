@@ -33,7 +33,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.numbering import running_totals
 from . import salted
 from .store import materialise, ship
 
@@ -43,6 +42,12 @@ SPARSE = 256          # ids up to which a container is a list
 LOT_ROWS = 1 << 13    # rows that one task ranks, about
 
 
+def _running_totals(*args, **named) -> DataFrame:
+    from ..operators.numbering import running_totals  # on the driver: tasks are sent this subpackage alone
+
+    return running_totals(*args, **named)
+
+
 # --- leaves ----------------------------------------------------------------------------
 
 def _leaf(values: dict[str, Column]) -> Column:
@@ -198,7 +203,7 @@ def places(rows: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
     lots = max(1, n_rows // LOT_ROWS)
     found = materialise(bitmap_index(rows, n_rows, id_bits), "bitmaps")
     sizes = materialise(found.groupBy("tree").agg(F.sum("n").alias("leaves")), "trees")
-    ranked = running_totals(found, ["tree"], ["high"], {"offset": F.col("n")}, ties=[])
+    ranked = _running_totals(found, ["tree"], ["high"], {"offset": F.col("n")}, ties=[])
     index = materialise(ranked.join(F.broadcast(sizes) if sizes.count() <= salted.SMALL else sizes, "tree"), "index")
     mask = (1 << id_bits) - 1
 
@@ -234,7 +239,7 @@ def places(rows: DataFrame, id_bits: int = ID_BITS) -> DataFrame:
     dealt = single.withColumn("lot", _lot(F.shiftright("key", id_bits), lots))
     out = dealt.groupBy("lot").cogroup(index.filter("ids is not null").groupBy("lot")).applyInArrow(rank, PLACED)
     if crowd is not None:
-        told = running_totals(crowd, ["tree", "first"], ["leaf"], {"after": None}, ties=[])
+        told = _running_totals(crowd, ["tree", "first"], ["leaf"], {"after": None}, ties=[])
         total = F.broadcast(sizes) if sizes.count() <= salted.SMALL else sizes
         out = out.unionByName(told.join(total, "tree").select("tree", (F.col("first") + F.col("after")).alias("pos"), F.col("leaves").alias("n"),
                                                               F.col("leaf").alias("node"), "key", "other"))
@@ -350,7 +355,7 @@ def manifest(df: DataFrame, id_bits: int = ID_BITS, slot_bits: int = SLOT_BITS)
     subroots = steps[-1].select("tree", "node")
 
     # the tree of subroots, ordered by lang: running_totals numbers them over the whole table
-    order = running_totals(subroots, [], ["tree"], {"pos": None}, ties=[])
+    order = _running_totals(subroots, [], ["tree"], {"pos": None}, ties=[])
     tops = materialise(order.select(F.lit("").alias("tree"), "pos", F.lit(trees).cast("bigint").alias("n"), "node", F.col("tree").alias("name")), "subroots")
     upper = climb_to_top(tops, trees, slot_bits)
     root = upper[-1].first().node
