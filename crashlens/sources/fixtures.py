@@ -9,9 +9,9 @@ inference switched off. Work grows with ``lineitem``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import domains as D
+from .raw import ORDINAL, read_raw
 
 RAW_DE_SQL = """SELECT
   CASE WHEN u % 97 = 0 THEN NULL ELSE ' ' || CAST(u AS VARCHAR(20)) END AS UIDENTSTLAE,
@@ -37,9 +37,6 @@ RAW_CH_SQL = """SELECT
 FROM (SELECT *, l_orderkey * 10 + l_linenumber AS u FROM {lineitem}) t
 WHERE l_orderkey % 3 = 0"""
 
-ORDINAL = "_ord"
-
-
 def _pick(number: str, labels: list[str]) -> str:
     return "CASE " + number + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(labels)) + " END"
 
@@ -69,17 +66,18 @@ HOURS_CH_SQL = """SELECT ' K' || CAST(l_orderkey AS VARCHAR(20)) AS AccidentUID,
   CASE WHEN u % 3 = 0 THEN '06-12' ELSE CAST((u * 5) % 24 AS VARCHAR(20)) END AS AccidentHour, u AS _ord
 FROM (SELECT *, l_orderkey * 10 + l_linenumber AS u FROM {lineitem}) t WHERE l_linenumber <= 2"""
 
+# The same two hour files, in the order of the table's rows in its files.
+HOURS_DE_FILE_SQL, HOURS_CH_FILE_SQL = (sql.replace(", u AS _ord", "") for sql in (HOURS_DE_SQL, HOURS_CH_SQL))
+
 
-def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+def lineitem(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    return read_raw(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", fmt="parquet", ordered=ordered)
 
 
 def _fixture(spark: SparkSession, sf_dir: str, sql: str, with_ordinal: bool) -> DataFrame:
-    df = spark.sql(sql, lineitem=lineitem(spark, sf_dir))
-    if with_ordinal:
-        # File order of the raw extract; used only to break "first row" ties (Q12).
-        df = df.withColumn(ORDINAL, F.monotonically_increasing_id())
-    return df
+    if with_ordinal:  # the file order of the row that a raw row derives from (Q12)
+        sql = sql.replace("SELECT", f"SELECT {ORDINAL},", 1)
+    return spark.sql(sql, lineitem=lineitem(spark, sf_dir, with_ordinal))
 
 
 def raw_de(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> DataFrame:
@@ -105,6 +103,11 @@ def hours_ch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixture(spark, sf_dir, HOURS_CH_SQL, False)
 
 
+def hours_in_file_order(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """German and Swiss hours, ranked by the place of their rows in the files."""
+    return _fixture(spark, sf_dir, HOURS_DE_FILE_SQL, True), _fixture(spark, sf_dir, HOURS_CH_FILE_SQL, True)
+
+
 def duckdb_views() -> dict[str, str]:
     """The same fixture SQL for DuckDB, keyed by view name."""
     return {"raw_de": RAW_DE_SQL.format(lineitem="lineitem"),
