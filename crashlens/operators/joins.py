@@ -8,12 +8,12 @@ Scale notes
 * J1 is a left equi-join on the key. Neither side has a proven size bound, so
   no broadcast hint is given; AQE may still broadcast at run time from real
   sizes, and its skew-join split handles a hot key on the (preserved) left side.
-* J4 multiset removal with all columns compared never sorts a key group: rows
-  are counted map-side per (key, input partition), cells are offset by a
-  running count, and only the surviving copies are emitted again. With fewer
-  columns (and in W1) distinct rows are placed in cells by a hash of their
-  content, as many cells per key as the session has shuffle partitions; with
-  an explicit order a key is one cell. Copies of one row are emitted in chunks.
+* J4 multiset removal is one tagged union of rows (+1) and error rows (-1). With
+  all columns compared it is one aggregation by row, with map-side partial
+  sums, and copies are emitted from the net count: no join, one exchange. With
+  fewer columns, and in W1, rows get their place in their key by running totals
+  over ranges (:mod:`.numbering`): a hot key lies in many ranges. Copies of
+  one row are emitted in chunks.
 """
 
 from __future__ import annotations
@@ -25,20 +25,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources.fixtures import ORDINAL
-from ..sources.raw import require_columns
+from ..sources.raw import ORDINAL, require_columns
+from .numbering import running_totals
 
 HOUR = "AccidentHourNumeric"
 UID = "AccidentUID"
 
 
-def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [left[l].eqNullSafe(right[r]) for l, r in pairs])
-
-
 # The (source, file order) ranking is packed into one BIGINT: source in bit 62,
-# file order (monotonically_increasing_id, < 2^62 for fewer than 2^29 input
-# partitions) below it. A primitive ordering keeps ``min_by`` in a hash
+# file order (ORDINAL of sources.raw, < 2^62) below it. A primitive ordering keeps ``min_by`` in a hash
 # aggregate with map-side partial aggregation (a struct ordering would force a
 # sort-based aggregate).
 from .normalise import SOURCE_BIT as _SOURCE_BIT  # noqa: E402
@@ -112,59 +107,32 @@ def add_numeric_hour(base: DataFrame, hours: DataFrame) -> DataFrame:
     return place_after(joined, HOUR, "AccidentHour")
 
 
-BUCKETS = 64  # cells per key at least
 CHUNK = 65_536  # copies that one generated array holds at most
 
 
-def _repeat(df: DataFrame, n: Column, out: str, start: Column | None = None) -> DataFrame:
-    """Every row of ``df`` ``n`` (BIGINT, may be 0) times, ``out`` numbering its copies from ``start``
-    (default 0). Two generators in turn: no array grows with ``n`` beyond n / CHUNK."""
-    first = F.lit(0).cast("bigint") if start is None else start
-    part = F.col("_part") * CHUNK
-    chunks = (df.withColumn("_copies", n.cast("bigint")).withColumn("_first", first).where(F.col("_copies") > 0)
-              .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {CHUNK}")))))
-    return chunks.withColumn(out, F.explode(F.sequence(
-        F.col("_first") + part, F.col("_first") + F.least(F.col("_copies"), part + CHUNK) - 1)))
-
+_SIGN = "_sign"  # +1 a row, -1 an error row
 
-def _positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None) -> DataFrame:
-    """Distinct full rows of ``df`` with their count ``_m`` and 0-based start
-    position ``_start`` among the rows of their key (NULLs equal).
 
-    Deterministic, so every branch that recomputes it agrees: identical rows
-    are counted with a partial aggregation, distinct rows go to cells by a hash
-    bucket of their content (as many cells per key as the session has shuffle
-    partitions, ``BUCKETS`` at least, so cells shrink as the cluster grows), positions run inside a cell in
-    ``order_by`` order and cells are offset by a running count over the
-    (small) key x bucket table. With an explicit ``order_by`` a single bucket
-    is used, so positions follow exactly that order.
-    """
-    cols = df.columns
-    order = list(order_by) if order_by else cols
-    nb = 1 if order_by else max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dist = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_m"))
-    dist = dist.withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(nb)))
-    w_cell = Window.partitionBy(*keys, "_b")
-    dist = dist.withColumn("_before", F.coalesce(F.sum("_m").over(
-        w_cell.orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)))
-    cells = dist.groupBy(*keys, "_b").agg(F.sum("_m").alias("_n"))
-    w_key = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_b").alias("_o_b"),
-                           F.coalesce(F.sum("_n").over(w_key), F.lit(0)).alias("_off"))
-    cond = _null_safe(dist, offsets, [(k, f"_o_{k}") for k in keys]) & (dist["_b"] == offsets["_o_b"])
-    out = dist.join(offsets, cond, "inner").withColumn("_start", F.col("_off") + F.col("_before"))
-    return out.drop("_b", "_before", "_off", "_o_b", *[f"_o_{k}" for k in keys])
+def _repeat(df: DataFrame, n: Column, out: str) -> DataFrame:
+    """Every row of ``df`` ``n`` (BIGINT, may be 0) times, ``out`` numbering its copies from 0.
+    Two generators in turn: no array grows with ``n`` beyond n / CHUNK."""
+    part = F.col("_part") * CHUNK
+    chunks = (df.withColumn("_copies", n.cast("bigint")).where(F.col("_copies") > 0)
+              .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {CHUNK}")))))
+    return chunks.withColumn(out, F.explode(F.sequence(part, F.least(F.col("_copies"), part + CHUNK) - 1)))
 
 
 def occurrence_number(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None,
                       out: str = "_occ") -> DataFrame:
-    """0-based occurrence number of each row among rows with equal ``keys``
-    (NULLs equal). The numbering is deterministic: by ``order_by`` when given,
-    otherwise by content within hash cells (see :func:`_positions`)."""
-    pos = _positions(df, keys, order_by)
-    rows = _repeat(pos, F.col("_m"), out, F.col("_start"))
-    return rows.select(*df.columns, F.col(out).cast("bigint").alias(out))
+    """0-based occurrence number of each row among rows with equal ``keys`` (NULLs equal), by ``order_by``
+    when given, otherwise by content; rows equal in ``order_by`` are numbered by their other columns.
+
+    With all columns as keys, copies are counted and numbered (one aggregation). Otherwise numbers are
+    running totals over ranges of (keys, order)."""
+    if not set(df.columns).difference(keys):
+        counts = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_m"))
+        return _repeat(counts, F.col("_m"), out).select(*df.columns, F.col(out).cast("bigint").alias(out))
+    return running_totals(df, keys, list(order_by or []), {out: None})
 
 
 def _parsed(name: str, kind: str) -> Column:
@@ -182,7 +150,7 @@ def remove_error_entries(df: DataFrame, errors: DataFrame,
     surplus error rows cancel nothing. Identity when ``errors`` is empty; an
     error when the tables share no column. With all columns in common this is
     ``EXCEPT ALL``; with fewer, the first matching rows in ``order_by`` order
-    are removed (without ``order_by``: a deterministic content order).
+    are removed (ties, and all rows without ``order_by``: by content).
     """
     common = [c for c in df.columns if c in errors.columns]
     if not common:
@@ -193,34 +161,18 @@ def remove_error_entries(df: DataFrame, errors: DataFrame,
     # an error cell that does not parse as the column's type matches no row (as NULL it would match NULL)
     parsed = {c: _parsed(c, types[c]) for c in common}
     readable = reduce(lambda a, b: a & b, [F.col(c).isNull() | v.isNotNull() for c, v in parsed.items()])
-    errc = (errors.filter(readable).select(*[v.alias(c) for c, v in parsed.items()])
-            .groupBy(*common).agg(F.count(F.lit(1)).alias("_k")))
-    errc = errc.select(*[F.col(c).alias(f"_e_{c}") for c in common], "_k")
-    # The join stays deterministic (no partition id below it), so Spark can
-    # reuse its exchanges for both branches; only the matched rows are tagged
-    # with the partition they sit in (after AQE's skew split, a hot key spans
-    # several partitions), and that tag is used within one branch only.
-    m = df.join(errc, _null_safe(df, errc, [(c, f"_e_{c}") for c in common]), "left") \
-        .drop(*[f"_e_{c}" for c in common])
-    keep_direct = m.where(F.col("_k").isNull())
-    matched = m.where(F.col("_k").isNotNull()).withColumn("_p", F.spark_partition_id())
-
-    cells = matched.groupBy(*common, "_p").agg(F.count(F.lit(1)).alias("_c"), F.max("_k").alias("_k"))
-    w = Window.partitionBy(*common).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    errs = errors.filter(readable).select(*[v.alias(c) for c, v in parsed.items()])
     cols = df.columns
     if set(common) == set(cols):
-        # All columns compared: matched rows of a key are identical, so each
-        # (key, input partition) cell just keeps c - min(c, max(0, k - offset))
-        # copies. Cells are partially aggregated map-side and re-expanded one
-        # cell at a time (at most one input partition's rows), no row ranking.
-        keep = F.col("_c") - F.least(F.col("_c"), F.greatest(F.lit(0), F.col("_k") - F.col("_off")))
-        survivors = _repeat(cells, keep, "_copy")
-        return keep_direct.select(*cols).unionByName(survivors.select(*cols))
-
-    # Fewer columns compared: positions of the matched rows within their key
-    # (deterministic, see _positions); a row at position < k is removed.
-    pos = _positions(matched.drop("_p"), common, order_by)
-    removed = F.least(F.col("_m"), F.greatest(F.lit(0), F.col("_k") - F.col("_start")))
-    survivors = _repeat(pos, F.col("_m") - removed, "_copy")
-    return keep_direct.select(*cols).unionByName(survivors.select(*cols))
+        # copies of a row cannot be told apart: the net count says how many are left
+        tagged = df.withColumn(_SIGN, F.lit(1)).unionByName(errs.withColumn(_SIGN, F.lit(-1)))
+        net = tagged.groupBy(*cols).agg(F.sum(_SIGN).alias(_SIGN))
+        return _repeat(net, F.greatest(F.col(_SIGN), F.lit(0)), "_copy").select(*cols)
+
+    # Error rows stand before the rows of their key, so a row knows how many of them there are, and how many rows
+    # stand before it: it goes while these are fewer.
+    order = [c for c in (order_by or cols) if c not in common]
+    tagged = df.withColumn(_SIGN, F.lit(1)).unionByName(errs.withColumn(_SIGN, F.lit(-1)), allowMissingColumns=True)
+    told = running_totals(tagged, common, [_SIGN, *order],
+                          {"_errors": (F.col(_SIGN) < 0).cast("bigint"), "_rows": (F.col(_SIGN) > 0).cast("bigint")})
+    return told.where((F.col(_SIGN) > 0) & (F.col("_rows") >= F.col("_errors"))).select(*cols)

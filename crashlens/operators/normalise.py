@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..functions import scalars as S
-from ..sources.raw import repair_ch_header, require_columns
+from ..sources.raw import ORDINAL, repair_ch_header, require_columns
 
 HARMONISED = [
     "AccidentUID",
@@ -64,7 +64,6 @@ SOURCE_BIT = 1 << 62
 
 
 def _lookup_columns(raw: DataFrame, hour: str, priority: int):
-    from ..sources.fixtures import ORDINAL
     order = F.col(ORDINAL) if ORDINAL in raw.columns else F.lit(0).cast("bigint")
     return {LOOKUP_HOUR: S.lenient_int(hour),
             LOOKUP_RANK: F.lit(priority * SOURCE_BIT).cast("bigint") + order}

@@ -10,7 +10,9 @@ product).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,14 @@ from ..functions import scalars as S
 
 SCOPE = "scope"
 OVERALL = "Gesamt"
+ROWS = "_rows"  # in a table of counts (operators.cube): how many rows a row stands for
+
+
+def n_rows(df: DataFrame, cond: Column | None = None) -> Column:
+    """Aggregate: the rows of ``df`` (where ``cond`` holds); a row of counts stands for ``ROWS`` of them."""
+    if ROWS not in df.columns:
+        return F.count(F.lit(1)) if cond is None else F.count_if(F.coalesce(cond, F.lit(False)))
+    return F.coalesce(F.sum(ROWS if cond is None else F.when(cond, F.col(ROWS))), F.lit(0))
 
 
 def with_scope(df: DataFrame, country_col: Column | None = None) -> DataFrame:
@@ -50,8 +60,7 @@ def spine_metrics(df: DataFrame, key: Column | str, spine: Sequence, by: Sequenc
     name = key_name or (key if isinstance(key, str) else "value")
     metrics = metrics or {"n": None}
     counts = df.groupBy(*by, k.alias("_key")).agg(
-        *[(F.count(F.lit(1)) if cond is None else F.count_if(F.coalesce(cond, F.lit(False)))).alias(f"_m{j}")
-          for j, cond in enumerate(metrics.values())])
+        *[n_rows(df, cond).alias(f"_m{j}") for j, cond in enumerate(metrics.values())])
     if isinstance(key, str) and key == SCOPE:
         counts = _add_overall(counts, "_key")
     elif SCOPE in by:
@@ -78,7 +87,7 @@ def grid_counts(df: DataFrame, row: Column, row_spine: Sequence, col: Column, co
     """A3 + A8: two-way counts over fixed row and column value lists, zero-filled,
     long form ``(by..., row_name, row_ord, col_name, col_ord, n)``; a hash
     aggregation by (groups, row, col), then zero-filled on the small result."""
-    counts = df.groupBy(*by, row.alias("_r"), col.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*by, row.alias("_r"), col.alias("_c")).agg(n_rows(df).alias("_n"))
     if SCOPE in by:
         counts = _add_overall(counts, SCOPE)
     aggs, cells = [], []
@@ -111,7 +120,7 @@ def named_grids(df: DataFrame, tables: Sequence[tuple], name: str = "test") -> D
         return F.col(f"_k{fields.index(text)}")
 
     parts = [(t, key(r), rs, key(c), cs, key(cond)) for t, r, rs, c, cs, cond in tables]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys).agg(n_rows(df).alias("_n"))
     aggs, cells = [], []
     for t, r, rs, c, cs, cond in parts:
         for rv in rs:
@@ -173,6 +182,44 @@ def expected_counts(counts: DataFrame, row: str, col: str, n: str = "n", by: Seq
                     (F.col("_rsum") / F.col("_ntot") * F.col("_csum")).alias("expected"))
 
 
+# fixed values: coefficients of Lanczos' approximation of the gamma function (g = 7, n = 9)
+_LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+            12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
+
+
+def log_gamma(a: Column) -> Column:
+    """ln of the gamma function for a >= 1/2."""
+    x = a - 1.0
+    series = reduce(lambda acc, c: acc + c, [F.lit(c) / (x + float(i + 1)) for i, c in enumerate(_LANCZOS[1:])], F.lit(_LANCZOS[0]))
+    t = x + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (x + 0.5) * F.log(t) - t + F.log(series)
+
+
+def upper_gamma(a: Column, x: Column) -> Column:
+    """Regularised upper incomplete gamma function Q(a, x) for a >= 1/2: below a + 1 as one less the power series of P,
+    beyond as the continued fraction (modified Lentz). Both are folded over as many terms as they can
+    need; terms that no longer change the sum leave it as it is."""
+    front = F.exp(a * F.log(x) - x - log_gamma(a))
+    terms = F.sequence(F.lit(1), (F.lit(60) + F.sqrt(a + x) * 8).cast("int"))
+    one = F.lit(1.0)
+
+    total = F.aggregate(terms, F.struct((one / a).alias("term"), (one / a).alias("sum")), lambda s, k: F.struct(
+        (s["term"] * x / (a + k)).alias("term"), (s["sum"] + s["term"] * x / (a + k)).alias("sum")), lambda s: s["sum"])
+
+    tiny = F.lit(1e-300)
+    b0 = x + 1.0 - a
+
+    def lentz(s: Column, k: Column) -> Column:
+        an, b = -k * (k - a), x + 1.0 - a + k * 2.0
+        d, c = b + an * s["d"], b + an / s["c"]
+        d, c = F.when(d == 0, tiny).otherwise(d), F.when(c == 0, tiny).otherwise(c)
+        return F.struct((one / d).alias("d"), c.alias("c"), (s["h"] * c / d).alias("h"))
+
+    start = F.struct((one / b0).alias("d"), (one / tiny).alias("c"), (one / b0).alias("h"))
+    fraction = F.aggregate(terms, start, lentz, lambda s: s["h"])
+    return F.when(x <= 0, one).when(x < a + 1.0, F.greatest(F.lit(0.0), one - front * total)).otherwise(front * fraction)
+
+
 def chi_square(counts: DataFrame, row: str, col: str, n: str = "n", by: Sequence[str] = (),
                yates: bool = True) -> DataFrame:
     """A10: Pearson chi-square test of independence per table.
@@ -183,8 +230,8 @@ def chi_square(counts: DataFrame, row: str, col: str, n: str = "n", by: Sequence
     y = min(0.5, |o-e|) is applied. The statistic is sum((|o-e|-y)^2 / e) over
     all cells, zeros included: no difference of large sums is taken.
 
-    Output per table: chi2, dof, n_total, p_value (upper tail, computed in the
-    JVM by the regularised incomplete gamma function), significant (p < 0.05).
+    Output per table: chi2, dof, n_total, p_value (upper tail: the regularised
+    incomplete gamma function as column expressions), significant (p < 0.05).
     A table without counts has dof 0, chi2 0 and p 1.
     """
     x = _table_cells(counts, row, col, n, by)
@@ -198,9 +245,7 @@ def chi_square(counts: DataFrame, row: str, col: str, n: str = "n", by: Sequence
     dof = F.when(F.coalesce("_nr", F.lit(0)) == 0, F.lit(0)).otherwise((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("int")
     res = res.select(*by, F.when(dof == 0, F.lit(0.0)).otherwise(F.col("_chi2")).alias("chi2"), dof.alias("dof"),
                      F.coalesce(F.col("_ntot"), F.lit(0.0)).cast("bigint").alias("n_total"))
-    p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(
-        F.reflect(F.lit("org.apache.commons.math3.special.Gamma"), F.lit("regularizedGammaQ"),
-                  (F.col("dof") / 2.0).cast("double"), (F.col("chi2") / 2.0).cast("double")).cast("double"))
+    p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(upper_gamma(F.col("dof") / 2.0, F.col("chi2") / 2.0))
     return res.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
-from ..operators import joins, night, normalise, quality
+from ..operators import cube, joins, night, normalise, quality
 from ..sources import fixtures, raw, twilight as tw
 
 CLEAN = "_clean"
@@ -87,6 +87,17 @@ class Stages:
     def with_hour(self) -> DataFrame:
         return joins.add_numeric_hour(self.final, self.hours)
 
+    @cached_property
+    def night_all_years(self) -> DataFrame:
+        """Clean rows of every year with hour and night flag, each by its own year's twilight (computed)."""
+        spark = self.de_raw.sparkSession
+        return night.classify_all_years(joins.add_numeric_hour(self.clean, self.hours), lambda ys: tw.solar_twilight(spark, ys), self.on_missing_hour)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """The table of counts of the analysis year, written once; all analyses can be folded from it."""
+        return raw.materialise(cube.counts(self.night), "counts")
+
     @cached_property
     def twilight(self) -> DataFrame:
         if self._twilight is not None:
@@ -114,10 +125,10 @@ def fixture_stages(spark: SparkSession, sf_dir: str, year: int = D.DEFAULT_YEAR,
 
 def file_stages(spark: SparkSession, de_path: str, ch_path: str, year: int = D.DEFAULT_YEAR,
                 twilight_cache: str | None = None, materialise: bool = True, fmt: str | None = None) -> Stages:
-    """The chain over raw files (CSV with sniffed separator, or Parquet); by
+    """The chain over raw files (CSV with sniffed separators and headers, or Parquet), in the order of their names; by
     default the harmonised table is written once and every stage reads it."""
-    de = raw.read_raw(spark, de_path, fmt=fmt).withColumn(fixtures.ORDINAL, F.monotonically_increasing_id())
-    ch = raw.read_raw(spark, ch_path, fmt=fmt).withColumn(fixtures.ORDINAL, F.monotonically_increasing_id())
+    de = raw.read_raw(spark, de_path, fmt=fmt, ordered=True, required=normalise.DE_REQUIRED)
+    ch = raw.read_raw(spark, ch_path, fmt=fmt, ordered=True, repair=raw.repair_ch_header, required=normalise.CH_REQUIRED)
     dim = tw.load_twilight_cache(spark, twilight_cache) if twilight_cache else None
     return build_stages(de, ch, year, dim, materialise=materialise)
 
