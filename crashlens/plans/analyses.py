@@ -2,7 +2,8 @@
 
 Inputs: ``final`` (clean rows of the analysis year) for G1-G4, ``night``
 (``final`` + numeric hour + night flag) for G5-G10, and the twilight
-dimension for daylight. Each function returns a DataFrame; each does a single
+dimension for daylight; a year of the table of counts (:mod:`..operators.cube`) stands in for
+either. Each function returns a DataFrame; each does a single
 partially aggregated pass over its input, and everything after that pass
 (shares, ranks, tests, fits) runs on a result bounded by the category domains.
 """
@@ -262,10 +263,10 @@ def bin_shares(night: DataFrame) -> DataFrame:
     'Nacht' bin that is effectively day."""
     in_bin = F.col("AccidentHour") == "Nacht"
     g = night.agg(
-        F.count_if(_is_night()).alias("n_night"),
-        F.count_if(_is_night() & in_bin).alias("n_night_in_bin"),
-        F.count_if(in_bin).alias("n_bin"),
-        F.count_if(in_bin & ~_is_night()).alias("n_bin_day"),
+        T.n_rows(night, _is_night()).alias("n_night"),
+        T.n_rows(night, _is_night() & in_bin).alias("n_night_in_bin"),
+        T.n_rows(night, in_bin).alias("n_bin"),
+        T.n_rows(night, in_bin & ~_is_night()).alias("n_bin_day"),
     )
     return (g.withColumn("night_outside_bin_pct",
                          F.lit(100.0) - F.try_divide(F.col("n_night_in_bin") * 100.0, F.col("n_night")))
@@ -341,7 +342,7 @@ def confusion_matrix(night: DataFrame) -> DataFrame:
 def errors_by_hour(night: DataFrame) -> DataFrame:
     """G8 + A15: false positives and false negatives per numeric hour."""
     d = _cells(night).where(F.col("cell").isin("FP", "FN") & F.col("AccidentHourNumeric").isNotNull())
-    return (d.groupBy("cell", F.col("AccidentHourNumeric").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return (d.groupBy("cell", F.col("AccidentHourNumeric").alias("hour")).agg(T.n_rows(d).alias("n"))
             .orderBy("cell", "hour"))
 
 
@@ -399,6 +400,6 @@ def block_check(night: DataFrame) -> DataFrame:
 
 def region_rates(night: DataFrame) -> DataFrame:
     """Night rate per region (German states, Swiss cantons)."""
-    return (night.groupBy("CantonCode").agg(F.count(F.lit(1)).alias("n"), F.count_if(_is_night()).alias("n_night"))
+    return (night.groupBy("CantonCode").agg(T.n_rows(night).alias("n"), T.n_rows(night, _is_night()).alias("n_night"))
             .withColumn("country", S.country("CantonCode"))
             .withColumn("night_pct", _pct("n_night", "n")))

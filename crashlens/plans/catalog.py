@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..operators import display, joins, normalise, quality
+from ..operators import stats as T
 from ..operators.night import twilight_pairs
 from ..sources import fixtures
 from . import analyses as A
@@ -140,6 +141,22 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
 }
 
 
+# the same analyses, folded from the table of counts
+FOLDED = {f"cube_{name}": name for name in QUERIES if name[:2] in ("g1", "g2", "g3", "g4", "g5", "g6", "g7", "g8", "g9", "x3", "x4")}
+
+
+class _Folded:
+    """Stages whose ``final`` and ``night`` are the written table of counts."""
+
+    def __init__(self, stages: Stages):
+        self.final = self.night = stages.counts
+        self.twilight = stages.twilight
+
+
+QUERIES["cube"] = lambda s: s.counts.withColumnRenamed(T.ROWS, "n")
+QUERIES["night_all_years"] = lambda s: s.night_all_years
+QUERIES |= {name: (lambda s, fn=QUERIES[of]: fn(_Folded(s))) for name, of in FOLDED.items()}
+
 PLACE = ["CantonCode", "AccidentMonth"]
 
 
@@ -181,6 +198,7 @@ TABLE_QUERIES: dict[str, Query] = {
     "multiset_partial": _multiset_partial,
     "multiset_fewer_columns": _multiset_fewer_columns,
     "occurrence_by_place": _occurrence_by_place,
+    "hour_lookup_file_order": lambda spark, d: joins.hour_lookup(*fixtures.hours_in_file_order(spark, d)),
     "hour_lookup_shared_keys": lambda spark, d: joins.hour_lookup(fixtures.hours_de(spark, d), fixtures.hours_ch(spark, d)),
 }
 

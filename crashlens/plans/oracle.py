@@ -9,14 +9,17 @@ separately, in plain SQL (CASE lookups, VALUES spines, window margins).
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
 
 from ..functions import domains as D
-from ..sources.fixtures import HOURS_CH_SQL, HOURS_DE_SQL, PREPARED_SQL, duckdb_views
+from ..operators.cube import DIMENSIONS
+from ..sources.fixtures import HOURS_CH_FILE_SQL, HOURS_CH_SQL, HOURS_DE_FILE_SQL, HOURS_DE_SQL, PREPARED_SQL, duckdb_views
 
 RAD = repr(math.pi / 180.0)
 DEG = repr(180.0 / math.pi)
-WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
+BLANKS = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WS = "(" + " || ".join(f"chr({c})" for c in BLANKS) + ")"
 REQ = ["AccidentUID", "AccidentYear", "AccidentMonth", "AccidentWeekDay", "AccidentHour", "CantonCode",
        "AccidentSeverityCategory", "AccidentInvolvingMotorcycle"]
 VALID = {"AccidentMonth": D.MONTH_LABELS, "AccidentWeekDay": D.WEEKDAY_LABELS,
@@ -43,7 +46,7 @@ def trim(x: str) -> str:
 
 def num(x: str) -> str:
     t = f"TRY_CAST({trim(x)} AS DOUBLE)"
-    return f"(CASE WHEN isfinite({t}) THEN {t} END)"
+    return f"(CASE WHEN isfinite({t}) AND NOT regexp_matches(CAST({x} AS VARCHAR), '[dDfFxXpP]') THEN {t} END)"
 
 
 def lint(x: str) -> str:
@@ -169,10 +172,14 @@ POINTS = "VALUES " + ", ".join(f"({lit(k)}, {lat!r}, {lng!r}, {lit(z)})" for k,
 
 
 def _twilight(year: int = D.DEFAULT_YEAR) -> str:
+    return _twilight_of(f"make_date({year}, CAST(g.m AS INTEGER), {D.REFERENCE_DAY})", "range(1, 13) g(m)")
+
+
+def _twilight_of(day: str, months: str) -> str:
     r = lambda x: f"(({x}) * {RAD})"
     return f"""
-tw0 AS (SELECT p.region_key, p.lat, p.lng, p.zone, g.m AS month, make_date({year}, CAST(g.m AS INTEGER), {D.REFERENCE_DAY}) AS ref_date
-        FROM ({POINTS}) p(region_key, lat, lng, zone), range(1, 13) g(m)),
+tw0 AS (SELECT p.region_key, p.lat, p.lng, p.zone, g.m AS month, {day} AS ref_date
+        FROM ({POINTS}) p(region_key, lat, lng, zone), {months}),
 tw1 AS (SELECT *, ((CAST(ref_date - DATE '1970-01-01' AS DOUBLE) + 2440588.0) - 2451545.0) / 36525.0 AS t FROM tw0),
 tw2 AS (SELECT *, (((280.46646 + t * (36000.76983 + t * 0.0003032)) % 360.0) + 360.0) % 360.0 AS l0,
                357.52911 + t * (35999.05029 - t * 0.0001537) AS ma,
@@ -190,10 +197,10 @@ tw5 AS (SELECT *, ((y * sin({r('l0')} * 2) - e * sin({r('ma')}) * 2 + e * y * si
                   - tan({r('lat')}) * tan(decl) AS cos_ha FROM tw4),
 tw6 AS (SELECT *, 720.0 - lng * 4 - eot AS noon,
                CASE WHEN abs(cos_ha) <= 1 THEN acos(cos_ha) * {DEG} END AS ha FROM tw5),
-tw7 AS (SELECT region_key, zone, CAST(month AS INTEGER) AS month,
+tw7 AS (SELECT region_key, zone, CAST(month AS INTEGER) AS month, CAST(year(ref_date) AS BIGINT) AS year,
                CAST(ref_date AS TIMESTAMP) + to_seconds(CAST(round((noon - ha * 4) * 60) AS BIGINT)) AS begin_utc,
                CAST(ref_date AS TIMESTAMP) + to_seconds(CAST(round((noon + ha * 4) * 60) AS BIGINT)) AS end_utc FROM tw6),
-twilight AS (SELECT region_key, month,
+twilight AS (SELECT region_key, month, year,
                CAST(hour(timezone(zone, timezone('UTC', begin_utc))) AS INTEGER) AS dawn_hour,
                CAST(hour(timezone(zone, timezone('UTC', end_utc))) AS INTEGER) AS dusk_hour,
                (epoch(end_utc) - epoch(begin_utc)) / 3600.0 AS daylight_hours FROM tw7),"""
@@ -223,6 +230,16 @@ night AS (SELECT w.*, CAST(CASE WHEN coalesce(w.AccidentHourNumeric < t.dawn_hou
           FROM with_hour w LEFT JOIN twilight t ON t.region_key = {region_key} AND t.month = {month_num('w.AccidentMonth')})"""
 
 
+def all_years() -> str:
+    """Like chain(), with clean rows of every year, each under its own year's twilight."""
+    head = chain()
+    start, end = head.index("with_hour AS ("), head.index("tw0 AS (")
+    days = f"make_date(CAST(g.y AS INTEGER), CAST(g.m AS INTEGER), {D.REFERENCE_DAY})"
+    months = "(SELECT m, y FROM range(1, 13) r(m), (SELECT DISTINCT AccidentYear AS y FROM clean)) g"
+    return (head[:start] + head[start:end].replace("FROM final f", "FROM clean f").rstrip() + _twilight_of(days, months)
+            + head[head.index("\nnight AS ("):].replace("ON t.region_key", "ON t.year = w.AccidentYear AND t.region_key"))
+
+
 # --- aggregate helpers -----------------------------------------------------------
 
 def spine(src: str, key: str, values, by: list[str] = (), metrics: dict | None = None, key_name: str = "value") -> str:
@@ -619,6 +636,13 @@ def table_bodies(year: int = D.DEFAULT_YEAR) -> dict[str, str]:
             f"WHERE p.nth > coalesce(e.k, 0)"),
         "occurrence_by_place": (f"SELECT row_id, {place}, CAST(row_number() OVER (PARTITION BY {place} ORDER BY row_id) - 1 AS BIGINT) "
                                 f"AS occurrence FROM prepared"),
+        "hour_lookup_file_order": (
+            f"WITH placed AS (SELECT *, row_number() OVER () AS _ord FROM lineitem), "
+            f"de AS ({HOURS_DE_FILE_SQL.format(lineitem='placed').replace('SELECT', 'SELECT _ord,', 1)}), "
+            f"ch AS ({HOURS_CH_FILE_SQL.format(lineitem='placed').replace('SELECT', 'SELECT _ord,', 1)}) "
+            f"SELECT uid AS AccidentUID, h AS AccidentHourNumeric FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY src, _ord) AS nth "
+            f"FROM (SELECT {trim('AccidentUID')} AS uid, {lint('AccidentHour')} AS h, 0 AS src, _ord FROM ch "
+            f"UNION ALL SELECT {trim('UIDENTSTLAE')}, {lint('USTUNDE')}, 1, _ord FROM de) WHERE h IS NOT NULL) WHERE nth = 1"),
         "hour_lookup_shared_keys": (
             f"SELECT uid AS AccidentUID, h AS AccidentHourNumeric FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY src, _ord) AS nth "
             f"FROM (SELECT {trim('AccidentUID')} AS uid, {lint('AccidentHour')} AS h, 0 AS src, _ord FROM hours_ch "
@@ -659,7 +683,12 @@ def _oracle_sql(year: int) -> dict[str, str]:
     DOUBLE column rounded to 6 decimals (as the Spark side does) and HUGEINT
     counts narrowed to BIGINT."""
     out = {}
-    todo = [(chain(year), *x) for x in bodies().items()] + [(table_chain(year), *x) for x in table_bodies(year).items()]
+    every = bodies()
+    dims = ", ".join(DIMENSIONS)
+    every["cube"] = f"SELECT {dims}, count(*) AS n FROM night GROUP BY ALL"
+    every |= {f"cube_{name}": sql for name, sql in every.items() if re.match("[gx][0-9]+_", name)}
+    todo = [(chain(year), *x) for x in every.items()] + [(all_years(), "night_all_years", "SELECT * FROM night")]
+    todo += [(table_chain(year), *x) for x in table_bodies(year).items()]
     for head, name, body in todo:
         sql = f"{head},\n_q AS ({body})\nSELECT * FROM _q"
         rep = []
