@@ -73,12 +73,13 @@ def test_missing_marks_become_null(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(None, "1"), (None, None), ("ok", None)]
 
 
-def test_files_with_swapped_headers_are_refused(spark, tmp_path):
+def test_files_with_swapped_headers_are_read_by_name(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.csv").write_text("x,y\n1,2\n")
-    (tmp_path / "d" / "b.csv").write_text("y,x\n3,4\n")
-    with pytest.raises(Exception):
-        raw.read_raw(spark, str(tmp_path / "d")).collect()
+    (tmp_path / "d" / "b.csv").write_text("y;x\r\n3;4\r\n")
+    (tmp_path / "d" / "c.csv").write_text("")
+    rows = raw.read_raw(spark, str(tmp_path / "d")).collect()
+    assert sorted((r.x, r.y) for r in rows) == [("1", "2"), ("4", "3")]
 
 
 def test_text_error_table_is_parsed_leniently(spark):
