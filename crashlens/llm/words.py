@@ -99,21 +99,26 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     step through :func:`mix` (no polynomial: those give one hash to certain unlike words, whatever the
     base); long ranges by BLAKE2b."""
     length = end - start
-    out = mix(length.astype(U64) + U64(0x9E3779B97F4A7C15))
     eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
-    order = np.argsort(-length, kind="stable")
-    first = int(np.count_nonzero(length > LONG_BYTES))
-    for i in order[:first].tolist():
+
+    def step(state: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return mix(state ^ (eight[at] & _KEEP[np.minimum(left, 8)]))
+
+    out = step(length.astype(U64) * U64(0x9E3779B97F4A7C15), start, length)
+    more = np.flatnonzero(length > 8)
+    more = more[np.argsort(-length[more], kind="stable")]  # the longest stand first
+    first = int(np.count_nonzero(length[more] > LONG_BYTES))
+    for i in more[:first].tolist():
         out[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]], digest_size=8).digest(), "little")
-    order = order[first:]
-    at, left, state = start[order], length[order], out[order]
+    more = more[first:]
+    at, left, state = start[more] + 8, length[more] - 8, out[more]
     while len(at) and left[0] > 0:
-        n = int(np.searchsorted(-left, 0))  # ranges that go on: the longest stand first
+        n = int(np.searchsorted(-left, 0))  # ranges that go on
         at, left = at[:n], left[:n]
-        state[:n] = mix(state[:n] ^ (eight[at] & _KEEP[np.minimum(left, 8)])) * U64(0xD6E8FEB86659FD93)
+        state[:n] = step(state[:n] * U64(0xD6E8FEB86659FD93), at, left)
         at, left = at + 8, left - 8
-    out[order] = state
-    return mix(out)
+    out[more] = state
+    return out
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
