@@ -18,13 +18,14 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.keyed import KeyedTable
 from ..sources.raw import ORDINAL, require_columns
 from .numbering import running_totals
 
@@ -81,11 +82,17 @@ def place_after(df: DataFrame, col: str, anchor: str) -> DataFrame:
     return df.select(*cols[:i], col, *cols[i:])
 
 
-# The null-safe join key as two plain columns: a lookup aggregated on them is already dealt as the join needs it.
-_KEY = ("_key", "_no_key")
+# The null-safe join key as two plain columns: a lookup aggregated on them is already dealt as the join needs it, and a
+# table stored in buckets of them needs no exchange for either.
+_KEY = KEY = ("_key", "_no_key")
 
 
 def _with_key(df: DataFrame) -> DataFrame:
+    return df if _KEY[0] in df.columns else with_key(df)
+
+
+def with_key(df: DataFrame) -> DataFrame:
+    """The join key of the hour lookup as two columns without NULLs, of a table whose keys are trimmed."""
     return df.withColumn(_KEY[0], F.coalesce(UID, F.lit(""))).withColumn(_KEY[1], F.col(UID).isNull())
 
 
@@ -101,12 +108,23 @@ def add_numeric_hour(base: DataFrame, hours: DataFrame) -> DataFrame:
     """J1 + P31: left-join the hour lookup on the trimmed key (NULL matches NULL,
     like the original), placing ``AccidentHourNumeric`` after ``AccidentHour``."""
     require_columns(base, [UID], "final table")
-    b = base.withColumn(UID, S.clean_text(UID))
+    b = base if _KEY[0] in base.columns else base.withColumn(UID, S.clean_text(UID))
     keyed = hours if _KEY[0] in hours.columns else _with_key(hours).drop(UID)
     joined = _with_key(b).join(keyed, list(_KEY), "left").drop(*_KEY)
     return place_after(joined, HOUR, "AccidentHour")
 
 
+def add_hour_in_buckets(table: KeyedTable, final: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """J1 + J2 on a harmonised table in buckets of the key: the lookup of a bucket is counted and joined where the bucket
+    lies, without an exchange. Rows of hot keys stay spread and get their lookup (a row per key, at most
+    ``keyed.HOT_KEYS``) by broadcast. ``final`` picks the rows that get an hour and keeps the key columns."""
+    def one(part: DataFrame, few_keys: bool) -> DataFrame:
+        hours = keyed_hours(part)
+        return add_numeric_hour(final(part), F.broadcast(hours) if few_keys else hours)
+
+    return table.by_key(one)
+
+
 CHUNK = 65_536  # copies that one generated array holds at most
 
 

@@ -8,13 +8,14 @@ collected to the driver and no per-row Python runs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..functions import scalars as S
-from ..sources.raw import require_columns
+from ..sources.raw import materialise, require_columns
 from .normalise import HARMONISED, normalise_ch, normalise_de
 
 REQUIRED_COLUMNS = list(HARMONISED)
@@ -49,6 +50,11 @@ def _checks(df: DataFrame, null_check: str = "required") -> list[tuple[str, str,
     return out
 
 
+def reason_names(df: DataFrame, null_check: str = "required") -> list[str]:
+    """'Missing:c' / 'Invalid:c' of every check, in report order: the i-th is bit i of :func:`reason_bits`."""
+    return [f"{kind}:{c}" for kind, c, _, _ in _checks(df, null_check)]
+
+
 def reason_array(df: DataFrame, null_check: str = "required") -> Column:
     """ARRAY<STRING> of 'Missing:c' / 'Invalid:c' reasons, empty when clean."""
     items = [F.when(hit, F.lit(f"{kind}:{c}")) for kind, c, hit, _ in _checks(df, null_check)]
@@ -60,6 +66,93 @@ def flag_errors(df: DataFrame, null_check: str = "required") -> DataFrame:
     return df.withColumn(REASONS, reason_array(df, null_check))
 
 
+# --- reason bits: the checks of a prepared table, made once and stored as one number a row ------------
+
+BITS = "_bits"
+
+
+def reason_bits(df: DataFrame, null_check: str = "required") -> Column:
+    """One BIGINT with a bit per failed check, 0 when clean."""
+    hits = [hit for _, _, hit, _ in _checks(df, null_check)]
+    if len(hits) > 63:
+        raise ValueError(f"{len(hits)} checks do not fit into one BIGINT: use flag_errors, or null_check='required'")
+    return reduce(lambda a, b: a + b, [F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, hit in enumerate(hits)])
+
+
+def _mask(names: Sequence[str], column: str) -> int:
+    return sum(1 << i for i, name in enumerate(names) if name.split(":", 1)[1] == column)
+
+
+def _has(mask: int) -> Column:
+    return F.col(BITS).bitwiseAND(F.lit(mask).cast("bigint")) != 0
+
+
+def _named(names: Sequence[str]) -> Column:
+    return F.array_compact(F.array(*[F.when(_has(1 << i), F.lit(name)) for i, name in enumerate(names)]))
+
+
+def _all_required(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [_has(_mask(names, c)) for c in REQUIRED_COLUMNS])
+
+
+class PreparedRows:
+    """Error rows, clean rows and reports (D6-D8, D11-D16) of a table whose reason bits are stored with its rows. Bits
+    are tested and counted; the text of reasons is made for display only."""
+
+    def __init__(self, table: DataFrame, names: Sequence[str]):
+        self.table, self.names = table, list(names)
+        self.columns = [c for c in table.columns if c != BITS]
+
+    @classmethod
+    def of(cls, df: DataFrame, null_check: str = "required", name: str = "prepared") -> PreparedRows:
+        """Check the rows of ``df`` once and write them with their bits."""
+        names = reason_names(df, null_check)
+        return cls(materialise(df.withColumn(BITS, reason_bits(df, null_check)), name), names)
+
+    def errors(self) -> DataFrame:
+        bad = self.table.where(F.col(BITS) != 0)
+        return bad.select(*self.columns, F.array_join(_named(self.names), "; ").alias(ERROR_REASONS))
+
+    def clean(self) -> DataFrame:
+        return self.table.where(F.col(BITS) == 0).select(*self.columns)
+
+    def summary(self) -> DataFrame:
+        """D12, D14, D16 from one aggregation of the bits: no other column is read."""
+        bad, fully, issues = F.col(BITS) != 0, _all_required(self.names), F.bit_count(BITS)
+        got = self.table.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_error_rows"), F.count_if(fully).alias("n_fully_invalid"),
+                             F.coalesce(F.sum(issues), F.lit(0)).alias("n_issues"))
+        rate = F.coalesce(F.try_divide(F.col("n_error_rows") * 100.0, F.col("n_rows")), F.lit(0.0))
+        mean = F.coalesce(F.try_divide(F.col("n_issues").cast("double"), F.col("n_error_rows")), F.lit(0.0))
+        return got.select("n_rows", "n_error_rows", rate.alias("error_rate_pct"), "n_fully_invalid",
+                          (F.col("n_error_rows") - F.col("n_fully_invalid")).alias("n_partly_invalid"), mean.alias("mean_issues"))
+
+    def reason_counts(self) -> DataFrame:
+        """Rows are counted per different number (few), and only these are taken apart."""
+        per = self.table.where(F.col(BITS) != 0).groupBy(BITS).agg(F.count(F.lit(1)).alias("n"))
+        return per.select(F.explode(_named(self.names)).alias("reason"), "n").groupBy("reason").agg(F.sum("n").alias("n"))
+
+    def problem_values(self) -> DataFrame:
+        """Offending cells; clean rows and good cells are passed over by their bits."""
+        cells = []
+        for i, name in enumerate(self.names):
+            kind, c = name.split(":", 1)
+            value = F.col(c).cast("string") if kind == "Invalid" else F.lit(None).cast("string")
+            cells.append(F.when(_has(1 << i), F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("column_name"), value.alias("bad_value"))))
+        found = self.table.where(F.col(BITS) != 0).select(F.inline(F.array_compact(F.array(*cells))))
+        return found.groupBy("kind", "column_name", "bad_value").agg(F.count(F.lit(1)).alias("n"))
+
+    def enriched(self, fully: bool | None = None) -> DataFrame:
+        """Error rows with their issues, all or only the fully (partly) invalid ones, which the bits tell."""
+        rows = self.table.where(F.col(BITS) != 0)
+        if fully is not None:
+            rows = rows.where(_all_required(self.names) if fully else ~_all_required(self.names))
+        columns = sorted({name.split(":", 1)[1] for name in self.names})
+        hit = F.array_compact(F.array(*[F.when(_has(_mask(self.names, c)), F.lit(c)) for c in columns]))
+        return rows.select(*self.columns, F.array_join(_named(self.names), "; ").alias(ERROR_REASONS), F.bit_count(BITS).alias("IssueCount"),
+                           F.array_join(hit, ", ").alias("ProblemColumns"), F.size(hit).alias("ProblemColumnsCount"),
+                           _all_required(self.names).alias("IsFullyInvalid"))
+
+
 def rows_where(df: DataFrame, cond: Column) -> DataFrame:
     """Keep the rows where ``cond`` holds, via a generator (0 or 1 output rows
     per input row) instead of a Filter node.

@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..operators import cube, joins, night, normalise, quality
-from ..sources import fixtures, raw, twilight as tw
-
-CLEAN = "_clean"
+from ..sources import fixtures, keyed, raw, twilight as tw
 
 
 class Stages:
@@ -37,38 +35,40 @@ class Stages:
 
     @cached_property
     def harmonised(self) -> DataFrame:
-        """Harmonised rows plus the hour-lookup columns; with ``materialise``
-        written once as Parquet under the shared checkpoint folder, partitioned by
-        year and with each row's reasons and a clean flag, so the raw extracts are
-        read and checked exactly once for the whole chain."""
-        base = normalise.harmonise(self.de_raw, self.ch_raw, lookup_columns=True)
-        if not self.materialise:
-            return base
-        reasons = quality.reason_array(base.select(*normalise.HARMONISED), self.null_check)
-        checked = base.withColumn(quality.REASONS, reasons).withColumn(CLEAN, F.size(quality.REASONS) == 0)
-        return raw.materialise(checked, "harmonised", partition_by=("AccidentYear",))
+        """Harmonised rows plus the hour-lookup columns; with ``materialise`` written once (:attr:`prepared`), so the raw
+        extracts are read and checked exactly once for the whole chain."""
+        if self.materialise:
+            return self.prepared.rows()
+        return normalise.harmonise(self.de_raw, self.ch_raw, lookup_columns=True)
 
     @cached_property
-    def merged(self) -> DataFrame:
-        return self.harmonised.select(*normalise.HARMONISED)
+    def prepared(self) -> keyed.KeyedTable:
+        """Harmonised rows with the lookup columns, their key and one number of reason bits, written under the shared
+        checkpoint folder by year and in buckets of the key."""
+        base = joins.with_key(normalise.harmonise(self.de_raw, self.ch_raw, lookup_columns=True))
+        checked = base.withColumn(quality.BITS, quality.reason_bits(base.select(*normalise.HARMONISED), self.null_check))
+        return keyed.write_keyed(checked, joins.KEY, "prepared", partition_by=("AccidentYear",))
 
     @cached_property
-    def flagged(self) -> DataFrame:
-        if self.materialise:
-            return self.harmonised.select(*normalise.HARMONISED, quality.REASONS)
-        return quality.flag_errors(self.merged, self.null_check)
+    def checked(self) -> quality.PreparedRows:
+        """Error rows, clean rows and reports from the stored reason bits."""
+        names = quality.reason_names(self.merged, self.null_check)
+        return quality.PreparedRows(self.harmonised.select(*normalise.HARMONISED, quality.BITS), names)
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        return self.harmonised.select(*normalise.HARMONISED)
 
     @cached_property
     def errors(self) -> DataFrame:
         if self.materialise:
-            bad = self.harmonised.where(~F.col(CLEAN))
-            return bad.select(*normalise.HARMONISED, F.array_join(quality.REASONS, "; ").alias(quality.ERROR_REASONS))
+            return self.checked.errors()
         return quality.find_errors(self.merged, self.null_check)
 
     @cached_property
     def clean(self) -> DataFrame:
         if self.materialise:  # plain filters, so a year filter on top prunes the scan
-            return self.harmonised.where(CLEAN).select(*normalise.HARMONISED)
+            return self.checked.clean()
         return quality.clean_rows(self.merged, self.null_check)
 
     @cached_property
@@ -81,17 +81,29 @@ class Stages:
 
     @cached_property
     def hours(self) -> DataFrame:
+        if self.materialise:
+            return self.prepared.by_key(lambda part, few: joins.keyed_hours(part))
         return joins.keyed_hours(self.harmonised)
 
+    def _with_hour(self, year: int | None) -> DataFrame:
+        if not self.materialise:
+            return joins.add_numeric_hour(self.clean if year is None else self.final, self.hours)
+
+        def rows(part: DataFrame) -> DataFrame:
+            clean = part.where(F.col(quality.BITS) == 0)
+            return (clean if year is None else quality.filter_year(clean, year)).select(*normalise.HARMONISED, *joins.KEY)
+
+        return joins.add_hour_in_buckets(self.prepared, rows)
+
     @cached_property
     def with_hour(self) -> DataFrame:
-        return joins.add_numeric_hour(self.final, self.hours)
+        return self._with_hour(self.year)
 
     @cached_property
     def night_all_years(self) -> DataFrame:
         """Clean rows of every year with hour and night flag, each by its own year's twilight (computed)."""
         spark = self.de_raw.sparkSession
-        return night.classify_all_years(joins.add_numeric_hour(self.clean, self.hours), lambda ys: tw.solar_twilight(spark, ys), self.on_missing_hour)
+        return night.classify_all_years(self._with_hour(None), lambda ys: tw.solar_twilight(spark, ys), self.on_missing_hour)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -117,10 +129,10 @@ def build_stages(de_raw: DataFrame, ch_raw: DataFrame, year: int = D.DEFAULT_YEA
 
 
 def fixture_stages(spark: SparkSession, sf_dir: str, year: int = D.DEFAULT_YEAR,
-                   twilight: DataFrame | None = None) -> Stages:
+                   twilight: DataFrame | None = None, materialise: bool = False) -> Stages:
     """The chain over the fixture extracts derived from ``lineitem``."""
     return build_stages(fixtures.raw_de(spark, sf_dir, with_ordinal=True),
-                        fixtures.raw_ch(spark, sf_dir, with_ordinal=True), year, twilight)
+                        fixtures.raw_ch(spark, sf_dir, with_ordinal=True), year, twilight, materialise=materialise)
 
 
 def file_stages(spark: SparkSession, de_path: str, ch_path: str, year: int = D.DEFAULT_YEAR,

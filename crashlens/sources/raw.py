@@ -279,6 +279,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 
 
+def register_removal(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the session's JVM ends."""
+    fs, target = _folder(spark, path)
+    fs.deleteOnExit(target)
+
+
 def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -290,8 +296,7 @@ def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     # a fresh folder per write: another chain materialising the same name must
     # not overwrite files a lazily read DataFrame still points to
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    fs, target = _folder(spark, path)
-    fs.deleteOnExit(target)
+    register_removal(spark, path)
     w = df.write.mode("errorifexists")
     cols = [c for c in partition_by if c in df.columns]
     if cols:
