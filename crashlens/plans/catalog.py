@@ -28,29 +28,31 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
                        for c, t in df.dtypes])
 
 
-_STAGES: dict[tuple[int, str], tuple[SparkSession, Stages]] = {}
+_STAGES: dict[tuple[int, str, bool], tuple[SparkSession, Stages]] = {}
 
 
-def stages_for(spark: SparkSession, sf_dir: str) -> Stages:
-    """One lazy stage chain per (session, data folder), shared by all queries.
+def stages_for(spark: SparkSession, sf_dir: str, prepared: bool = False) -> Stages:
+    """One stage chain per (session, data folder), shared by all queries.
 
-    Only plan objects are shared (nothing is cached in memory): every query
-    still runs from the raw tables, but Catalyst analysis of the common
-    stages is done once instead of once per query.
+    The lazy chain shares plan objects only (nothing is cached in memory): every
+    query still runs from the raw tables, but Catalyst analysis of the common
+    stages is done once instead of once per query. With ``prepared``, the chain
+    whose harmonised table the first query writes and the others read; the
+    table of counts is shared in the same way.
     """
-    key = (id(spark), sf_dir)
+    key = (id(spark), sf_dir, prepared)
     hit = _STAGES.get(key)
     # The entry holds the session itself (so its id cannot be reused) and is
     # dropped once that session's context has been stopped.
     if hit is None or hit[0] is not spark or spark.sparkContext._jsc is None:
-        hit = (spark, fixture_stages(spark, sf_dir))
+        hit = (spark, fixture_stages(spark, sf_dir, materialise=prepared))
         _STAGES[key] = hit
     return hit[1]
 
 
-def _q(fn: Callable[[Stages], DataFrame]) -> Query:
+def _q(fn: Callable[[Stages], DataFrame], prepared: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_doubles(fn(stages_for(spark, sf_dir)))
+        return round_doubles(fn(stages_for(spark, sf_dir, prepared)))
     run.__doc__ = fn.__doc__
     return run
 
@@ -157,17 +159,41 @@ QUERIES["cube"] = lambda s: s.counts.withColumnRenamed(T.ROWS, "n")
 QUERIES["night_all_years"] = lambda s: s.night_all_years
 QUERIES |= {name: (lambda s, fn=QUERIES[of]: fn(_Folded(s))) for name, of in FOLDED.items()}
 
+# stages and reports from the prepared table: harmonised rows with reason bits, written by year and in buckets of the key
+PREPARED: dict[str, Callable[[Stages], DataFrame]] = {
+    "prepared_error_rows": lambda s: s.errors,
+    "prepared_clean_rows": lambda s: s.clean,
+    "prepared_final_year": lambda s: s.final,
+    "prepared_error_summary": lambda s: s.checked.summary(),
+    "prepared_reason_counts": lambda s: s.checked.reason_counts(),
+    "prepared_problem_values": lambda s: s.checked.problem_values(),
+    "prepared_error_enriched": lambda s: s.checked.enriched(),
+    "prepared_with_hour": lambda s: s.with_hour,
+    "prepared_night_classified": lambda s: s.night,
+    "prepared_night_all_years": lambda s: s.night_all_years,
+}
+
 PLACE = ["CantonCode", "AccidentMonth"]
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.prepared(spark, sf_dir).select(*normalise.HARMONISED)
+_CHECKED: dict[tuple[int, str], tuple[SparkSession, quality.PreparedRows]] = {}
+
+
+def _text_rows(spark: SparkSession, sf_dir: str) -> quality.PreparedRows:
+    """The text table with its reason bits, checked and written by the first query of a session that needs it."""
+    key = (id(spark), sf_dir)
+    hit = _CHECKED.get(key)
+    if hit is None or hit[0] is not spark or spark.sparkContext._jsc is None:
+        hit = (spark, quality.PreparedRows.of(fixtures.prepared(spark, sf_dir).select(*normalise.HARMONISED)))
+        _CHECKED[key] = hit
+    return hit[1]
 
 
 def _partial_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some of the prepared rows as an error table: fewer copies of a row than the table has, and more of a few."""
-    t = fixtures.prepared(spark, sf_dir).where("row_id % 10 = 1")
-    return t.withColumn("copy", F.explode(F.expr("if(row_id % 110 = 11, sequence(1, 40), array(1))")))
+    """The prepared rows with an unreadable flag or severity as an error table, those without a region 40 times: on a few
+    columns it has fewer copies of most rows than the table, and more of some."""
+    t = fixtures.prepared(spark, sf_dir).where("AccidentInvolvingMotorcycle = 'maybe' or AccidentSeverityCategory = 'unknown'")
+    return t.withColumn("copy", F.explode(F.expr("if(CantonCode is null, sequence(1, 40), array(1))")))
 
 
 def _multiset_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,14 +213,14 @@ def _occurrence_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # operators on a prepared text table and on overlapping hour files, where every rule has rows that reach it
 TABLE_QUERIES: dict[str, Query] = {
-    "text_error_rows": lambda spark, d: quality.find_errors(_prepared(spark, d)),
-    "text_clean_rows": lambda spark, d: quality.clean_rows(_prepared(spark, d)),
-    "text_final_year": lambda spark, d: quality.filter_year(quality.clean_rows(_prepared(spark, d))),
-    "text_problem_values": lambda spark, d: quality.problem_values(_prepared(spark, d)),
-    "text_error_summary": lambda spark, d: quality.error_summary(_prepared(spark, d)),
-    "text_error_enriched": lambda spark, d: quality.enrich_errors(quality.find_errors(_prepared(spark, d))),
-    "text_fully_invalid": lambda spark, d: quality.split_errors(quality.enrich_errors(quality.find_errors(_prepared(spark, d))), True),
-    "text_reason_counts": lambda spark, d: quality.reason_counts(quality.find_errors(_prepared(spark, d))),
+    "text_error_rows": lambda spark, d: _text_rows(spark, d).errors(),
+    "text_clean_rows": lambda spark, d: _text_rows(spark, d).clean(),
+    "text_final_year": lambda spark, d: quality.filter_year(_text_rows(spark, d).clean()),
+    "text_problem_values": lambda spark, d: _text_rows(spark, d).problem_values(),
+    "text_error_summary": lambda spark, d: _text_rows(spark, d).summary(),
+    "text_error_enriched": lambda spark, d: _text_rows(spark, d).enriched(),
+    "text_fully_invalid": lambda spark, d: _text_rows(spark, d).enriched(fully=True),
+    "text_reason_counts": lambda spark, d: _text_rows(spark, d).reason_counts(),
     "multiset_partial": _multiset_partial,
     "multiset_fewer_columns": _multiset_fewer_columns,
     "occurrence_by_place": _occurrence_by_place,
@@ -208,4 +234,4 @@ def _t(fn: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _q(fn) for name, fn in QUERIES.items()} | {name: _t(fn) for name, fn in TABLE_QUERIES.items()}
+    return {name: _q(fn) for name, fn in QUERIES.items()} | {name: _q(fn, True) for name, fn in PREPARED.items()} | {name: _t(fn) for name, fn in TABLE_QUERIES.items()}

@@ -612,7 +612,8 @@ merged AS (SELECT {COLS8} FROM prepared),
 flagged AS (SELECT *, {REASONS} AS ErrorReasons FROM merged),
 errors AS (SELECT * FROM flagged WHERE ErrorReasons <> ''),
 clean AS (SELECT {COLS8} FROM flagged WHERE ErrorReasons = ''),
-partial_errors AS (SELECT * FROM prepared, unnest(CASE WHEN row_id % 110 = 11 THEN range(40) ELSE [1] END) WHERE row_id % 10 = 1)"""
+partial_errors AS (SELECT * FROM prepared, unnest(CASE WHEN CantonCode IS NULL THEN range(40) ELSE [1] END)
+                   WHERE AccidentInvolvingMotorcycle = 'maybe' OR AccidentSeverityCategory = 'unknown')"""
 
 
 def table_bodies(year: int = D.DEFAULT_YEAR) -> dict[str, str]:
@@ -687,7 +688,10 @@ def _oracle_sql(year: int) -> dict[str, str]:
     dims = ", ".join(DIMENSIONS)
     every["cube"] = f"SELECT {dims}, count(*) AS n FROM night GROUP BY ALL"
     every |= {f"cube_{name}": sql for name, sql in every.items() if re.match("[gx][0-9]+_", name)}
-    todo = [(chain(year), *x) for x in every.items()] + [(all_years(), "night_all_years", "SELECT * FROM night")]
+    every |= {f"prepared_{name}": every[name] for name in ("error_rows", "clean_rows", "final_year", "error_summary", "reason_counts",
+                                                           "problem_values", "error_enriched", "with_hour", "night_classified")}
+    todo = [(chain(year), *x) for x in every.items()]
+    todo += [(all_years(), name, "SELECT * FROM night") for name in ("night_all_years", "prepared_night_all_years")]
     todo += [(table_chain(year), *x) for x in table_bodies(year).items()]
     for head, name, body in todo:
         sql = f"{head},\n_q AS ({body})\nSELECT * FROM _q"

@@ -173,3 +173,63 @@ def test_each_year_has_its_own_twilight(spark):
         dawn, dusk = dim["CH" if r.CantonCode.endswith("_CH") else r.CantonCode, r.AccidentYear, months[r.AccidentMonth]]
         h = r.AccidentHourNumeric
         assert r.NightAccident == int(h is not None and (h < dawn or h > dusk))
+
+
+# --- the prepared table: buckets of the key, reason bits ------------------------------------------
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_hour_join_on_buckets_needs_no_exchange(spark, no_broadcast, monkeypatch):
+    prepared = fixture_stages(spark, SF001, materialise=True)
+    lazy = fixture_stages(spark, SF001)
+    assert prepared.prepared.hot is None
+    plan = _plan(prepared.with_hour)
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and "PartitionFilters: [isnotnull(AccidentYear" in plan
+    assert "PushedFilters: [IsNotNull(_bits), EqualTo(_bits,0)]" in plan
+    assert "Exchange" in _plan(lazy.with_hour)
+    key = lambda r: str(tuple(r))
+    assert sorted(prepared.with_hour.collect(), key=key) == sorted(lazy.with_hour.collect(), key=key)
+    prepared.prepared.drop()
+
+
+def test_hot_keys_stay_out_of_the_buckets(spark, no_broadcast):
+    from crashlens.operators.normalise import LOOKUP_HOUR, LOOKUP_RANK
+    from crashlens.sources import keyed
+    rows = [(None if i % 3 == 0 else "hot" if i % 5 == 0 else f"k{i % 400}", i % 24, i) for i in range(3000)]
+    base = spark.createDataFrame([(k, 2024, h, i) for k, h, i in rows], f"AccidentUID string, AccidentYear bigint, {LOOKUP_HOUR} bigint, {LOOKUP_RANK} bigint")
+    table = keyed.write_keyed(joins.with_key(base), joins.KEY, "t", ["AccidentYear"], least=100)
+    assert {(r.AccidentUID) for r in table.hot.select("AccidentUID").distinct().collect()} == {None, "hot"}
+    assert table.cold.where("AccidentUID is null or AccidentUID = 'hot'").count() == 0 and table.rows().count() == 3000
+    out = joins.add_hour_in_buckets(table, lambda part: part.select("AccidentUID", LOOKUP_RANK, *joins.KEY))
+    first = {}
+    for k, h, i in rows:
+        first.setdefault(k, h)
+    assert sorted((r[LOOKUP_RANK], r.AccidentHourNumeric) for r in out.collect()) == [(i, first[k]) for k, _, i in rows]
+    cold = _plan(joins.add_hour_in_buckets(keyed.KeyedTable(table.cold, None, ""), lambda part: part.select("AccidentUID", *joins.KEY)))
+    assert "Exchange" not in cold
+
+
+def test_reports_read_the_bits_alone(spark):
+    from crashlens.operators import quality
+    table = quality.PreparedRows.of(fixtures.prepared(spark, SF001).select(*normalise.HARMONISED))
+    for report in (table.summary(), table.reason_counts()):
+        assert "ReadSchema: struct<_bits:bigint>" in _plan(report)
+    text = fixtures.prepared(spark, SF001).select(*normalise.HARMONISED)
+    assert table.summary().collect() == quality.error_summary(text).collect()
+    key = lambda r: str(tuple(r))
+    assert sorted(table.enriched().collect(), key=key) == sorted(quality.enrich_errors(quality.find_errors(text)).collect(), key=key)
+    assert sorted(table.enriched(fully=False).collect(), key=key) == sorted(quality.split_errors(quality.enrich_errors(quality.find_errors(text)), False).collect(), key=key)
+    wide = text.select("*", *[text.CantonCode.alias(f"c{i}") for i in range(60)])
+    with pytest.raises(ValueError, match="do not fit"):
+        quality.reason_bits(wide, "all")
