@@ -6,9 +6,12 @@ arrive at a bounded-space online best-fit packer: a fixed number of sequences is
 over free space finds the fullest one that still takes a piece, and when all places are taken the
 fullest open sequence closes for good. Memory is the open sequences, whatever the input.
 
-Spark deals light piece rows (no ids) to packers by hash. A packer takes its rows by falling
-length, then by hash: long pieces open sequences and short ones fill them, and a rerun of a lost
-task packs alike.
+Spark deals light piece rows (no ids) to packers by hash. At a packer, pieces arrive in waves of some
+WAVE pieces, dealt by hash, too, and in a wave by falling length: long pieces open sequences and short ones
+fill them, of this wave and of those before. The order depends on the rows alone, so a rerun of a lost
+task packs alike. (By falling length over all its pieces, a packer would need as many open sequences as it makes;
+in plain hash order 0.991 of the space is filled, in waves 0.9996, measured on 20,000 pieces of which nine
+in ten sequences closed to make room.)
 
 Defined results: a null or empty text is the closing id alone; a tokenizer's added token written out
 in a text is that token; repeated rows are packed each; an empty table packs to nothing; null keys are
@@ -33,7 +36,8 @@ from .frames import fresh
 from .store import materialise, ship
 
 LENGTH = 2048
-OPEN_SEQUENCES = 8192
+OPEN_SEQUENCES = 1024
+WAVE = 2_000          # pieces; about two a sequence, so a wave opens as many sequences as may be open
 PIECES_PER_PACKER = 20_000
 END_ID = 0
 
@@ -127,17 +131,21 @@ class Packer:
         return sequence, self.length - space
 
 
-def pack(parts: DataFrame, length: int = LENGTH, places: int = OPEN_SEQUENCES, per_packer: int = PIECES_PER_PACKER) -> DataFrame:
+def pack(parts: DataFrame, length: int = LENGTH, places: int = OPEN_SEQUENCES, per_packer: int = PIECES_PER_PACKER,
+         wave: int = WAVE) -> DataFrame:
     """``parts`` (a ``length`` column) with sequence_id and offset. Piece rows are written once to
     count them; as many packers as the count asks for then work side by side."""
     ship(parts.sparkSession)
     taken = parts.columns
     parts = materialise(parts, "pieces")
-    packers = max(1, -(-parts.count() // per_packer))
+    count = parts.count()
+    packers = max(1, -(-count // per_packer))
+    waves = max(1, round(count / packers / wave))
     mark, lot = fresh(taken, "mark"), fresh(taken, "packer")
     marked = parts.withColumn(mark, F.xxhash64(*(F.col(f"`{c}`") for c in taken)))
     dealt = (marked.withColumn(lot, F.pmod(F.col(mark), F.lit(packers)).cast("int"))
-             .repartition(packers, lot).sortWithinPartitions(F.desc("length"), mark, *taken))
+             .repartition(packers, lot)
+             .sortWithinPartitions(lot, F.pmod(F.shiftright(mark, 20), F.lit(waves)), F.desc("length"), mark, *taken))
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType(), False),
                            T.StructField("offset", T.LongType(), False)])
 
