@@ -7,8 +7,11 @@ are tried by rising start, a later one wins only with a strictly larger score, a
 a piece of its own can be unknown at the lowest score less 10, and unknown characters count as
 their bytes (byte fallback). Scores add up as doubles.
 
-Text is cut before every space (the space becomes the mark U+2581, one is put in front), so a word
-is scored on its own and its count is kept for the next occurrence; a worker keeps CACHE_WORDS.
+A space becomes the mark U+2581, and one is put in front. Text is cut before a mark where no piece of the vocabulary can
+lie across: a piece with a mark inside names the characters that can stand before it (in a run of spaces, marks
+themselves), and after any other character the best path has a boundary there. So what lies between two cuts is
+scored on its own, with the result of the whole text, and its count is kept for the next
+occurrence; a worker keeps CACHE_WORDS.
 
 Defined results: a null or empty text has 0 tokens; rows are counted each; null keys are carried;
 an empty table gives an empty result.
@@ -16,6 +19,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,6 +57,9 @@ class Counter(dict):
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
+        before = {piece[i - 1] for piece, _ in pieces for i in range(1, len(piece)) if piece[i] == MARK}
+        self.runs_only = before <= {MARK}  # pieces lie across marks in runs of spaces alone
+        self.cut = re.compile("(?<!^)" + (f"(?<![{re.escape(''.join(sorted(before)))}])" if before else "") + f"(?={MARK})")
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
@@ -92,9 +99,12 @@ class Counter(dict):
         if not text:
             return 0
         text = text.replace(MARK, " ")
-        words = text.split(" ")
-        words = words[1:] if not words[0] else words  # a leading space is the mark that is put in front
-        return sum(self[MARK + w] for w in words)
+        if self.runs_only and "  " not in text:  # every space is a cut
+            words = text.split(" ")
+            words = words[1:] if not words[0] else words  # a leading space is the mark that is put in front
+            return sum(self[MARK + w] for w in words)
+        text = text.replace(" ", MARK)
+        return sum(self[w] for w in self.cut.split(text if text[0] == MARK else MARK + text))
 
 
 _COUNTERS: dict[str, Counter] = {}
