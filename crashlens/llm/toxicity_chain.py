@@ -3,8 +3,8 @@
 CATEGORIES are predicted one after another, and each link also reads the probabilities of the links
 before it. In training these come from models that did not see the row (out-of-fold), so a link
 learns from probabilities of the kind that it will read later; the models kept are refitted on all
-training rows. Links: ``toxic`` (the label), ``severe`` (toxic, with several distinct words that
-mark toxic rows), ``in_prose`` (toxic, in a text of good quality, which quality rules do not find).
+training rows. Links, from the labels: ``in_prose`` (toxic, in a text of good quality), ``in_poor_text`` (toxic, in
+a text of poor quality), and last ``toxic``, which reads both and gives the verdict.
 
 Features are a text's distinct words (runs of letters and digits, A-Z lower-cased) and their first
 4, 5 and 6 bytes, hashed; those that tell toxic from other rows are selected on the training rows,
@@ -15,7 +15,8 @@ grow; every document is scored, by its whole text, in one pass without a shuffle
 
 Defined results: a null or empty text has no features and gets the models' base probability;
 without labelled rows of both kinds nothing is toxic (probabilities 0); rows of labels without a
-document, with nulls, or repeated are ignored or count once; repeated documents are scored each.
+document or with nulls are ignored; rows with one key count once, as toxic or good if any of them is;
+repeated documents are scored each.
 """
 
 from __future__ import annotations
@@ -32,12 +33,11 @@ from pyspark.sql import types as T
 from . import words as W
 from .store import ship
 
-CATEGORIES = ("toxic", "severe", "in_prose")
+CATEGORIES = ("in_prose", "in_poor_text", "toxic")
 TRAIN_ROWS = 4_000
 FOLDS = 3
 PREFIXES = (4, 5, 6)
 SELECTED = 3_000
-SEVERE_WORDS = 3
 SPACE = 1 << 22
 
 _LETTERS = np.zeros(256, dtype=bool)
@@ -113,10 +113,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, quality: np.ndarray) -> Cha
     gain = hit * np.log(rate / base)  # words of toxic rows that others lack
     use = np.sort(np.argsort(-gain, kind="stable")[:SELECTED])
     use = use[(gain[use] > 0) & (hit[use] >= 3)]
-    marks = np.zeros(len(values), bool)
-    marks[use] = (hit[use] >= 5) & (other[use] * 20 < hit[use])
-    severe = toxic * (np.bincount(row, marks[col], n) >= SEVERE_WORDS * (1 + len(PREFIXES)))
-    labels = np.stack([toxic, severe, toxic * quality]).astype(float)
+    labels = np.stack([toxic * quality, toxic * (1 - quality), toxic]).astype(float)
     place = np.full(len(values), -1)
     place[use] = np.arange(len(use))
     keep = place[col] >= 0
@@ -139,12 +136,12 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, quality: np.ndarray) -> Cha
         chain.weights.append(w)
         chain.earlier.append(e)
         chain.bias.append(b)
-    chain.threshold = _threshold(probabilities[:, 0], labels[0])
+    chain.threshold = _threshold(probabilities[:, -1], labels[-1])
     return chain
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability above which out-of-fold predictions of the first category agree best with the
+    """The probability above which out-of-fold predictions of the last category agree best with the
     labels, precision counting more than recall (largest F0.5; halfway down to the next lower row)."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
@@ -157,7 +154,8 @@ def training_rows(df: DataFrame, labels: DataFrame, key: str, text: str, limit:
     """Features and labels of at most ``limit`` labelled documents, those with the smallest hash of
     their key. The limit is taken on the labels, before any text is read."""
     usable = labels.select(F.col(key).alias("key"), F.col("toxic").cast("int").alias("toxic"), F.col("quality").cast("int").alias("quality"))
-    chosen = (usable.dropna().dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").limit(limit))
+    single = usable.dropna().groupBy("key").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    chosen = (single.orderBy(F.xxhash64("key"), "key").limit(limit))
     texts = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "key").select("key", "toxic", "quality", "text")  # at most ``limit`` rows of three numbers
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("quality", T.IntegerType()),
@@ -178,7 +176,7 @@ def training_rows(df: DataFrame, labels: DataFrame, key: str, text: str, limit:
 
 
 def score(df: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, a probability per category, and ``toxic`` (the first one reaches the chain's threshold,
+    """key, a probability per category, and ``toxic`` (the last one reaches the chain's threshold,
     which is fitted on out-of-fold predictions)."""
     ship(df.sparkSession)
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
