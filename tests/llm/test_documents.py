@@ -131,8 +131,7 @@ def test_pack(docs, no_docs, plain):
     from tokenizers import Tokenizer
 
     path = tokenizer_path()
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(path)  # as loaded
     got = packing.pack_documents(docs, path, per_packer=20).collect()
     ids = {k: tok.encode(t or "", add_special_tokens=False).ids + [0] for k, t, _ in plain}
     parts, lots = defaultdict(set), defaultdict(list)
@@ -153,25 +152,40 @@ def test_pack(docs, no_docs, plain):
     assert packing.pack_documents(no_docs, path).collect() == []
 
 
-def test_packer_closes_the_fullest_and_fills_well():
-    r = np.random.default_rng(2)
-    sizes = sorted(np.minimum(2048, r.lognormal(6.3, 1, 20_000).astype(int) + 1).tolist(), reverse=True)
-    packer = packing.Packer()
-    places = [packer.place(x) for x in sizes]
-    assert packer.n <= 1.01 * math.ceil(sum(sizes) / 2048) and packer.n_open <= packing.OPEN_SEQUENCES and len(places) == 20_000
+def test_packer_closes_the_fullest():
     small = packing.Packer(10, 2)
-    assert [small.place(x)[0] for x in (6, 7, 8, 3, 4)] == [0, 1, 2, 1, 0] or small.n_open <= 2
+    assert [small.place(x) for x in (6, 7)] == [(0, 0), (1, 0)]  # 4 and 3 are free
+    assert small.place(5) == (2, 0)                              # no room and no place: the fullest, 1, closes
+    assert small.place(3) == (0, 6) and small.n_open == 2        # best fit would have been 1
+
+
+def test_sequences_close_and_fill_well(spark):
+    """Far more sequences than may be open: the bound is reached, and little space is lost."""
+    r = np.random.default_rng(2)
+    sizes = np.minimum(2048, r.lognormal(6.3, 1, 24_000).astype(int) + 1).tolist()
+    parts = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "key bigint, length bigint")
+    got = packing.pack(parts, places=256, per_packer=12_000, wave=700).collect()
+    space, last = defaultdict(int), defaultdict(set)
+    for row in got:
+        space[row.sequence_id] += row.length
+        last[row.sequence_id].add((row.offset, row.length))
+    assert len(got) == len(sizes) and max(space.values()) <= 2048
+    for own in last.values():
+        assert [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()]
+    least = math.ceil(sum(sizes) / 2048)
+    assert len(space) > 10 * 2 * 256 and len(space) <= 1.005 * least
+    again = packing.pack(parts.repartition(9), places=256, per_packer=12_000, wave=700).collect()
+    assert Counter((x.key, x.sequence_id, x.offset) for x in got) == Counter((x.key, x.sequence_id, x.offset) for x in again)
 
 
 def test_encoder_equals_the_tokenizer(plain):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(tokenizer_path())  # as loaded
     odd = ["a  b", "x \n y", "\t\tq  ", "it's I'LL we've", "\x1c z\xa0 q  r", "日本 語。 12345 67", "<|endoftext|> x", "  ", "\n\n\n a", "é́ ß\x85 x"]
     encode = packing.encoder(tokenizer_path()).encode_to_numpy
     for text in odd + [t for _, t, _ in plain if t]:
-        assert tok.encode(text, add_special_tokens=False).ids == encode(text, disallowed_special=()).tolist()
+        assert tok.encode(text, add_special_tokens=False).ids == encode(text, allowed_special="all").tolist()
 
 
 def test_added_tokens_in_texts(spark):
@@ -200,8 +214,8 @@ def test_token_counts(docs, no_docs, plain):
 
     path = tokenizer_path("piece_bpe_32k.model")
     tok = Tokenizer(models.Unigram(unigram_count.vocabulary(path), 0, True))
-    tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    odd = [" ", "a  b", "  x", "▁▁ q", "日本語 x 😀", "<unk> <0x41> <s>", "\n\nx\ty ", "é́" * 5, "aaaa" * 50]
+    tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)  # the whole text at once
+    odd = [" ", "a  b", "  x", "▁▁ q", "日本語 x 😀", "<unk> <0x41> <s>", "\n\nx\ty ", "é́" * 5, "aaaa" * 50, "    x = 1;", "a    b     c", "   ", " " * 40 + "q", "x" + " " * 16 + "y ", "if a:\n        b  =  2"]
     own = unigram_count.counter(path)
     for text in odd:
         assert own.text(text) == len(tok.encode(text, add_special_tokens=False).ids), text
@@ -220,8 +234,36 @@ def test_toxicity_on_held_out_rows(spark, docs, no_docs):
     text = {r.doc_id: r.text.lower() for r in table.filter("lang = 'en'").join(held, "doc_id").collect()}
     real = [r.toxic for r in found if r.label == 1 and insult.search(text.get(r.doc_id, ""))]
     assert len(real) > 30 and sum(real) >= 0.95 * len(real)
+    every = [r.toxic for r in found if r.label == 1]
+    assert sum(every) >= 0.85 * len(every)  # of all rows labelled toxic, those without an insult included
     clean = [r.toxic for r in found if r.label == 0]
     assert sum(clean) <= 0.01 * len(clean)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert [r.toxic for r in toxicity_chain.toxicity(docs, none).collect()] == [False] * docs.count()
     assert toxicity_chain.toxicity(no_docs, none).collect() == []
+
+
+def test_the_verdict_reads_the_links_before_it(spark):
+    """Without the earlier probabilities, other scores and other verdicts: the chain is not an ornament."""
+    sf = "/root/testdata/sf0.1"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows, toxic, quality = toxicity_chain.training_rows(table, labels, "doc_id", "text", 2000)
+    chain = toxicity_chain.train(rows, toxic, quality)
+    assert toxicity_chain.CATEGORIES[-1] == "toxic" and np.abs(chain.earlier[-1]).min() > 0.1
+    feature = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    whole = chain.probabilities(row, feature, len(rows))
+    chain.earlier[-1] = np.zeros(2)
+    cut = chain.probabilities(row, feature, len(rows))
+    assert (whole[:, :2] == cut[:, :2]).all() and ((whole[:, 2] >= chain.threshold) != (cut[:, 2] >= chain.threshold)).any()
+
+
+def test_labels_that_clash_and_awkward_texts(spark):
+    texts = [(i, "you idiot scum " * 3 if i % 2 else f"the calm sea {i} is wide") for i in range(60)] + [(100, None), (101, ""), (102, "you idiot scum " * 20_000)]
+    table = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(1, 0, 0), (1, None, 0), (3, 1, 0), (None, 1, 1), (999, 1, 1)],
+                                   "doc_id bigint, quality int, toxic int")
+    runs = [sorted(map(tuple, toxicity_chain.toxicity(table, labels.repartition(n), limit=1000).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    verdict = {r[0]: r[-1] for r in runs[0]}
+    assert all(verdict[i] == bool(i % 2) for i in range(60)) and verdict[102] and not verdict[100] and not verdict[101]
