@@ -10,11 +10,12 @@ For vectors of unequal length, hashing uses the usual reduction: within a band o
 of two) vectors are divided by the band's largest length and get one more coordinate that makes
 them unit vectors; a query probes each band.
 
-The number of probes is fitted: a bounded sample of SAMPLE_QUERIES queries is compared with all
-vectors in blocks, and the smallest number of probes is taken with which the tables hold RECALL of
-their true neighbours. That number is a least one: where buckets are filled unevenly a query goes on
-probing each table until its buckets there hold k + 1 entries, and half as many as those of the
-sample's median query, or are all of the table's. Every vector is indexed, and no bucket is capped:
+The number of probes is fitted, by strata: queries fall into strata by how many vectors lie in their nearest buckets
+(powers of four), so a query far from all clusters is not judged by those inside one. Of each stratum a bounded
+sample of SAMPLE_QUERIES queries is compared with all vectors in blocks, and the smallest number of probes is taken with
+which the tables hold RECALL of the sample's true neighbours. That number is a least one: where buckets are
+filled unevenly a query goes on probing each table until its buckets there hold k + 1 entries, and half as many as those
+of the stratum's median query, or are all of the table's. Every vector is indexed, and no bucket is capped:
 a large one is spread over several tasks. Equal vectors are one entry, with the smallest k + 1 of
 their ids.
 
@@ -102,14 +103,22 @@ class Index:
             score = (score[:, :, None] + np.concatenate((r, -r), axis=1)[:, None, :]).reshape(len(q), -1)
         return np.argsort(-score, axis=1, kind="stable")[:, :count]
 
-    def probed(self, q: np.ndarray, table: int, held: np.ndarray, least: int, need: int) -> Iterator[np.ndarray]:
+    def probed(self, q: np.ndarray, table: int, held: np.ndarray, least: np.ndarray, need: np.ndarray) -> Iterator[np.ndarray]:
         """Each query's buckets of a table, nearest axes first: ``least`` of them, and as many as hold ``need`` entries."""
         step = max(1, PROBED_CELLS // self.buckets)
         for i in range(0, len(q), step):
             order = self.probes_of(q[i:i + step], table, self.buckets)
-            counts = np.maximum(least, (np.cumsum(held[order], axis=1) < need).sum(axis=1) + 1)
+            counts = np.maximum(least[i:i + step], (np.cumsum(held[order], axis=1) < need[i:i + step, None]).sum(axis=1) + 1)
             yield from (own[:n] for own, n in zip(order, counts.tolist()))
 
+    def strata(self, q: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Stratum of each query: the power of four of the entries in its nearest bucket of every table."""
+        step, out = max(1, PROBED_CELLS // self.buckets), np.zeros(len(q), np.int64)
+        for i in range(0, len(q), step):
+            load = sum(held[t][self.probes_of(q[i:i + step], t, 1)[:, 0]] for t in range(TABLES))
+            out[i:i + step] = np.log2(1 + load) // 2
+        return out
+
 
 def _vectors(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -211,7 +220,7 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         place_of, bucket = divmod(r.code, 1 << 34)
         held[place_of // TABLES // 4096][place_of % TABLES, bucket] += r.n
     fitted = _fit(entries, asked, indexes, held, k, recall)
-    reach = max((mean for _, _, mean in fitted.values()), default=1)
+    reach = max((sum(mean * n for _, _, mean, n in own.values()) / sum(n for *_, n in own.values()) for own in fitted.values() if own), default=1)
 
     # buckets to tasks: small ones together, large ones over several
     tasks_of: dict[int, range] = {}
@@ -251,7 +260,8 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         for batch in batches:
             for index, part in by_dim(batch):
                 x, keys = _vectors(part.column("v")), part.column("key").to_pylist()
-                least, need, _ = fitted[index.dim]
+                per = [fitted[index.dim][c] for c in index.strata(x, held[index.dim]).tolist()]
+                least, need = (np.array([p[i] for p in per], np.int64) for i in (0, 1))
                 wanted = [defaultdict(list) for _ in keys]
                 for t in range(TABLES):
                     for i, own in enumerate(index.probed(x, t, held[index.dim][t], least, need)):
@@ -324,20 +334,32 @@ def _vectors_by(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _fit(entries: DataFrame, asked: DataFrame, indexes: dict[int, Index], held: dict[int, np.ndarray], k: int,
-         recall: float) -> dict[int, tuple[int, int, int]]:
-    """For each dimension, the probes per table with which ``recall`` of a query sample's true neighbours are
-    found, the entries that a query's buckets of a table have to hold, and the sample's mean probes with both.
+         recall: float) -> dict[int, dict[int, tuple[int, int, float, int]]]:
+    """For each dimension and stratum of queries, the probes per table with which ``recall`` of a sample's true neighbours
+    are found, the entries that a query's buckets of a table have to hold, the sample's mean probes with
+    both, and the stratum's queries.
 
-    The sample (SAMPLE_QUERIES queries of a dimension, by a hash of their ids) is scored against every
-    entry in blocks; only each block's best rows leave a task.
+    The samples (SAMPLE_QUERIES queries of a stratum, by a hash of their ids; there are at most some 20 strata)
+    are scored against every entry in blocks; only each block's best rows leave a task.
     """
-    out = {}
+    def stratify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for d in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == d))
+                level = pa.array(indexes[d].strata(_vectors(part.column("v")), held[d]))
+                yield pa.RecordBatch.from_arrays([part.column("dim"), level, part.column("key"), part.column("v")], ["dim", "stratum", "key", "v"])
+
+    levels = asked.select("dim", "key", "v").mapInArrow(stratify, "dim int, stratum bigint, key bigint, v array<double>")
+    sizes = {(r.dim, r.stratum): r.n for r in levels.groupBy("dim", "stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_hash = Window.partitionBy("dim", "stratum").orderBy(F.xxhash64("key"), "key")
+    samples = levels.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= SAMPLE_QUERIES).collect()
+    out: dict[int, dict[int, tuple[int, int, float, int]]] = {d: {} for d in indexes}
     for d, index in indexes.items():
-        sample = asked.filter(F.col("dim") == d).orderBy(F.xxhash64("key"), "key").limit(SAMPLE_QUERIES).select("key", "v").collect()
+        sample = [r for r in samples if r.dim == d]
         if not sample:
-            out[d] = (1, k + 1, 1)
             continue
-        keys, x = np.array([r.key for r in sample]), np.array([r.v for r in sample])
+        keys, x, stratum = np.array([r.key for r in sample]), np.array([r.v for r in sample]), np.array([r.stratum for r in sample])
 
         def exact(batches: Iterator[pa.RecordBatch], keys=keys, x=x) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -349,14 +371,20 @@ def _fit(entries: DataFrame, asked: DataFrame, indexes: dict[int, Index], held:
                 .withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k))
         pairs = near.join(entries.select("key", "band", "v"), "key").select("query", "band", "v").collect()
         place = {int(key): i for i, key in enumerate(keys)}
-        order = [np.argsort(index.probes_of(x, t, index.buckets), axis=1) for t in range(TABLES)]
-        ranks = [index.buckets]
+        asking = np.array([place[p.query] for p in pairs], np.int64)
+        ranks = np.zeros(0, np.int64)  # per pair, the probe that finds it
         if pairs:
             there = index.buckets_of(np.array([p.v for p in pairs]), np.array([index.bands[p.band] for p in pairs]))
-            ranks = np.min([order[t][[place[p.query] for p in pairs], there[:, t]] for t in range(TABLES)], axis=0)
-        least = int(min(index.buckets, np.sort(ranks)[int(np.ceil(recall * len(ranks))) - 1] + 1))
-        usual = np.median([held[d][t][index.probes_of(x, t, least)].sum(axis=1) for t in range(TABLES)])
-        need = max(k + 1, int(usual) // 2)
-        mean = np.mean([len(own) for t in range(TABLES) for own in index.probed(x, t, held[d][t], least, need)])
-        out[d] = (least, need, int(np.ceil(mean)))
+            ranks = np.full(len(pairs), index.buckets)
+            for t in range(TABLES):
+                order = np.argsort(index.probes_of(x, t, index.buckets), axis=1)
+                ranks = np.minimum(ranks, order[asking, there[:, t]])
+        for c in np.unique(stratum).tolist():
+            own, mine = x[stratum == c], np.sort(ranks[stratum[asking] == c]) if pairs else ranks
+            least = int(min(index.buckets, mine[int(np.ceil(recall * len(mine))) - 1] + 1)) if len(mine) else 1
+            usual = np.median([held[d][t][index.probes_of(own, t, least)].sum(axis=1) for t in range(TABLES)])
+            need = max(k + 1, int(usual) // 2)
+            every = np.full(len(own), least), np.full(len(own), need)
+            mean = float(np.mean([len(b) for t in range(TABLES) for b in index.probed(own, t, held[d][t], *every)]))
+            out[d][c] = (least, need, mean, sizes[d, c])
     return out
