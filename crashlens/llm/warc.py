@@ -1,11 +1,15 @@
 """WARC archives on a shared folder: writing, reading, and revisit resolution.
 
 Records are formatted and written by Spark's text writer, one record per row with the archive's
-record separator (two CRLF) between rows, gzip-compressed; nothing passes through a local folder.
-Reading takes each file's bytes in a task and walks its records by Content-Length.
+record separator (two CRLF) between rows, gzip-compressed; nothing passes through a local folder. A file holds what one
+task read, so payloads stay where they are, and at most RECORDS_PER_FILE records.
+Reading streams each file through Spark's text reader in pieces between separators; a task puts the bytes together again
+and walks the records by Content-Length, so it holds a record and a batch, whatever the file's size. Pages of any size
+that fits a row (2 GB) pass.
 
 Deduplication shuffles only headers: payload digests meet, the original of each group is chosen,
-and the choice returns to the records by (key, digest), so payloads of one hot group stay spread.
+and the choice returns to the records by (key, digest): by broadcast up to REVISITS records (counted), else by a join
+that shuffles the records, payloads included.
 Reading back, revisit records (headers without payload) join the original responses by digest.
 
 Defined results: a null payload is an empty one; a null key is written without its header and read
@@ -17,7 +21,6 @@ written percent-encoded; an empty table makes an empty archive, which reads as n
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,13 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import ship
+from .store import materialise, ship
 
 MIN_BYTES = 1000
 RECORDS_PER_FILE = 5000
+REVISITS = 300_000    # revisit records (some 70 bytes each) whose choice is broadcast
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BATCH_BYTES = 4_000_000
+_END = END.encode()
 
 RECORD = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("record_type", T.StringType()),
@@ -58,6 +63,9 @@ def revisits(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     others = (large.select("digest", "key").distinct().join(originals, "digest")
               .filter(~F.col("key").eqNullSafe(F.col("original")))
               .select("digest", F.coalesce("key", F.lit(-1)).alias("k"), F.col("key").isNull().alias("no_key"), "original"))
+    others = materialise(others, "revisits")
+    if others.count() <= REVISITS:
+        others = F.broadcast(others)
     left = records.withColumns({"k": F.coalesce("key", F.lit(-1)), "no_key": F.col("key").isNull()})
     return left.join(others, ["digest", "k", "no_key"], "left").drop("k", "no_key")
 
@@ -99,60 +107,68 @@ def write_archive(records: DataFrame, path: str) -> None:
      .option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
 
-def _unpack(content: bytes) -> bytes:
-    """A file's records; gzip members follow one another."""
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out, rest = [], content
-    while rest[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(rest))
-        rest = member.unused_data
-    return b"".join(out)
-
-
-def records_of(content: bytes) -> Iterator[dict]:
-    """Records of one file as rows of RECORD."""
-    data, at = _unpack(content), 0
-    while at < len(data):
-        split = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:split].decode().split("\r\n")[1:])
-        block = split + 4
-        end = block + int(head["Content-Length"])
-        body = data.index(b"\r\n\r\n", block, end) + 4
-        payload = data[body:end]
-        number = lambda name: int(head[name]) if name in head else None  # noqa: B023, E731
-        yield {"key": number("X-Key"), "record_type": head["WARC-Type"], "record_id": head["WARC-Record-ID"],
-               "target_uri": head.get("WARC-Target-URI"), "digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
-               "refers_to_key": number("X-Refers-To-Key"), "payload": payload, "payload_bytes": len(payload),
-               "payload_sha1": hashlib.sha1(payload).hexdigest()}
-        at = end + 4
+class Records:
+    """Records of a file whose bytes come piece by piece; holds what is not yet a whole record."""
+
+    def __init__(self) -> None:
+        self.data, self.need = bytearray(), 0
+
+    def take(self, piece: bytes) -> Iterator[dict]:
+        """Rows of RECORD that are whole with these bytes."""
+        self.data += piece
+        while len(self.data) >= self.need:
+            while self.data[:2] == b"\r\n":  # no record begins so: what the last separator leaves
+                del self.data[:2]
+            split = self.data.find(b"\r\n\r\n")
+            if split < 0:
+                self.need = len(self.data) + 1
+                return
+            head = dict(x.split(": ", 1) for x in self.data[:split].decode().split("\r\n")[1:])
+            block = split + 4
+            end = block + int(head["Content-Length"])
+            if len(self.data) < end + 4:  # with the separator
+                self.need = end + 4
+                return
+            body = self.data.index(b"\r\n\r\n", block, end) + 4
+            payload = bytes(self.data[body:end])
+            number = lambda name: int(head[name]) if name in head else None  # noqa: B023, E731
+            yield {"key": number("X-Key"), "record_type": head["WARC-Type"], "record_id": head["WARC-Record-ID"],
+                   "target_uri": head.get("WARC-Target-URI"), "digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
+                   "refers_to_key": number("X-Refers-To-Key"), "payload": payload, "payload_bytes": len(payload),
+                   "payload_sha1": hashlib.sha1(payload).hexdigest()}
+            del self.data[:end + 4]
+            self.need = 0
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Every record under ``path`` (columns of RECORD; without ``payload`` if not asked for).
-    Digest and length are taken anew from the payload read."""
+    Digest and length are taken anew from the payload read. Files must be gzip-compressed (``.gz``), which Spark reads
+    from first to last in one task."""
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    if not spark.read.format("binaryFile").load(path).filter(~F.col("path").endswith(".gz")).select("path").isEmpty():
+        raise ValueError(f"{path} holds files that are not compressed with gzip")
+    files = spark.read.option("lineSep", END).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
     fields = [f for f in RECORD.fields if payload or f.name != "payload"]
     schema = T.StructType(fields)
     arrow = pa.schema([pa.field(f.name, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()])
                        for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file, rows, size = None, Records(), [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                rows, size = [], 0
-                for record in records_of(batch.column(0)[i].as_py()):
-                    size += len(record["payload"])
+            for own, piece in zip(batch.column("file").to_pylist(), batch.column("piece")):
+                if own != name:
+                    name, file = own, Records()
+                for record in file.take(piece.as_py() + _END):
+                    size += len(record["payload"]) if payload else 200
                     if not payload:
                         del record["payload"]
                     rows.append(record)
                     if size > _BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, arrow)
                         rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return files.mapInArrow(run, schema)
 
