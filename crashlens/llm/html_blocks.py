@@ -43,7 +43,6 @@ TRAIN_PAGES, EPOCHS, BATCH = 1600, 4, 32
 CODE_TAGS = ("script", "style")
 PLAIN_TAGS = ("iframe", "textarea", "title")
 HELD_TAGS = frozenset(("template", "svg", "select", "button"))
-HELD_DEPTH = 64             # of open ones; beyond, the outermost hides nothing
 BLOCK_TAGS = frozenset((
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -81,6 +80,7 @@ class _Held:
     n_out: int
     in_link: int
     linked: int
+    gone: bool = False
 
 
 def _ids(*tokens: str) -> tuple[int, ...]:
@@ -100,9 +100,18 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
     parts: list[str] = []
-    held: list[_Held] = []
+    held: list[_Held] = []                                             # open ones, the innermost last
+    open_of: dict[str, list[_Held]] = {name: [] for name in HELD_TAGS}  # the same by tag
     in_link, linked = 0, 0
 
+    def let_go() -> _Held:
+        """The innermost open element ends; ones that were taken out before go with it. Every element goes once."""
+        last = held.pop()
+        open_of[last.tag].pop()
+        while held and held[-1].gone:
+            held.pop()
+        return last
+
     def flush() -> None:
         nonlocal linked, parts
         if parts:
@@ -130,30 +139,34 @@ def blocks_of(page: str | None) -> list[Block]:
         elif tag == "a":
             in_link = 0 if match["close"] else 1
         elif tag in HELD_TAGS:
-            same = next((i for i in range(len(held) - 1, -1, -1) if held[i].tag == tag), -1)
+            same = open_of[tag][-1] if open_of[tag] else None
             if match["close"]:
-                if same >= 0:  # all since its start goes
-                    was = held[same]
-                    parts, in_link, linked = was.parts, was.in_link, was.linked
-                    del parts[was.n_parts:], out[was.n_out:], stack[was.depth:], held[same:]
+                if same:  # all since its start goes
+                    parts, in_link, linked = same.parts, same.in_link, same.linked
+                    del parts[same.n_parts:], out[same.n_out:], stack[same.depth:]
+                    while let_go() is not same:
+                        pass
             elif not match["attrs"].endswith("/"):
-                if same >= 0 and tag in ("select", "button"):  # not nested: the open one was never closed
-                    del held[same]
+                if same and tag in ("select", "button"):  # not nested: the open one was never closed
+                    if held[-1] is same:
+                        let_go()
+                    else:
+                        open_of[tag].pop().gone = True
                 held.append(_Held(tag, len(stack), parts, len(parts), len(out), in_link, linked))
-                del held[:-HELD_DEPTH]
+                open_of[tag].append(held[-1])
         elif tag in BREAKS:
             flush()
         elif tag in BLOCK_TAGS:
             flush()
             while held and held[-1].tag == "svg":  # blocks are not part of a drawing
-                held.pop()
+                let_go()
             if match["close"]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
                         in_link = 0
                         while held and held[-1].depth > i:  # not closed inside its parent
-                            held.pop()
+                            let_go()
                         break
             else:
                 while len(stack) > (held[-1].depth if held else 0) and tag in _CLOSED_BY.get(stack[-1][0], ()):
