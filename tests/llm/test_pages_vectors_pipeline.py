@@ -1,11 +1,13 @@
 """Pages, archives, vectors and the pipeline."""
 
 import hashlib
+import time
 import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from crashlens.llm import cross_polytope, html_blocks, warc
 from crashlens.llm.store import new_folder
 from pyspark.sql import functions as F
@@ -64,7 +66,8 @@ def test_main_text(spark):
 def test_archive(spark):
     same, crlf = "ü" * 700, "x\r\n\r\nWARC/1.1\r\n" * 100
     rows = [(1, "http://a b\r\n", same), (2, None, same), (3, "u", same), (3, "u", same), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "small"),
-            (8, "u", crlf), (9, "u", crlf), (None, "u", same), (10, "u", "y" * 300_000)]
+            (8, "u", crlf), (9, "u", crlf), (None, "u", same), (10, "u", "y" * 300_000), (11, "u", "z" * 9_000_000), (12, "u", "\r\n\r\n"),
+            (13, "u", "a\r\n"), (14, "u", "\r\n\r\n\r\n\r"), (15, "u", ("\r\n\r\nWARC/1.1\r\nContent-Length: 3" + "q\r\n") * 40_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, digest string").repartition(3)
     path = new_folder(spark, "warc-test")
     got = warc.archive(df, path).collect()
@@ -158,3 +161,31 @@ def test_unlike_texts_under_one_id(spark, docs):
     y = [k for k in got if k[0] == 20]
     assert len(y) == 1 and y[0] in rows
     assert Counter({k: n for k, n in got.items() if k[0] != 20}) == Counter([(3, a), (7, "a " + b), (-5, near("z " + c)), (12, d), (None, a), (None, a)])
+
+
+def test_hidden_elements_of_any_depth():
+    """What an open element hides does not depend on how many are open in it."""
+    for n in (1, 63, 64, 65, 5000):
+        for tag in ("template", "svg"):
+            page = f"<p>One</p>{f'<{tag}>' * n}hidden{f'</{tag}>' * n}<p>Two</p>"
+            assert [b.text for b in html_blocks.blocks_of(page)] == ["One", "Two"], (tag, n)
+    assert [b.text for b in html_blocks.blocks_of("<div>" + "<select>a" * 3000 + "</select>b</div>c")][-1] == "c"
+    begin = time.process_time()
+    html_blocks.blocks_of("<template><svg>" * 50_000 + "</svg>" * 10 + "<button>" * 50_000)
+    assert time.process_time() - begin < 20
+
+
+def test_archive_of_one_large_file(spark, monkeypatch):
+    """More bytes than a batch holds, from one file; a choice that is not broadcast gives the same."""
+    rows = [(i, "u", f"{i} " + "\r\n\r\nq" * 150_000) for i in range(12)] + [(100 + i, "u", "same " * 600) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    got = warc.archive(df, new_folder(spark, "warc-test")).collect()
+    assert Counter(r.record_type for r in got) == {"response": 13, "revisit": 29} and {r.refers_to_key for r in got} == {None, 129}
+    assert {r.key: r.full_sha1 for r in got} == {k: hashlib.sha1(h.encode()).hexdigest() for k, _, h in rows}
+    monkeypatch.setattr(warc, "REVISITS", 0)
+    again = warc.archive(df, new_folder(spark, "warc-test")).drop("record_id").collect()
+    assert sorted(map(str, again)) == sorted(map(str, (r for r in spark.createDataFrame(got).drop("record_id").select(again[0].__fields__).collect())))
+    plain = new_folder(spark, "warc-test")
+    spark.createDataFrame([("x",)], "v string").write.text(plain)
+    with pytest.raises(ValueError, match="not compressed"):
+        warc.read_archive(spark, plain)
