@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,28 +117,29 @@ class Records:
     def take(self, piece: bytes) -> Iterator[dict]:
         """Rows of RECORD that are whole with these bytes."""
         self.data += piece
-        while len(self.data) >= self.need:
-            while self.data[:2] == b"\r\n":  # no record begins so: what the last separator leaves
-                del self.data[:2]
-            split = self.data.find(b"\r\n\r\n")
+        data, at = self.data, 0
+        while len(data) - at >= self.need:
+            while data[at:at + 2] == b"\r\n":  # no record begins so: what the last separator leaves
+                at += 2
+            split = data.find(b"\r\n\r\n", at)
             if split < 0:
-                self.need = len(self.data) + 1
-                return
-            head = dict(x.split(": ", 1) for x in self.data[:split].decode().split("\r\n")[1:])
+                self.need = len(data) - at + 1
+                break
+            head = dict(x.split(": ", 1) for x in data[at:split].decode().split("\r\n")[1:])
             block = split + 4
             end = block + int(head["Content-Length"])
-            if len(self.data) < end + 4:  # with the separator
-                self.need = end + 4
-                return
-            body = self.data.index(b"\r\n\r\n", block, end) + 4
-            payload = bytes(self.data[body:end])
+            if len(data) < end + 4:  # with the separator
+                self.need = end + 4 - at
+                break
+            body = data.index(b"\r\n\r\n", block, end) + 4
+            payload = bytes(data[body:end])
             number = lambda name: int(head[name]) if name in head else None  # noqa: B023, E731
             yield {"key": number("X-Key"), "record_type": head["WARC-Type"], "record_id": head["WARC-Record-ID"],
                    "target_uri": head.get("WARC-Target-URI"), "digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
                    "refers_to_key": number("X-Refers-To-Key"), "payload": payload, "payload_bytes": len(payload),
                    "payload_sha1": hashlib.sha1(payload).hexdigest()}
-            del self.data[:end + 4]
-            self.need = 0
+            at, self.need = end + 4, 0
+        del data[:at]
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -156,10 +158,11 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file, rows, size = None, Records(), [], 0
         for batch in batches:
-            for own, piece in zip(batch.column("file").to_pylist(), batch.column("piece")):
+            of, pieces = batch.column("file").to_pylist(), batch.column("piece").to_pylist()
+            for own, group in groupby(range(len(of)), of.__getitem__):
                 if own != name:
                     name, file = own, Records()
-                for record in file.take(piece.as_py() + _END):
+                for record in file.take(_END.join([*map(pieces.__getitem__, group), b""])):
                     size += len(record["payload"]) if payload else 200
                     if not payload:
                         del record["payload"]
