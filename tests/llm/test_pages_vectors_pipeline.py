@@ -177,7 +177,7 @@ def test_hidden_elements_of_any_depth():
 
 def test_archive_of_one_large_file(spark, monkeypatch):
     """More bytes than a batch holds, from one file; a choice that is not broadcast gives the same."""
-    rows = [(i, "u", f"{i} " + "\r\n\r\nq" * 150_000) for i in range(12)] + [(100 + i, "u", "same " * 600) for i in range(30)]
+    rows = [(i, "u", f"{i} " + "\r\n\r\nq" * 60_000) for i in range(12)] + [(100 + i, "u", "same " * 600) for i in range(30)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
     got = warc.archive(df, new_folder(spark, "warc-test")).collect()
     assert Counter(r.record_type for r in got) == {"response": 13, "revisit": 29} and {r.refers_to_key for r in got} == {None, 129}
