@@ -25,9 +25,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _stripped(text: Column) -> Column:
+    """``text`` without surrounding blanks; only text beyond ASCII is held against the long list (half the time per cell)."""
+    ascii_blanks = "".join(c for c in _WHITESPACE if ord(c) < 0x80)
+    return F.when(F.octet_length(text) == F.length(text), F.trim(text, F.lit(ascii_blanks))).otherwise(F.trim(text, F.lit(_WHITESPACE)))
+
+
 def clean_text(c) -> Column:
     """Text form of a key, surrounding whitespace removed."""
-    return F.trim(_col(c).cast("string"), F.lit(_WHITESPACE))
+    return _stripped(_col(c).cast("string"))
 
 
 def lenient_number(c) -> Column:
@@ -129,7 +135,7 @@ def season(month_num, scheme: str = "winter_vs_rest") -> Column:
 
 
 def _norm_label(c) -> Column:
-    return F.lower(F.trim(_col(c).cast("string"), F.lit(_WHITESPACE)))
+    return F.lower(clean_text(c))
 
 
 def is_fatal(c="AccidentSeverityCategory") -> Column:

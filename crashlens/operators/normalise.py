@@ -148,14 +148,16 @@ def unmapped_report(de_raw: DataFrame, ch_raw: DataFrame) -> DataFrame:
     parts = []
     for dataset, raw, mappings, maps in (("DE", de_raw, DE_MAPPINGS, DE_MAPS),
                                          ("CH", repair_ch_header(ch_raw), CH_MAPPINGS, CH_MAPS)):
+        # cells are parsed in a projection of their own, once each
+        parsed = raw.select(*[_source_value(raw, source, how).alias(f"_src_{i}") for i, (_, source, how) in enumerate(mappings)])
         cells = []
-        for target, source, how in mappings:
-            src = _source_value(raw, source, how)
+        for i, (target, source, _) in enumerate(mappings):
+            src = F.col(f"_src_{i}")
             mapped = S.lookup(src, maps[target])
             cells.append(F.struct(
                 F.lit(source).alias("source_column"), F.lit(target).alias("target_column"),
                 F.when(src.isNotNull() & mapped.isNull(), src.cast("string")).alias("bad_value")))
-        bad = raw.select(F.inline(F.array(*cells))).where(F.col("bad_value").isNotNull())
+        bad = parsed.select(F.inline(F.array(*cells))).where(F.col("bad_value").isNotNull())
         parts.append(bad.groupBy("source_column", "target_column", "bad_value")
                      .agg(F.count(F.lit(1)).alias("n")).withColumn("dataset", F.lit(dataset)))
     out = parts[0].unionByName(parts[1])
