@@ -30,7 +30,7 @@ def summarise(plan: str) -> list[str]:
             continue
         node = m.group("node")
         if node.startswith("FileScan"):
-            cols = re.search(r"FileScan parquet \[([^\]]*)\]", line)
+            cols = re.search(r"FileScan parquet [^\[]*\[([^\]]*)\]", line)
             pushed = re.search(r"PushedFilters: \[([^\]]*)\]", line)
             names = [c.split("#")[0] for c in cols.group(1).split(",")] if cols else []
             out.append(f"scan reads {len(names)} cols ({', '.join(names)}); pushed filters: "
