@@ -233,3 +233,31 @@ def test_reports_read_the_bits_alone(spark):
     wide = text.select("*", *[text.CantonCode.alias(f"c{i}") for i in range(60)])
     with pytest.raises(ValueError, match="do not fit"):
         quality.reason_bits(wide, "all")
+
+
+def test_extracts_are_normalised_once_in_small_loops(spark, monkeypatch, capsys):
+    """Hot keys, buckets and hot rows come from one copy, and the JVM compiles the loops that make it (up to 8,000 bytes)."""
+    from crashlens.plans import stages
+    made, materialise = [], raw.materialise
+    monkeypatch.setattr(stages.raw, "materialise", lambda df, name, *a: made.append((name, df)) or materialise(df, name, *a))
+    table = fixture_stages(spark, SF001, materialise=True).prepared
+    assert [name for name, _ in made] == ["harmonised"] and table.rows().count() == made[0][1].count()
+    capsys.readouterr()
+    made[0][1].explain("codegen")
+    sizes = [int(line.split("maxMethodCodeSize:")[1].split(";")[0]) for line in capsys.readouterr().out.split("\n") if "maxMethodCodeSize:" in line]
+    assert sizes and max(sizes) < 8000
+    table.drop()
+
+
+def test_buckets_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from crashlens.sources import keyed
+    rows = spark.range(5000).selectExpr("string(id) as AccidentUID", "id % 7 as AccidentYear")
+    rows.coalesce(1).write.parquet(str(tmp_path / "some rows"))
+    base = joins.with_key(spark.read.parquet(str(tmp_path / "some rows")))
+    assert raw.partitions_for(base) == int(spark.conf.get("spark.sql.shuffle.partitions")) == raw.partitions_for(rows)
+    monkeypatch.setattr(raw, "PARTITION_BYTES", 1000)
+    n = raw.partitions_for(base, base)
+    assert n > 8
+    table = keyed.write_keyed(base, joins.KEY, "t")
+    assert table.cold.groupBy(*joins.KEY).count().rdd.getNumPartitions() == n
+    table.drop()
